@@ -13,6 +13,7 @@ repeated ids are packed as separate documents; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,37 +24,83 @@ WINDOW = 4096
 END_ID = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Words that can be split here, and how the tokenizer splits them after lower-casing (fixed by its file).
+PLAIN = re.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*").fullmatch
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^\sa-z0-9\u00DF-\u00F6\u00F8-\u00FF]+").findall
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of whole texts, word by word, with a bounded table of known words.
+    """Token ids of whole texts, word by word, with bounded tables of known words and of their parts.
 
     The tokenizer drops white space and none of its rules reaches over a space or a line feed, so the ids
-    of a text are those of its parts between them; ``tests/llm`` holds this against whole texts.
+    of a text are those of its parts between them. A word of ASCII and of precomposed Latin-1 letters is
+    lower-cased and split here as the tokenizer's own rules do it, and its parts go to the tokenizer's merge
+    model; any other word goes through the whole tokenizer. ``tests/llm`` holds both against whole texts.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.most_words, self.most_parts = most_words, most_parts
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.as_text = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= self.most_parts:
+                self.parts.clear()
+            text = part if part.isascii() else "".join(map(self.as_text.__getitem__, part.encode()))
+            got = self.parts[part] = b"".join([self.id_bytes[t.id] for t in self.merge(text)])
+        return got
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = list(words)
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        words = words.difference(self.words)
+        if len(self.words) + len(words) > self.most_words:
+            self.words.clear()
+            self.words[""] = b""
+        odd = []
+        for word in words:
+            if PLAIN(word) and "<|" not in word:
+                self.words[word] = b"".join(map(self.part, PARTS(word.lower())))
+            else:
+                odd.append(word)
+        if odd:
+            for word, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                self.words[word] = np.array(got.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        words = set().union(*split)
+        out = []
+        if len(words) > self.most_words // 4:  # a text of very many different words: in portions
+            for one in split:
+                ids = []
+                for i in range(0, len(one), 10_000):
+                    self.learn(set(one[i : i + 10_000]))
+                    ids += map(self.words.__getitem__, one[i : i + 10_000])
+                out.append(b"".join(ids))
+            return out
+        self.learn(words)
+        get = self.words.__getitem__
+        for one in split:
+            try:
+                out.append(b"".join(map(get, one)))
+            except KeyError:  # the table was emptied meanwhile
+                self.learn(set(one))
+                out.append(b"".join(map(get, one)))
+        return out
 
 
 def encoder(path: str) -> WordEncoder:

@@ -8,7 +8,7 @@ import pytest
 from sievelake.llm.packing import Packer, encoder, pack_documents
 from sievelake.llm.registry import tokenizer_path
 
-ODD = ["", None, "a", "It's a\ttest of  the\n\nthing's <|endoftext|>x", "é" * 30, "ÀÉ ﬁ Σ ΑΣ é ́", "12 3.4!? " * 3000, "same", "same"]
+ODD = ["", None, "a", "It's a\ttest of  the\n\nthing's <|endoftext|>x", "é" * 30, "ÀÉ ﬁ Σ ΑΣ é ́", "12 3.4!? " * 3000, "same", "same", "don't 'Twas 's''t x<|y <|z A1b2 É.È,ß÷× ª º µ"]
 
 
 @functools.cache
