@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievelake.llm.common import table
 
@@ -23,6 +24,32 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def gif_digest(docs: DataFrame) -> DataFrame:
+    from sievelake.llm.gif import read_gifs, store_as_gif
+
+    found = read_gifs(store_as_gif(docs))
+    shown = F.expr("aggregate(frames, array_repeat(0L, 24), (a, f) -> zip_with(a, f.histogram, (x, y) -> x + y))")
+    feature = F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";histogram="), F.array_join(shown.cast("array<string>"), ","))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.sharding import histogram_sort
+
+    found = histogram_sort(table(spark, sf_dir, "documents"), 8)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
