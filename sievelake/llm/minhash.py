@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, BATCH_BYTES + (1 << 17))
-        _powers[:] = [np.concatenate(([1], np.cumprod(np.full(n, b, dtype=np.uint64)))).astype(np.uint64) for b in (BASE, INVERSE)]
+        _powers[:] = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, b, dtype=np.uint64)))) for b in (BASE, INVERSE)]
     return _powers
 
 

@@ -27,7 +27,7 @@ def brute(rows, percent=85, k=5):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-def corpus(seed, families=6, copies=30, edits=0.02):
+def corpus(seed, families=6, copies=30, edits=0.01):
     rng, out = random.Random(seed), []
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
     line = " ".join(word() for _ in range(9))
@@ -42,7 +42,7 @@ def corpus(seed, families=6, copies=30, edits=0.02):
     return list(enumerate(out, 5))
 
 
-@pytest.mark.parametrize("block, edits", [(128, 0.02), (8, 0.03)])
+@pytest.mark.parametrize("block, edits", [(128, 0.01), (8, 0.015)])
 def test_against_all_pairs(spark, block, edits):
     rows = corpus(block, edits=edits)
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, rep int, h1 string").repartition(5)
