@@ -50,6 +50,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_secret_entropy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.secretscan import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
