@@ -12,6 +12,57 @@ from sievelake.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: A line as it is compared: lower case, white space runs to one space, trimmed.
+_NORMAL = r"trim(regexp_replace(lower(raw), '\s+', ' ', 'g'))"
+
+SQL = {
+    "op4_line_winnowing": rf"""
+with docs as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (select doc_id, unnest(range(len(parts))) as line, unnest(parts) as raw from docs),
+clean as (select doc_id, line, {_NORMAL} as t from lines),
+units as (
+  select doc_id, line, j, t || chr(10) || j as u, row_number() over (partition by doc_id order by line, j) as pos
+  from (select doc_id, line, t, unnest(range((len(string_split(t, ' ')) - 1) // 16 + 1)) as j from clean where t <> '')
+),
+windows as (
+  select * from (
+    select doc_id, pos, sha256(u || chr(11) || lead(u, 1) over w || chr(11) || lead(u, 2) over w) as h,
+      [line, lead(line, 1) over w, lead(line, 2) over w] as lines
+    from units window w as (partition by doc_id order by pos)
+  ) where h is not null
+),
+later as (select doc_id, lines from (select *, row_number() over (partition by h order by doc_id, pos) as n from windows) where n > 1),
+gone as (select distinct doc_id, unnest(lines) as line from later),
+kept as (
+  select l.doc_id, string_agg(l.raw, chr(10) order by l.line) filter (where g.line is null) as kept,
+    count(g.line) as n_removed, string_agg(cast(g.line as varchar), ',' order by g.line) as removed_lines
+  from lines l left join gone g on l.doc_id = g.doc_id and l.line = g.line group by l.doc_id
+)
+select d.doc_id, cast(case when d.text = '' then 0 else len(d.parts) end as bigint) as n_lines, k.n_removed,
+  coalesce(k.removed_lines, '') as removed_lines, sha256(coalesce(k.kept, '')) as kept_sha256
+from docs d join kept k using (doc_id)
+""",
+    "op7_line_hash_dedup": rf"""
+with docs as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (select doc_id, unnest(range(len(parts))) as line, unnest(parts) as raw from docs),
+placed as (
+  select *, sum(length(raw) + 1) over (partition by doc_id order by line) - length(raw) - 1 as start from (select *, {_NORMAL} as t from lines)
+),
+ranked as (
+  select *, t <> '' and len(string_split(t, ' ')) >= 8 and row_number() over (partition by t order by doc_id, line) > 1 as gone from placed
+),
+kept as (
+  select doc_id, string_agg(raw, chr(10) order by line) filter (where not gone) as kept, count(*) filter (where gone) as n_removed,
+    string_agg(start || ':' || (start + length(raw)), ',' order by line) filter (where gone) as removed_spans
+  from ranked group by doc_id
+)
+select d.doc_id, cast(case when d.text = '' then 0 else len(d.parts) end as bigint) as n_units, k.n_removed,
+  coalesce(k.removed_spans, '') as removed_spans, sha256(coalesce(k.kept, '')) as kept_sha256
+from docs d join kept k using (doc_id)
+""",
+}
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -62,9 +113,35 @@ def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.linededup import winnow_lines
+
+    found = winnow_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.substring import repeated_units
+
+    found = repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8)
+    return found.select(
+        "doc_id",
+        F.col("n_units").cast("long").alias("n_units"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias("removed_spans"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
