@@ -139,6 +139,12 @@ def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.runindex import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
