@@ -260,3 +260,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own_or = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own_or.alias("component_id"), F.coalesce(F.col("doc_id") == own_or, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents, all columns, of which each component keeps its least id; rows without an id stay."""
+    ws = Workspace(docs.sparkSession, "near-drop")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
+    gone = ws.keep(gone.distinct(), "gone")
+    wanted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(wanted, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

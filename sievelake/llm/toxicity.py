@@ -77,6 +77,15 @@ class Channel:
         return max((score + self.log[a][b][26], text) for (a, b), (score, text) in paths.items())[1]
 
 
+def tokens_of(text: str) -> set[str]:
+    """The different tokens of a text in lower case; runs of single characters are one more."""
+    text = text.lower()
+    tokens = set(text.split())
+    for m in SPACED(text):
+        tokens.add(re.sub(r"[ .\-*]+", " ", m[0]))
+    return tokens
+
+
 class Restorer:
     """Restored words of texts, with a bounded table of known tokens."""
 
@@ -105,12 +114,8 @@ class Restorer:
         return tuple(out - {""})
 
     def words(self, text: str) -> set[str]:
-        text = text.lower()
-        tokens = set(text.split())
-        for m in SPACED(text):
-            tokens.add(re.sub(r"[ .\-*]+", " ", m[0]))
         out: set[str] = set()
-        for t in tokens:
+        for t in tokens_of(text):
             out.update(self.token(t))
         return out
 
@@ -158,13 +163,39 @@ def fit(rows: list[np.ndarray], label: np.ndarray, words: int, penalty: float =
     return weight, bias
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, vocabulary: int = 400, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, whether its label is held out of the fit, score in 0 to 1, and 1 for scores from a half."""
+class Scorer:
+    """A fitted model: scores of texts, with a bounded table of known tokens."""
+
+    def __init__(self, restorer: Restorer, weights: dict[str, float], bias: float, most: int = 300_000):
+        self.restorer, self.weights, self.bias, self.most, self.known = restorer, weights, bias, most, {}
+
+    def worth(self, token: str) -> tuple[str, ...]:
+        got = self.known.get(token)
+        if got is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            got = self.known[token] = tuple(w for w in self.restorer.read(token) if w in self.weights)
+        return got
+
+    def score(self, text: str | None) -> float:
+        hit: set[str] = set()
+        for t in tokens_of(text or ""):
+            if w := self.worth(t):
+                hit.update(w)
+        x = self.bias + sum(self.weights[w] for w in sorted(hit))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def is_held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, vocabulary: int = 400, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """The model that labels outside the held-out part give; its character model covers all of ``docs``."""
     spark = docs.sparkSession
     ws = Workspace(spark, "toxicity")
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held)
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~is_held_out())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_rows / max(1, usable.count()))
     sample = usable.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < int(share * (1 << 53)))
@@ -193,33 +224,35 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000
     weight, bias = fit([np.array([number[w] for w in r["words"] if w in number], dtype=np.int64) for r in picked], np.array([r["toxic"] for r in picked], dtype=np.float64), len(words))
     weights = {w: float(x) for w, x in zip(words, weight, strict=True)}
 
+    return Scorer(restorer, weights, bias)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Per document: id, whether its label is held out of the fit, score in 0 to 1, and 1 for scores from a half."""
+    scorer = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **settings)
+
     def scored(batches):
         import pyarrow as pa
 
-        get, known = weights.get, {}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([scorer.score(t) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+
+    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-        def worth(token):
-            got = known.get(token)
-            if got is None:
-                if len(known) >= 300_000:
-                    known.clear()
-                got = known[token] = tuple(w for w in restorer.read(token) if w in weights)
-            return got
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents, all columns, that score under the threshold."""
+    scorer, at = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **settings), docs.columns.index(text_col)
+
+    def kept(batches):
+        import pyarrow as pa
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part, out = batch.slice(i, 256), []
-                for text in part.column(1).to_pylist():
-                    text = (text or "").lower()
-                    tokens = set(text.split())
-                    for m in SPACED(text):
-                        tokens.add(re.sub(r"[ .\-*]+", " ", m[0]))
-                    hit: set[str] = set()
-                    for t in tokens:
-                        if w := worth(t):
-                            hit.update(w)
-                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(get(w) for w in sorted(hit)))))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
-
-    out = docs.mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array([scorer.score(t) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
