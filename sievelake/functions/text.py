@@ -91,9 +91,12 @@ def abstains(value: Column) -> Column:
 
 def evidence_level(types: Column) -> Column:
     """The first level any of whose phrases is part of any publication type."""
+    def named(phrases):
+        return lambda t: reduce(lambda a, b: a | b, [F.lower(t).contains(x) for x in phrases])
+
     out = None
     for level, phrases in rules.EVIDENCE_LEVELS:
-        hit = F.exists(types, lambda t, p=phrases: reduce(lambda a, b: a | b, [F.lower(t).contains(x) for x in p]))
+        hit = F.exists(types, named(phrases))
         out = F.when(hit, level) if out is None else out.when(hit, level)
     return out.otherwise("other")
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Limits and enumerations of the source (fixed values).
 DEPTH, NODES, RATIO = 100, 10_000_000, 200
@@ -74,7 +75,7 @@ def unzip_json(raw: bytes) -> bytes:
     return data
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """sorted keys, no spaces, letters as they are; null where the text isn't JSON."""
 

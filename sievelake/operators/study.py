@@ -63,9 +63,9 @@ def with_design(articles: DataFrame, title: str = "title", abstract: str = "abst
     most = F.array_max(F.transform("__signals", lambda s: s["strength"]))
     df = df.withColumn("__best", F.array_distinct(F.transform(F.filter("__signals", lambda s: s["strength"] == most), lambda s: s["family"])))
     protocol = F.exists(types, lambda t: design_of_type(t) == "protocol")
-    agree = (F.size("__best") == 1) | F.lit(False)
+    agree = F.size("__best") == 1
     for pair in rules.COMPATIBLE_DESIGNS:
-        agree = agree | ((F.size("__best") == 2) & F.forall("__best", lambda f, p=pair: f.isin(*p)))
+        agree = agree | ((F.size("__best") == 2) & (F.size(F.array_except("__best", F.lit(list(pair)))) == 0))
     first = F.get(F.filter(F.lit(list(rules.DESIGN_ORDER)), lambda f: F.array_contains("__best", f)), 0)
     none = F.size("__signals") == 0
     family = F.when(none, "unknown").when(protocol, "protocol").when(agree, first).otherwise("unknown")
