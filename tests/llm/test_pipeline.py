@@ -51,10 +51,9 @@ def rows(df):
 
 def test_stages(spark, data):
     root, toxic, items = data
-    docs, seen = spark.read.parquet(f"{root}/documents.parquet"), []
+    docs = spark.read.parquet(f"{root}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         before, out = rows(docs), stage(spark, docs, root)
-        print("STAGE", name, flush=True)
         if name == "packing":
             pieces = defaultdict(int)
             for p in out.collect():
@@ -73,10 +72,8 @@ def test_stages(spark, data):
             assert {i for i, _ in after} == {i for i, (_, _, kept) in brute_links(before, 80).items() if kept}
         else:
             assert {i for i, _ in after} == {i for i, _ in before} - {i for i, _ in brute_items(before, items)}
-        assert len(after) <= len(before)
-        seen.append(len(after))
+        assert sorted(after, key=str) != sorted(before, key=str)  # every stage takes something out
         docs = spark.createDataFrame(out.collect(), docs.schema)
-    assert len(set(seen)) == 4  # every stage took something out
 
 
 def test_run(spark, data):
