@@ -59,8 +59,11 @@ def repeated_lines(docs: DataFrame, *, window: int = WINDOW, unit_words: int = U
     wins = ws.keep(wins, "windows")
     place = rank("position")
     prints = wins.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("print")
+    # small tables of their own, so that both sides of a join are exchanged and a hot key's part can be split
+    prints = ws.keep(prints, "prints")
     shared = ws.keep(wins.join(prints, "print"), "shared")
     first = shared.groupBy("w1", "w2").agg(F.min(rank("at")).alias("first"), F.max(rank("at")).alias("last")).filter("first <> last").drop("last")
+    first = ws.keep(first, "first")
     later = shared.join(first, ["w1", "w2"]).filter(rank("at") != F.col("first"))
     return later.select("row_key", F.explode("lines").alias("line")).groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 

@@ -45,8 +45,9 @@ def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 8, i
     units = units.select("doc_id", "row_key", "unit", normal(F.col("raw")).alias("clean"))
     units = units.filter(F.size(F.split("clean", " ")) >= max(1, min_words)).filter("clean <> ''")
     units = ws.keep(units.select("doc_id", "row_key", "unit", F.xxhash64("clean").alias("h1"), F.xxhash64(F.reverse("clean"), F.lit(7)).alias("h2")), "units")
-    first = units.groupBy("h1", "h2").agg(F.min(rank("unit")).alias("first"), F.max(rank("unit")).alias("last")).filter("first <> last")
-    later = units.join(first.drop("last"), ["h1", "h2"]).filter(rank("unit") != F.col("first"))
+    first = units.groupBy("h1", "h2").agg(F.min(rank("unit")).alias("first"), F.max(rank("unit")).alias("last")).filter("first <> last").drop("last")
+    first = ws.keep(first, "first")  # a table of its own, so that both sides of the join are exchanged and a hot unit's part can be split
+    later = units.join(first, ["h1", "h2"]).filter(rank("unit") != F.col("first"))
     gone = later.groupBy("row_key").agg(F.array_sort(F.collect_set("unit")).alias("gone"))
     out = docs.join(gone, "row_key", "left").withColumn("parts", F.split("text", brk.replace("\n", r"\n"), -1))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get("parts", i)), brk)
