@@ -20,6 +20,7 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     label, step = None, 0
     while True:
         up = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        up = ws.keep(up, f"{name}-hang-{step}")
         for _ in range(2):
             over = up.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             up = up.join(over, "root").select("node", F.col("higher").alias("root"))

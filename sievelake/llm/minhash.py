@@ -221,17 +221,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     posted = classes.select("rep", F.posexplode("sig").alias("coordinate", "value"))
     posted = posted.select("rep", (F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = ws.keep(shared, "shared")  # grouped sides are written before a join: then a hot key's part of the other side can be split
     rare_first = posted.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     prefix = rare_first.filter(F.size("tokens") >= matches).select("rep", F.explode(F.expr(f"slice(tokens, 1, size(tokens) - {matches - 1}).token")).alias("token"))
     prefix = ws.keep(prefix, "prefix")
     hubs = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = ws.keep(hubs, "hubs")
     meet = prefix.join(hubs, "token").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    cluster = components(ws, meet, "cluster").select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    cluster = ws.keep(components(ws, meet, "cluster").select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "cluster")
 
     ids = cluster.select(F.col("rep").alias("doc_id")).distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), k)
-    size = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
+    size = ws.keep(cluster.groupBy("cluster").agg(F.count("*").alias("members")), "size")
     members = cluster.join(size, "cluster").join(sets, "rep").join(classes.select("rep", "sig"), "rep")
     members = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     members = ws.keep(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
@@ -248,8 +250,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
         part = components(ws, links, "first").select(F.col("node").alias("rep"), F.col("root").alias("part"))
         large = ws.keep(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "large")
         main = large.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        main = ws.keep(main, "main")
         rest = large.join(main, "cluster").filter("part <> main")
-        rest_size = rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+        rest_size = ws.keep(rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")), "rest-size")
         tail = rest.drop("main").join(rest_size, "cluster").withColumn("left", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).withColumn("right", F.explode(F.expr("sequence(0, blocks - 1)")))
         body = large.join(rest_size, "cluster").withColumn("left", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("right", F.col("block"))
         shape = lambda df, side: df.select("cluster", "left", "right", F.lit(side).alias("side"), F.lit(False).alias("inner"), "rep", "part", "sig", "hashes")
