@@ -87,7 +87,7 @@ def evidence_tier(family: Column, status: Column, scope: Column, has_abstract: C
     """C13."""
     reported = status == "reported"
     return (
-        F.when((scope == "preclinical_only") | family.isin("animal_preclinical", "in_vitro"), "preclinical")
+        F.when((scope == "preclinical_only") | family.isin("animal_preclinical", "in_vitro", "mixed_human_preclinical"), "preclinical")
         .when(family == "pharmacovigilance_disproportionality", "signal_only")
         .when(family.isin("protocol", "editorial_commentary_letter", "unknown", "guideline_or_consensus") | ~has_abstract, "not_assessable")
         .when(family.isin("systematic_review_meta_analysis", "randomized_controlled_trial"), F.when(reported, "higher_strength").otherwise("moderate_strength"))
@@ -99,3 +99,100 @@ def evidence_tier(family: Column, status: Column, scope: Column, has_abstract: C
         .when(family.isin("case_report", "case_series", "narrative_review", "scoping_review"), "limited_strength")
         .otherwise("not_assessable")
     )
+
+
+#: Families by what they lack or say (fixed values).
+OBSERVATIONAL = ("prospective_cohort", "retrospective_cohort", "case_control", "cross_sectional", "diagnostic_accuracy")
+SECONDARY = ("editorial_commentary_letter", "narrative_review", "systematic_review_meta_analysis", "systematic_review_without_meta_analysis")
+PRIMARY = (*OBSERVATIONAL, "randomized_controlled_trial", "nonrandomized_interventional_study", "pharmacokinetic_pharmacodynamic", "case_report", "case_series")
+ANIMAL_WORK = r"(?i)\b(?:animal model|animals?|mice|mouse|rats?|murine|zebrafish|preclinical)\b|\b(?:in\s+vitro|cell\s+line|ex\s+vivo)\b"
+PEOPLE = r"(?i)\b(?:humans?|patients?|participants?|subjects?|volunteers?|cohort|hospitalized|pregnan(?:t|cy)|clinical trial)\b"
+METHOD_WORDS = r"(?i)\b(?:methods?|methodology|performed|conducted|randomi[sz]ed|enrolled|included)\b"
+RESULT_WORDS = r"(?i)\b(?:results?|findings?|found|demonstrated|observed|concluded|conclusions?)\b"
+
+
+def article_text() -> Column:
+    """Title, abstract, labelled sections and keywords, as the study rules read them."""
+    parts = F.transform("abstract_sections", lambda s: F.concat(s["label"], F.lit(": "), s["text"]))
+    return F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (F.col("title"), F.col("abstract"), F.array_join(parts, " "), F.array_join("keywords", " "))])
+
+
+def population_scope(family: Column, text: Column) -> Column:
+    """Whom a study is about; primary studies are read in their title, methods and results."""
+    main = F.filter("abstract_sections", lambda s: F.lower(s["label"]).isin("methods", "results", "patients", "participants"))
+    before = F.get(F.split(F.coalesce("abstract", F.lit("")), r"(?i)\b(?:in conclusion|conclusion|conclusions)\b", 2), 0)
+    primary = F.concat_ws(" ", F.col("title"), F.when(F.size(main) > 0, F.array_join(F.transform(main, lambda s: s["text"]), " ")).otherwise(before))
+    own, mixed = family.isin(*PRIMARY), f"(?i){rules.MIXED}"
+    animal, people = text.rlike(ANIMAL_WORK), text.rlike(PEOPLE)
+    return (
+        F.when(family.isin(*SECONDARY), "not_applicable")
+        .when(own & primary.rlike(mixed), "mixed")
+        .when(own & primary.rlike(PEOPLE), "human")
+        .when(own & primary.rlike(ANIMAL_WORK), "preclinical_only")
+        .when(animal & people & text.rlike(mixed), "mixed")
+        .when(people, "human")
+        .when(animal, "preclinical_only")
+        .otherwise("unclear")
+    )
+
+
+def result_status(family: Column, text: Column) -> Column:
+    """C7."""
+    none = (F.coalesce("abstract", F.lit("")) == "") & (F.coalesce(F.size("abstract_sections"), F.lit(0)) == 0)
+    plan = text.rlike(r"(?i)\bpropos(?:e|ed)\b|\bwill\s+(?:be\s+assigned|enroll?|randomi[sz]e)\b") | ~text.rlike(r"(?i)\bresults?\b")
+    marked = F.exists("abstract_sections", lambda s: F.lower(s["label"]).isin("results", "conclusions", "findings"))
+    return F.when(none, "not_reported").when((family == "protocol") & plan, "not_reported").when(marked | text.rlike(RESULT_WORDS), "reported").otherwise("unclear")
+
+
+def limitations(text: Column, family: Column, scope: Column, status: Column, sample: Column, comparator: Column, follow_up: Column, multicenter: Column, conflict: Column) -> Column:
+    """C14: codes in their order, without repeats."""
+    none = (F.coalesce("abstract", F.lit("")) == "") & (F.coalesce(F.size("abstract_sections"), F.lit(0)) == 0)
+    signal = family == "pharmacovigilance_disproportionality"
+    tests = (
+        (none, "abstract_missing"),
+        (~text.rlike(METHOD_WORDS), "methods_not_reported"),
+        (sample != "reported", "sample_size_not_reported"),
+        (comparator == "not_reported", "comparator_not_reported"),
+        (family.isin("randomized_controlled_trial", *OBSERVATIONAL) & follow_up.isNull(), "follow_up_not_reported"),
+        (family.isin("nonrandomized_interventional_study", *OBSERVATIONAL), "nonrandomized"),
+        (family == "retrospective_cohort", "retrospective_design"),
+        (multicenter == "false", "single_center"),
+        (family.isin("case_report", "case_series"), "case_report_or_series"),
+        (family == "protocol", "protocol_no_results"),
+        (scope == "preclinical_only", "preclinical_only"),
+        (scope == "mixed", "mixed_population"),
+        (signal, "pharmacovigilance_reporting_bias"),
+        (signal, "pharmacovigilance_no_incidence"),
+        (signal, "pharmacovigilance_no_causality"),
+        (comparator == "not_applicable", "uncontrolled_study"),
+        (family == "unknown", "design_unclear"),
+        (conflict, "conflicting_design_signals"),
+        (status == "unclear", "methods_not_reported"),
+        (sample == "ambiguous", "design_unclear"),
+    )
+    return F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(code)) for t, code in tests])))
+
+
+def with_study(articles: DataFrame) -> DataFrame:
+    """Adds ``study``; needs with_extraction's ``extraction`` for sample size, comparator and follow-up."""
+    df = with_design(articles).withColumn("__text", article_text())
+    df = df.select("*", population_scope(F.col("design_family"), F.col("__text")).alias("__scope"), result_status(F.col("design_family"), F.col("__text")).alias("__status"), flags(F.col("__text")).alias("__flags"))
+    x = F.col("extraction")
+    codes = limitations(F.col("__text"), F.col("design_family"), F.col("__scope"), F.col("__status"), x["sample_size_status"], x["comparator"]["status"], x["follow_up"], F.col("__flags.multicenter"), F.col("design_conflict"))
+    df = df.withColumn("__codes", codes)
+    has = ~F.array_contains("__codes", "abstract_missing")
+    review = (F.col("design_family") == "unknown") | F.col("design_conflict") | ~has | (x["sample_size_status"] == "ambiguous")
+    out = F.struct(
+        F.col("design_family").alias("design_family"),
+        F.col("__scope").alias("population_scope"),
+        F.col("__status").alias("result_status"),
+        evidence_tier(F.col("design_family"), F.col("__status"), F.col("__scope"), has).alias("evidence_tier"),
+        F.when(F.col("design_family") == "unknown", "low").when(review, "medium").otherwise("high").alias("confidence"),
+        review.alias("needs_review"),
+        x["sample_size"].alias("sample_size"),
+        x["sample_size_status"].alias("sample_size_status"),
+        x["comparator"]["status"].alias("comparator_status"),
+        F.col("__flags").alias("flags"),
+        F.col("__codes").alias("limitation_codes"),
+    )
+    return df.withColumn("study", out).drop("__text", "__scope", "__status", "__flags", "__codes")

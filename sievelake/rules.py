@@ -77,6 +77,11 @@ RECENCY_LEAST = 40
 ABSTENTIONS = ("not_reported", "not_extractable", "not_applicable", "unclear", "unknown", "unspecified")
 CHANGE_PRIORITY = {"integrity": 1, "membership": 2, "relevance": 3, "study": 4, "extraction": 5, "review": 6, "ranking": 7, "placement": 7, "comparability": 8}
 
+# Words of people and of animal work joined in one phrase.
+_PEOPLE, _ANIMAL = r"\b(?:patients?|participants?|humans?)\b", r"\b(?:mice|mouse|rats?|animals?|preclinical|in\s+vitro|cell\s+line)\b"
+_AND = r"\s+(?:and|with|alongside|as\s+well\s+as)\s+"
+MIXED = f"{_PEOPLE}{_AND}{_ANIMAL}|{_ANIMAL}{_AND}{_PEOPLE}"
+
 # Study designs by text, in order, with what they are called.
 DESIGN_TEXT = (
     ("systematic_review_meta_analysis", r"\b(?:network )?meta[- ]analysis\b"),
@@ -95,6 +100,7 @@ DESIGN_TEXT = (
     ("prospective_cohort", r"\bprospective\b[^.;]{0,50}\bobservational study\b|\bprospective cohort\b"),
     ("nonrandomized_interventional_study", r"\bobservational study\b"),
     ("pharmacokinetic_pharmacodynamic", r"\bpharmaco(?:kinetic|dynamic)s?\b"),
+    ("mixed_human_preclinical", MIXED),
     ("in_vitro", r"\bin\s+vitro\b|\bcell line\b"),
     ("animal_preclinical", r"\b(?:animal model|animals?|mice|mouse|rats?|murine|zebrafish|preclinical|ex\s+vivo)\b"),
     ("narrative_review", r"\breview\b"),

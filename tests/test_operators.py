@@ -167,3 +167,15 @@ def test_zip():
 def test_rules_are_complete():
     assert set(rules.EVIDENCE_SCORE) == set(rules.EVIDENCE_BONUS) == set(rules.EVIDENCE_ORDINAL)
     assert {f for f, _ in rules.DESIGN_TEXT} <= set(rules.DESIGN_ORDER)
+
+
+def test_study(spark):
+    from sievelake.operators.extraction import with_extraction
+
+    parts = [("METHODS", "A retrospective cohort of 20 patients at a single center; 20 patients were included."), ("RESULTS", "All improved.")]
+    rows = [("Title", "", [], parts, []), ("Title", "", [], [], []), ("Rats", "Rats in vitro; cells were cultured.", [], [], [])]
+    a, b, c = [r.study for r in study.with_study(with_extraction(spark.createDataFrame(rows, DESIGN))).collect()]
+    assert (a.design_family, a.population_scope, a.result_status, a.evidence_tier, a.sample_size) == ("retrospective_cohort", "human", "reported", "moderate_strength", 20)
+    assert a.limitation_codes == ["comparator_not_reported", "follow_up_not_reported", "nonrandomized", "retrospective_design", "single_center"] and a.confidence == "high"
+    assert b.limitation_codes[0] == "abstract_missing" and b.evidence_tier == "not_assessable" and b.confidence == "low" and b.needs_review
+    assert c.evidence_tier == "preclinical"
