@@ -11,8 +11,9 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 3. Index. Groups are streamed in batches of bounded size into a run-length BWT with the text's matching lengths
    sampled at run ends; the lengths between samples follow by counting down along the text. Two strings that meet
    in the index over ``length`` bytes are a repeat.
-4. A group of more than ``group`` spans isn't put in one task: its strings are counted by digest over the cluster,
-   which gives the same answer.
+4. A group of more than ``group`` spans isn't put in one task. Its spans are halved again and again, by place against the
+   anchor: the strings of a part share more and more bytes, so groups shrink; parts that are equal as a whole are settled
+   at once. At the end a part is one string. So hot groups are resolved by grouped counts, whatever their size.
 
 Defined results: a null text is an empty one; texts under ``length`` bytes lose nothing; equal texts of that length
 lose everything, in rows that repeat an id too; an empty table gives no rows; other columns are ignored.
@@ -21,6 +22,7 @@ lose everything, in rows that repeat an id too; an empty table gives no rows; ot
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -156,7 +158,8 @@ def runs(flags: np.ndarray) -> np.ndarray:
 
 
 SCAN = "row_key long, tid long, n_bytes long, anchors array<struct<gram:long,pos:long,digest:long,pack:long>>"
-HALF = "core long, row_key long, pos long, lo long, own long, bytes binary, open boolean"
+PART = "core long, row_key long, pos long, lo long, own long, at long, p long, q long, bytes binary, open boolean"
+PART_NAMES = [c.split()[0] for c in PART.split(", ")]
 
 
 def scan(docs: DataFrame, length: int) -> DataFrame:
@@ -191,31 +194,66 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, SCAN)
 
 
-def read_halves(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the spans to compare, cut in halves of strings by their place against the anchor, by the bytes that a half's strings share."""
-    middle = (length - GRAM) // 2
+def cut(row: dict, p: int, q: int, length: int) -> dict | None:
+    """The strings of a span whose distance to the anchor is p to q, by the bytes that all strings so placed share.
 
-    def run(batches):
-        import pyarrow as pa
+    The distances are the same for every span, so equal strings always come to one part.
+    """
+    first, last = max(0, row["at"] - q), min(row["own"] - 1, row["at"] - p)
+    if first > last:
+        return None
+    shared = row["bytes"][row["at"] - p : row["at"] - q + length]
+    core = hashlib.blake2b(shared, digest_size=8, key=b"%d-%d" % (p, q)).digest()
+    return row | {
+        "core": int.from_bytes(core, "little", signed=True),
+        "pos": row["pos"] + first,
+        "lo": row["lo"] + first,
+        "own": last - first + 1,
+        "at": row["at"] - first,
+        "p": p,
+        "q": q,
+        "bytes": row["bytes"][first : last + length],
+    }
+
+
+def part_batch(rows: list[dict]):
+    import pyarrow as pa
+
+    kinds = [pa.int64()] * 8 + [pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(PART_NAMES, kinds, strict=True)], PART_NAMES)
+
+
+def halves_of(q: int, p: int = 0) -> tuple[tuple[int, int], tuple[int, int]]:
+    return (p, (p + q) // 2), ((p + q) // 2 + 1, q)
 
+
+def read_parts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes of the spans to compare, in two parts each."""
+
+    def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                out = [[] for _ in range(7)]
+                out = []
                 for r in batch.slice(i, 64).to_pylist():
                     raw = (r["text"] or "").encode()
                     for w in r["spans"]:
-                        lo, hi = w["pack"] >> 20, (w["pack"] >> 20) + (w["pack"] >> 10 & 1023)
-                        at = lo + (w["pack"] & 1023)
-                        for a, b, core in ((lo, min(hi, at - middle - 1), (at - middle - 1, at + GRAM)), (max(lo, at - middle), hi, (at, at + length - middle))):
-                            if a <= b:
-                                digest = hashlib.blake2b(raw[core[0] : core[1]], digest_size=8, key=b"L" if core[0] < at else b"R").digest()
-                                row = (int.from_bytes(digest, "little", signed=True), r["row_key"], w["pos"] + a - lo, a, b - a + 1, raw[a : b + length], w["open"])
-                                for c, v in zip(out, row, strict=True):
-                                    c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["core", "row_key", "pos", "lo", "own", "bytes", "open"])
+                        lo, more = w["pack"] >> 20, w["pack"] >> 10 & 1023
+                        span = {"row_key": r["row_key"], "pos": w["pos"], "lo": lo, "own": more + 1, "at": w["pack"] & 1023, "bytes": raw[lo : lo + more + length], "open": w["open"]}
+                        out += [x for ends in halves_of(length - GRAM) if (x := cut(span, *ends, length))]
+                yield part_batch(out)
 
-    return docs.join(wanted, "row_key").select("row_key", "text", "spans").mapInArrow(run, HALF)
+    return docs.join(wanted, "row_key").select("row_key", "text", "spans").mapInArrow(run, PART)
+
+
+def split_parts(parts: DataFrame, length: int) -> DataFrame:
+    """Each part in two, which share more bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                yield part_batch([x for r in batch.slice(i, 256).to_pylist() for ends in halves_of(r["q"], r["p"]) if (x := cut(r, *ends, length))])
+
+    return parts.select(*PART_NAMES).mapInArrow(run, PART)
 
 
 def index_groups(halves: DataFrame, length: int) -> DataFrame:
@@ -245,35 +283,14 @@ def index_groups(halves: DataFrame, length: int) -> DataFrame:
     return halves.repartition("core").sortWithinPartitions("core").mapInArrow(run, "row_key long, start long, stop long")
 
 
-def digest_strings(halves: DataFrame, length: int) -> DataFrame:
-    """Digests of all strings of the halves given."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256).to_pylist()
-                cols = [[], [], [], []]
-                for r in rows:
-                    roll = Rolling(np.frombuffer(r["bytes"], np.uint8))
-                    a = np.arange(r["own"])
-                    cols[0].append(roll.of(a, a + length).view(np.int64))
-                    cols[1].append(np.full(len(a), r["row_key"], np.int64))
-                    cols[2].append(r["pos"] + a)
-                    cols[3].append(r["lo"] + a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else []) for c in cols], ["digest", "row_key", "pos", "start"])
-
-    return halves.mapInArrow(run, "digest long, row_key long, pos long, start long")
-
-
 def repeated_strings(docs: DataFrame, length: int, group: int = 200) -> DataFrame:
     """row_key, start, stop of byte ranges made of repeated strings (ranges may overlap). ``docs`` has row_key and text."""
     spark = docs.sparkSession
     ws = Workspace(spark, "runindex")
     scanned = ws.keep(scan(docs.select("row_key", "text"), length), "scanned")
     every = scanned.select("row_key", F.inline("anchors"))
-    several = every.groupBy("gram").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a <> b").select("gram")
+    # grouped sides are written before a join: then a hot key's part of the other side can be split
+    several = ws.keep(every.groupBy("gram").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a <> b").select("gram"), "several")
     shared = ws.keep(every.join(several, "gram"), "shared")
     ws.drop("scanned")
     shape = F.col("pack").bitwiseAND(F.lit((1 << 20) - 1)).alias("shape")
@@ -281,23 +298,33 @@ def repeated_strings(docs: DataFrame, length: int, group: int = 200) -> DataFram
     kinds = ws.keep(kinds, "kinds")
     same = kinds.filter("a <> b").select("gram", "shape", "digest")
     lo = F.shiftright("pack", 20)
-    whole = shared.select("*", shape).join(same, ["gram", "shape", "digest"]).select("row_key", lo.alias("start"), (lo + F.shiftright("pack", 10).bitwiseAND(F.lit(1023)) + length).alias("stop"))
+    found = [shared.select("*", shape).join(same, ["gram", "shape", "digest"]).select("row_key", lo.alias("start"), (lo + F.shiftright("pack", 10).bitwiseAND(F.lit(1023)) + length).alias("stop"))]
 
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("single")).filter("n > 1 and single = 1").select("gram")
+    mixed = ws.keep(mixed, "mixed")
     wanted = kinds.join(mixed, "gram").select("one.row_key", F.struct("one.pos", "one.pack", (F.col("a") == F.col("b")).alias("open")).alias("span"))
     wanted = ws.keep(wanted.groupBy("row_key").agg(F.collect_list("span").alias("spans")), "wanted")
     ids = wanted.select("row_key")
     texts = docs.select("row_key", "text")
     texts = texts.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "row_key", "left_semi")
-    halves = ws.keep(read_halves(texts.dropDuplicates(["row_key"]), wanted, length), "halves")
-    size = halves.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("open").cast("int")).alias("any")).filter("n > 1 and any = 1").drop("any")
-    sized = ws.keep(halves.join(size, "core"), "sized")
-    small = index_groups(sized.filter(F.col("n") <= group), length)
-    large = digest_strings(sized.filter(F.col("n") > group), length)
-    large = ws.keep(large, "strings")
-    again = large.groupBy("digest").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a <> b").select("digest")
-    large = large.join(again, "digest").select("row_key", "start", (F.col("start") + length).alias("stop"))
-    return ws.keep(whole.union(small).union(large).groupBy("row_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "ranges")
+    parts, small, level = read_parts(texts.dropDuplicates(["row_key"]), wanted, length), [], 0
+    while True:
+        parts = ws.keep(parts, f"parts-{level}")
+        if level:  # parts that are equal as a whole are settled; one of them stays for others to meet
+            twins = parts.groupBy("core", F.md5("bytes").alias("digest")).agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a <> b").drop("b")
+            twins = ws.keep(twins, f"twins-{level}")
+            marked = ws.keep(parts.withColumn("digest", F.md5("bytes")).join(twins, ["core", "digest"], "left"), f"marked-{level}")
+            found.append(marked.filter("a is not null and open").select("row_key", F.col("lo").alias("start"), (F.col("lo") + F.col("own") - 1 + length).alias("stop")))
+            parts = marked.filter("a is null or a = pos").withColumn("open", F.col("open") & F.col("a").isNull()).select(*PART_NAMES)
+        size = parts.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("open").cast("int")).alias("any")).filter("n > 1 and any = 1").drop("any")
+        sized = ws.keep(parts.join(ws.keep(size, f"size-{level}"), "core"), f"sized-{level}")
+        small.append(sized.filter(F.col("n") <= group).select(*PART_NAMES))
+        large = sized.filter(F.col("n") > group)
+        if large.isEmpty():
+            break
+        parts, level = split_parts(large, length), level + 1
+    found.append(index_groups(reduce(DataFrame.union, small), length))
+    return ws.keep(reduce(DataFrame.union, found).groupBy("row_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "ranges")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, group: int = 200, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
