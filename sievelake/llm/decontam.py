@@ -41,9 +41,10 @@ def words(text: Column) -> Column:
 
 
 def shingles(words: Column, k: int) -> Column:
-    """Hashes of all k words in a row."""
-    n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.expr("cast(array() as array<long>)"))
+    """Hashes of all k words in a row. The words are bound to a variable first, else each step would split the text again."""
+    none = F.expr("cast(array() as array<long>)")
+    rows = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(none)
+    return F.get(F.transform(F.array(words), rows), 0)
 
 
 def bounded(df: DataFrame) -> DataFrame:
