@@ -62,6 +62,9 @@ from docs d join kept k using (doc_id)
 """,
 }
 
+#: Without the floor of eight words: only blank lines are exempt.
+SQL["op7_line_hash_dedup_all"] = SQL["op7_line_hash_dedup"].replace(" and len(string_split(t, ' ')) >= 8", "")
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -129,7 +132,17 @@ def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelake.llm.substring import repeated_units
 
-    found = repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8)
+    return unit_digest(repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8))
+
+
+def op7_line_hash_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of any number of words."""
+    from sievelake.llm.substring import repeated_units
+
+    return unit_digest(repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=1))
+
+
+def unit_digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         F.col("n_units").cast("long").alias("n_units"),

@@ -1,0 +1,28 @@
+"""Line hashing without a floor of words, against its SQL and on a passage laid out in short lines."""
+
+import duckdb
+
+from sievelake.llm import registry
+
+TEXTS = ["Rain came\nthe old bridge fell\n\n\nup", "top\nrain  CAME\nThe old bridge fell\n\nend", None, "", "up\nup"]
+
+
+def test_short_lines_go(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.op7_line_hash_dedup_all(spark, str(tmp_path)).collect())
+    assert [(r[0], r[2], r[3]) for r in got] == [(0, 0, ""), (1, 2, "4:14,15:34"), (2, 0, ""), (3, 0, ""), (4, 2, "0:2,3:5")]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.oracle_sql()["op7_line_hash_dedup_all"]).fetchall())
+
+
+def test_given_sql_keeps_its_floor():
+    assert ">= 8" in registry.oracle_sql()["op7_line_hash_dedup"] and ">= 8" not in registry.oracle_sql()["op7_line_hash_dedup_all"]
+
+
+def test_against_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    got = registry.op7_line_hash_dedup_all(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(registry.oracle_sql()["op7_line_hash_dedup_all"]).fetchall())
