@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted similarity.
 
-A benchmark item of n words is looked for in windows of n words. Windows are bags of ``k``-word shingles; their
+A benchmark item of n words is looked for in windows of n words; a text of fewer words is one window. Windows are bags of ``k``-word shingles; their
 similarity to the item is the sum of the lesser counts over the sum of the greater counts (the weights are counts).
 
 1. A window of any similarity to an item shares a shingle with it, so windows are laid around such places only:
@@ -107,10 +107,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, k: int = SHINGLE, similar
         bags = texts.join(places, "row_key").select("row_key", "doc_id", "near", words(F.col("text")).alias("w"))
         bags = ws.keep(bags.select("row_key", "doc_id", "near", F.size("w").alias("n"), shingles(F.col("w"), kk).alias("sh")), f"matched-{kk}")
 
-        # every window of the size that holds a shared shingle: starts from the shingle's place back
-        starts = lambda x: F.array_distinct(F.flatten(F.transform(x["ats"], lambda at: F.sequence(F.greatest(F.lit(0), at - (x["size"] - kk)), F.least(at, F.col("n") - x["size"])))))
-        fits = F.filter("near", lambda x: x["size"] <= F.col("n"))
-        at = F.flatten(F.transform(fits, lambda x: F.transform(starts(x), lambda s: F.struct(x["size"].alias("size"), s.alias("start"), F.slice("sh", s + 1, x["size"] - (kk - 1)).alias("bag")))))
+        # every window of the size that holds a shared shingle: starts from the shingle's place back; of a shorter text, the whole (a slice ends with it)
+        starts = lambda x: F.array_distinct(F.flatten(F.transform(x["ats"], lambda at: F.sequence(F.greatest(F.lit(0), at - (x["size"] - kk)), F.greatest(F.lit(0), F.least(at, F.col("n") - x["size"]))))))
+        at = F.flatten(F.transform("near", lambda x: F.transform(starts(x), lambda s: F.struct(x["size"].alias("size"), s.alias("start"), F.slice("sh", s + 1, x["size"] - (kk - 1)).alias("bag")))))
         windows = bags.select("row_key", F.inline(at))
         windows = in_blocks(simhash(windows, ["row_key", "size", "start"]), radius)
         prints = own.select("item_id", "size", F.explode("bag").alias("b")).groupBy("item_id", "size").agg(F.collect_list("b").alias("bag"))
@@ -118,8 +117,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, k: int = SHINGLE, similar
         near = windows.join(bounded(prints), ["size", "block", "bits"])
         near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).filter(first_block(F.col("print"), F.col("item_print"), radius) == F.col("block"))
         near = near.select("row_key", "item_id", "size", "start")
-        pairs = near.join(bags.select("row_key", "doc_id", "sh"), "row_key").join(bounded(own.select("item_id", "bag")), "item_id")
-        pairs = pairs.select("row_key", "doc_id", "item_id", "size", "start", bag_similarity(F.slice("sh", F.col("start") + 1, F.col("size") - (kk - 1)), F.col("bag")).alias("similarity"))
+        pairs = near.join(bags.select("row_key", "doc_id", "n", "sh"), "row_key").join(bounded(own.select("item_id", "bag")), "item_id")
+        pairs = pairs.select("row_key", "doc_id", "item_id", F.least("size", "n").alias("size"), "start", bag_similarity(F.slice("sh", F.col("start") + 1, F.col("size") - (kk - 1)), F.col("bag")).alias("similarity"))
         found.append(pairs.filter(F.col("similarity") >= similarity))
     if not found:
         return spark.createDataFrame([], "doc_id long, row_key long, item_id long, similarity double, start long, words long")
