@@ -526,11 +526,19 @@ _EMAIL, _CREDENTIAL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "(?i)(a
 
 @query(f"select doc_id, regexp_matches(text, '{_EMAIL}') as email, regexp_matches(text, '{_CREDENTIAL}') as credential from documents where regexp_matches(text, '{_EMAIL}') or regexp_matches(text, '{_CREDENTIAL}')")
 def pii_scope_screen(spark, d):
-    """Q13."""
+    """Q13 in part: e-mail and credentials."""
     r = t(spark, d, "documents").select("doc_id", F.col("text").rlike(_EMAIL).alias("email"), F.col("text").rlike(_CREDENTIAL).alias("credential"))
     return r.filter("email or credential")
 
 
+@query()
+def query_scope_screen(spark, d):
+    """Q13: every reason to refuse. No SQL: DuckDB's patterns can't look around."""
+    from sievelake.operators.regulatory import scope_flags
+
+    return t(spark, d, "documents").select("doc_id", *[flag.alias(name) for name, flag in scope_flags(F.col("text")).items()])
+
+
 @query("select page_id, regexp_extract(url, '^(https?)://([^/?#]+)', 2) as host, regexp_matches(url, '^https://') as secure, regexp_matches(url, '[?]') as has_query, not regexp_matches(url, '[?#@]') and regexp_matches(url, '^https?://[a-z0-9.-]+/') as allowed from pages")
 def url_allowlist(spark, d):
     """Q14, Q15."""
