@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sievelake import rules
 
+FORMS = ["relevance", "space", "lower", "type"]
+#: Blanks and word characters as in Python's re, for character classes; Java's short ones are ASCII.
+SPACES, WORD = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", r"\p{L}\p{N}_"
+
 
 def relevance_form(text: Column) -> Column:
     """F1 for ASCII letters: lower case, dashes and slashes to spaces, other signs to spaces, white space collapsed."""
@@ -27,6 +36,18 @@ def type_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+@pandas_udf(StructType([StructField(name, StringType()) for name in FORMS]))
+def whole_forms(text: pd.Series) -> pd.DataFrame:
+    """F1, F2 (and F4), F3 and F5 of texts in any alphabet: no built-in has NFKC or case folding."""
+
+    def forms(t):
+        folded = t.casefold()
+        relevance = re.sub(r"[^a-z0-9\s]+", " ", re.sub(r"[-_/]+", " ", unicodedata.normalize("NFKC", t).casefold()))
+        return " ".join(relevance.split()), " ".join(folded.split()), " ".join(t.lower().split()), re.sub("[^a-z0-9]+", " ", folded).strip()
+
+    return pd.DataFrame([(None,) * 4 if t is None else forms(t) for t in text], columns=FORMS)
+
+
 def has_phrase(normal_text: Column, normal_phrase: Column) -> Column:
     """a phrase in whole words; both sides are in relevance form, so padding with spaces decides it without a regex."""
     return (normal_phrase != "") & F.concat(F.lit(" "), normal_text, F.lit(" ")).contains(F.concat(F.lit(" "), normal_phrase, F.lit(" ")))
@@ -45,7 +66,7 @@ def tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
 
 def sentences(text: Column) -> Column:
     """pieces after a full stop, exclamation or question mark."""
-    return F.split(text, r"(?<=[.!?])\s+")
+    return F.split(text, f"(?<=[.!?])[{SPACES}]+")
 
 
 def tri_state(text: Column, yes: str, no: str) -> Column:

@@ -521,6 +521,31 @@ def tokens_overlap(spark, d):
     return t(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_intersect(words, F.lit(["the", "and", "der", "les", "los"]))).cast("long").alias("overlap"))
 
 
+# Whole texts of every language. No SQL: DuckDB has no case folding and its patterns can't look around.
+
+
+@query()
+def text_normalize_whole(spark, d):
+    """F1-F5."""
+    forms = t(spark, d, "documents").select("doc_id", X.whole_forms(F.col("text")).alias("form"))
+    return forms.select("doc_id", *[F.sha2(F.col(f"form.{name}").cast("binary"), 256).alias(name) for name in X.FORMS])
+
+
+@query()
+def tokens_overlap_whole(spark, d):
+    """F9, U3."""
+    words = X.tokens(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_intersect(words, F.lit(["the", "and", "der", "les", "los"]))).cast("long").alias("overlap"))
+
+
+@query()
+def first_sentence_whole(spark, d):
+    """The first sentence that has one of the words, trimmed; null without one."""
+    word = f"(?iu)(?<![{X.WORD}])(?:the|der|les|los)(?![{X.WORD}])"
+    found = F.get(F.filter(X.sentences(F.col("text")), lambda x: x.rlike(word)), 0)
+    return t(spark, d, "documents").select("doc_id", F.regexp_replace(found, f"^[{X.SPACES}]+|[{X.SPACES}]+\\z", "").alias("sentence"))
+
+
 _EMAIL, _CREDENTIAL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "(?i)(api[_-]?key|password|secret|token) *[:=]"
 
 
