@@ -4,6 +4,8 @@ Everything is one projection over the documents, in built-in functions: no excha
 
 A candidate is a maximal run of at least ``WINDOW`` characters of the base-64 and file-name safe alphabets that
 has a digit and that the allow-list doesn't name. Its class is that of its rarest character (hex, alnum, base64).
+A piece of a candidate between its signs is judged as it would be alone, by its own digit, allow-list and class, so
+``key=`` or ``/v1/`` before a secret doesn't hide it; its span is given unless another entropy span covers it.
 A window of ``WINDOW`` characters slides over it with the count of every symbol and the sum of n log2 n kept from
 step to step; the span reaches from the first to the last window whose entropy is at least the class's bound.
 
@@ -28,6 +30,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_-="
 CANDIDATE = rf"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])[0-9A-Za-z+/_=-]{{{WINDOW},}}"
+PIECE = rf"(?<![0-9A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z]{{{WINDOW},}}"
 #: Bits of entropy in a window of 20 characters from which a class's string counts as random.
 BOUNDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.9}
 #: Strings that look random and aren't: numbers, UUIDs, paths and slugs of words, the same few symbols again.
@@ -105,6 +108,7 @@ def scan_secrets(docs: DataFrame, *, allowed: tuple[str, ...] = ALLOWED, bounds:
     has = lambda word: text.contains(word)
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     df = df.select("*", every(ASSIGN).alias("m0"), F.when(has("AKIA"), every(ACCESS)).otherwise(none).alias("m1"), every(HEX).alias("m2"), every(CANDIDATE).alias("m3"))
+    df = df.withColumn("m4", F.when(F.size("m3") > 0, every(PIECE)).otherwise(none))
     df = df.select(
         "doc_id",
         "m0",
@@ -113,20 +117,26 @@ def scan_secrets(docs: DataFrame, *, allowed: tuple[str, ...] = ALLOWED, bounds:
         located(text, ACCESS, F.col("m1")).alias("f1"),
         located(text, HEX, F.col("m2")).alias("f2"),
         located(text, CANDIDATE, F.col("m3")).alias("f3"),
+        located(text, PIECE, F.col("m4")).alias("f4"),
     )
     assign = F.filter(F.arrays_zip(F.col("f0").alias("f"), F.col("values").alias("value")), lambda z: F.char_length(z["value"]) >= 6)
     df = df.select(
         "doc_id",
         "f3",
+        "f4",
         spans_of(F.transform(assign, lambda z: z["f"]), "assign").alias("s0"),
         spans_of(F.col("f1"), "access", lambda m: F.char_length(m["text"]) >= 20).alias("s1"),
         spans_of(F.col("f2"), "hex").alias("s2"),
     )
     known = lambda t: ~_any([t.rlike(p) for p in allowed])
     bound = lambda t: F.when(t.rlike("^[0-9a-fA-F]+$"), bounds["hex"]).when(t.rlike("^[0-9A-Za-z]+$"), bounds["alnum"]).otherwise(bounds["base64"])
-    judged = F.transform(F.filter("f3", lambda m: known(m["text"])), lambda m: F.struct(m["start"].alias("start"), window_entropy(m["text"], bound(m["text"])).alias("w")))
+    end = lambda m: m["start"] + F.char_length(m["text"])
+    df = df.withColumn("f3", F.filter("f3", lambda m: known(m["text"])))
+    pieces = F.filter("f4", lambda m: known(m["text"]) & F.exists("f3", lambda c: (c["start"] <= m["start"]) & (end(c) >= end(m))))
+    judged = F.transform(F.array_distinct(F.concat("f3", pieces)), lambda m: F.struct(m["start"].alias("start"), window_entropy(m["text"], bound(m["text"])).alias("w")))
     random = F.transform(F.filter(judged, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + m["w"]["last"] + WINDOW).alias("stop")))
     df = df.select("doc_id", F.array_sort(F.concat("s0", "s1", "s2")).cast(SPANS).alias("base"), F.when(F.size("f3") > 0, random).cast(SPANS).alias("more"))
+    df = df.withColumn("more", F.filter("more", lambda m: ~F.exists("more", lambda o: (o != m) & (o["start"] <= m["start"]) & (o["stop"] >= m["stop"]))))
     return df.select("doc_id", "base", F.when(F.col("more").isNull() | (F.size("more") == 0), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
