@@ -105,8 +105,7 @@ def evidence_tier(family: Column, status: Column, scope: Column, has_abstract: C
 OBSERVATIONAL = ("prospective_cohort", "retrospective_cohort", "case_control", "cross_sectional", "diagnostic_accuracy")
 SECONDARY = ("editorial_commentary_letter", "narrative_review", "systematic_review_meta_analysis", "systematic_review_without_meta_analysis")
 PRIMARY = (*OBSERVATIONAL, "randomized_controlled_trial", "nonrandomized_interventional_study", "pharmacokinetic_pharmacodynamic", "case_report", "case_series")
-ANIMAL_WORK = r"(?i)\b(?:animal model|animals?|mice|mouse|rats?|murine|zebrafish|preclinical)\b|\b(?:in\s+vitro|cell\s+line|ex\s+vivo)\b"
-PEOPLE = r"(?i)\b(?:humans?|patients?|participants?|subjects?|volunteers?|cohort|hospitalized|pregnan(?:t|cy)|clinical trial)\b"
+ANIMAL_WORK, PEOPLE = f"(?i){rules.one_of(rules.ANIMAL_WORDS)}", f"(?i){rules.one_of(rules.PEOPLE_WORDS)}"
 METHOD_WORDS = r"(?i)\b(?:methods?|methodology|performed|conducted|randomi[sz]ed|enrolled|included)\b"
 RESULT_WORDS = r"(?i)\b(?:results?|findings?|found|demonstrated|observed|concluded|conclusions?)\b"
 

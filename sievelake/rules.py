@@ -77,10 +77,19 @@ RECENCY_LEAST = 40
 ABSTENTIONS = ("not_reported", "not_extractable", "not_applicable", "unclear", "unknown", "unspecified")
 CHANGE_PRIORITY = {"integrity": 1, "membership": 2, "relevance": 3, "study": 4, "extraction": 5, "review": 6, "ranking": 7, "placement": 7, "comparability": 8}
 
-# Words of people and of animal work joined in one phrase.
-_PEOPLE, _ANIMAL = r"\b(?:patients?|participants?|humans?)\b", r"\b(?:mice|mouse|rats?|animals?|preclinical|in\s+vitro|cell\s+line)\b"
-_AND = r"\s+(?:and|with|alongside|as\s+well\s+as)\s+"
-MIXED = f"{_PEOPLE}{_AND}{_ANIMAL}|{_ANIMAL}{_AND}{_PEOPLE}"
+# Words of people and of animal work, and what joins the two in one phrase.
+PEOPLE_JOINED = ("patients?", "participants?", "humans?")
+PEOPLE_WORDS = ("humans?", "patients?", "participants?", "subjects?", "volunteers?", "cohort", "hospitalized", "pregnant", "pregnancy", "clinical trial")
+ANIMAL_JOINED = ("mice", "mouse", "rats?", "animals?", "preclinical", r"in\s+vitro", r"cell\s+line")
+ANIMAL_WORDS = (*ANIMAL_JOINED, "animal model", "murine", "zebrafish", r"ex\s+vivo")
+JOINTS = ("and", "with", "alongside", r"as\s+well\s+as")
+
+
+def one_of(words: tuple[str, ...]) -> str:
+    return rf"\b(?:{'|'.join(words)})\b"
+
+
+MIXED = "|".join(rf"{one_of(a)}\s+(?:{'|'.join(JOINTS)})\s+{one_of(b)}" for a, b in ((PEOPLE_JOINED, ANIMAL_JOINED), (ANIMAL_JOINED, PEOPLE_JOINED)))
 
 # Study designs by text, in order, with what they are called.
 DESIGN_TEXT = (
