@@ -3,9 +3,9 @@
 Each task reads its documents as a stream and keeps one level array: the number of partially filled
 windows at every fill level. A document's remainder (what is left after its full windows) goes to the
 level that makes the sum of squared counts smallest, a new window being level 0. Windows that are full
-are emitted at once, so a task holds its open windows only. When its stream ends, or when more than
-``max_open`` windows are open, the contents of the open windows are laid end to end and cut at window
-boundaries; so a task leaves one padded window at most, and no exchange is needed at any scale.
+are emitted at once, so a task holds its open windows only. When its stream ends, the fullest open windows
+are topped up with what the emptiest hold, cut where a window is full: windows keep what placement gave them, and a
+task leaves one padded window at most. No exchange is needed at any scale.
 
 Defined results: a null or empty text is one sequence piece holding the end id alone; repeated rows and
 repeated ids are packed as separate documents; an empty table gives no rows; other columns are ignored.
@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
+from sievelake.llm.common import give_back, small_batches
+
 WINDOW = 4096
 END_ID = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -38,9 +40,12 @@ class WordEncoder:
     of a text are those of its parts between them. A word of ASCII and of precomposed Latin-1 letters is
     lower-cased and split here as the tokenizer's own rules do it, and its parts go to the tokenizer's merge
     model; any other word goes through the whole tokenizer. ``tests/llm`` holds both against whole texts.
+
+    The tables hold words of up to ``longest`` characters, so their numbers bound their bytes; a table that is full is
+    emptied, which costs time and changes no result.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 600_000):
+    def __init__(self, path: str, most_words: int = 150_000, most_parts: int = 150_000, longest: int = 48):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,8 +53,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.most_words, self.most_parts = most_words, most_parts
-        self.words: dict[str, bytes] = {"": b""}
+        self.most_words, self.most_parts, self.longest = most_words, most_parts, longest
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,19 +64,22 @@ class WordEncoder:
     def part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) >= self.most_parts:
-                self.parts.clear()
             text = part if part.isascii() else "".join(map(self.as_text.__getitem__, part.encode()))
-            got = self.parts[part] = b"".join([self.id_bytes[t.id] for t in self.merge(text)])
+            got = b"".join([self.id_bytes[t.id] for t in self.merge(text)])
+            if len(part) <= self.longest:
+                if len(self.parts) >= self.most_parts:
+                    self.parts.clear()
+                self.parts[part] = got
         return got
 
     def learn(self, words: set[str]) -> None:
-        words = words.difference(self.words)
-        if len(self.words) + len(words) > self.most_words:
+        """Puts all of the words into the table, which may be emptied before."""
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > self.most_words:
             self.words.clear()
-            self.words[""] = b""
+            new = words
         odd = []
-        for word in words:
+        for word in new:
             if PLAIN(word) and "<|" not in word:
                 self.words[word] = b"".join(map(self.part, PARTS(word.lower())))
             else:
@@ -80,27 +88,30 @@ class WordEncoder:
             for word, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
                 self.words[word] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        out = []
-        if len(words) > self.most_words // 4:  # a text of very many different words: in portions
-            for one in split:
-                ids = []
-                for i in range(0, len(one), 10_000):
-                    self.learn(set(one[i : i + 10_000]))
-                    ids += map(self.words.__getitem__, one[i : i + 10_000])
-                out.append(b"".join(ids))
-            return out
+    def encode(self, texts: list[str], portion: int = 50_000) -> list[bytes]:
+        """The ids of each text; its words are looked up in portions, so that a long text needs no table of its own size."""
+        out, at = [[] for _ in texts], 0
+        queue: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            words = text.replace("\n", " ").split(" ")
+            for a in range(0, len(words), portion):
+                part = words[a : a + portion]
+                queue.append((i, part))
+                at += len(part)
+                if at >= portion:
+                    self._emit(queue, out)
+                    queue, at = [], 0
+        self._emit(queue, out)
+        return [b"".join(x) for x in out]
+
+    def _emit(self, queue: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        words = set().union(*[part for _, part in queue])
         self.learn(words)
-        get = self.words.__getitem__
-        for one in split:
-            try:
-                out.append(b"".join(map(get, one)))
-            except KeyError:  # the table was emptied meanwhile
-                self.learn(set(one))
-                out.append(b"".join(map(get, one)))
-        return out
+        for i, part in queue:
+            out[i].append(b"".join(map(self.words.__getitem__, part)))
+        for word in words:
+            if len(word) > self.longest:
+                del self.words[word]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -112,26 +123,27 @@ def encoder(path: str) -> WordEncoder:
 class Packer:
     """The level array and the open windows of one task; ``add`` yields the windows that it completes.
 
-    A window is a list of pieces (document, start, length, document's ids, ids as bytes).
+    A window is a list of pieces (document, start, length, document's ids, ids as bytes). ``placed`` counts the windows
+    that placement completes, ``topped`` those that ``finish`` tops up, ``own`` the full ones of long documents.
     """
 
-    def __init__(self, window: int = WINDOW, max_open: int = 2048):
-        self.window, self.max_open = window, max_open
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.count = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
+        self.own = self.placed = self.topped = 0
 
     def add(self, doc, ids: bytes) -> Iterator[list]:
         total, at = len(ids) // 4, 0
         while total - at >= self.window:
+            self.own += 1
             yield [(doc, at, self.window, total, ids[4 * at : 4 * (at + self.window)])]
             at += self.window
         if at < total:
             full = self.place((doc, at, total - at, total, ids[4 * at :]))
             if full:
+                self.placed += 1
                 yield full
-            if self.n_open > self.max_open:
-                yield from self.drain()
 
     def best_level(self, size: int) -> int:
         """The level whose use changes the sum of squares least; among equals the fullest."""
@@ -152,7 +164,6 @@ class Packer:
         if level:
             held = self.open[level].pop()
             self.count[level] -= 1
-            self.n_open -= 1
         else:
             held = []
         held.append(piece)
@@ -160,43 +171,46 @@ class Packer:
         if level == self.window:
             return held
         self.count[level] += 1
-        self.n_open += 1
         self.open.setdefault(level, []).append(held)
         return None
 
-    def drain(self) -> Iterator[list]:
-        """Closes all open windows: their pieces end to end, cut where a window is full."""
-        row, used = [], 0
-        for level in sorted(self.open, reverse=True):
-            for held in self.open[level]:
-                for doc, start, length, total, ids in held:
-                    while length:
-                        part = min(length, self.window - used)
-                        row.append((doc, start, part, total, ids[: 4 * part]))
-                        start, length, ids, used = start + part, length - part, ids[4 * part :], used + part
-                        if used == self.window:
-                            yield row
-                            row, used = [], 0
-        if row:
+    def finish(self) -> Iterator[list]:
+        """The open windows, the fullest first, each topped up with pieces of the emptiest; the last may stay short."""
+        left = [(level, held) for level in sorted(self.open) for held in self.open[level]]
+        first = 0  # the emptiest that still has pieces
+        while first < len(left):
+            level, row = left.pop()
+            while level < self.window and first < len(left):
+                size, held = left[first]
+                doc, start, length, total, ids = held.pop()
+                part = min(length, self.window - level)
+                row.append((doc, start, part, total, ids[: 4 * part]))
+                level += part
+                if part < length:
+                    held.append((doc, start + part, length - part, total, ids[4 * part :]))
+                left[first] = (size - part, held)
+                first += not held
+            self.topped += 1
             yield row
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.count[:] = 0
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, max_open: int = 2048, with_ids: bool = False, doc_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, doc_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: its document, place there, place in its sequence, CRC-32 and, on request, its ids.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, packer, base, serial = encoder(tokenizer), Packer(window, max_open), TaskContext.get().partitionId() << 36, 0
+        words, packer, base, serial = encoder(tokenizer), Packer(window), TaskContext.get().partitionId() << 36, 0
 
         def rows(windows):
             nonlocal serial
@@ -219,7 +233,8 @@ def pack_documents(
                 done = [w for doc, ids in zip(part.column(0).to_pylist(), words.encode(texts), strict=True) for w in packer.add(doc, ids + end)]
                 if done:
                     yield rows(done)
-        if last := list(packer.drain()):
+        if last := list(packer.finish()):
             yield rows(last)
+        give_back()
 
     return docs.select(docs[doc_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)

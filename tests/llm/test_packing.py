@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from sievelake.llm.packing import Packer, encoder, pack_documents
+from sievelake.llm.packing import Packer, WordEncoder, encoder, pack_documents
 from sievelake.llm.registry import tokenizer_path
 
 ODD = ["", None, "a", "It's a\ttest of  the\n\nthing's <|endoftext|>x", "é" * 30, "ÀÉ ﬁ Σ ΑΣ é ́", "12 3.4!? " * 3000, "same", "same", "don't 'Twas 's''t x<|y <|z A1b2 É.È,ß÷× ª º µ"]
@@ -55,7 +55,7 @@ def test_empty_table(spark):
 
 
 def test_level_is_the_least_sum_of_squares():
-    rng, p = np.random.default_rng(1), Packer(16, 10_000)
+    rng, p = np.random.default_rng(1), Packer(16)
     for i in range(300):
         size = int(rng.integers(1, 16))
         options = []
@@ -71,3 +71,36 @@ def test_level_is_the_least_sum_of_squares():
         p.place((i, 0, size, size, b"0000" * size))
         c = p.count.copy()
         assert (c**2).sum() == min(options)[0]
+
+
+@pytest.mark.parametrize("words, parts, portion", [(3, 2, 4), (1, 1, 1), (10, 5, 100)])
+def test_full_tables_change_no_ids(words, parts, portion):
+    small = WordEncoder(tokenizer_path(), words, parts, longest=6)
+    texts = [t or "" for t in ODD] + ["a b c d e f g h the the The a b", "the " * 50 + "abcdefghijkl 12 ü"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() + [2] for x in small.encode(texts, portion)] == [whole(t) for t in texts]
+    assert all(len(w) <= 6 for w in small.words)
+
+
+def test_very_many_different_words(spark):
+    text = "the " + " ".join(f"w{i}x" for i in range(400_000)) + " the"
+    got = pack_documents(spark.createDataFrame([(1, text), (2, text[:2_000_000])], "doc_id long, text string"), tokenizer_path(), with_ids=True).collect()
+    ids = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start))
+    assert np.frombuffer(ids, "<u4").tolist() == whole(text)
+
+
+def test_placement_fills_the_windows():
+    rng, p, full, sizes = np.random.default_rng(5), Packer(512), [], []
+    for i in range(4000):
+        sizes.append(int(rng.integers(1, 700)))
+        full += p.add(i, b"0000" * sizes[-1])
+    rest = list(p.finish())
+    used = [sum(x[2] for x in row) for row in full + rest]
+    assert used[:-1] == [512] * (len(used) - 1) and sum(used) == sum(sizes)
+    assert p.topped == len(rest) < 0.2 * p.placed
+    seen = [set() for _ in sizes]
+    for row in full + rest:
+        for doc, start, length, total, ids in row:
+            assert total == sizes[doc] and len(ids) == 4 * length and not seen[doc] & set(range(start, start + length))
+            seen[doc] |= set(range(start, start + length))
+    assert [len(s) for s in seen] == sizes
