@@ -58,3 +58,13 @@ def test_against_plain_python(spark):
 
 def test_empty_table(spark):
     assert S.secret_digest(S.scan_secrets(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_long_tokens_and_many_matches(spark):
+    texts = ["ab-" * 60_000 + "12", "a" * 200_000 + "1", "/v1/" * 50_000 + "x9", " ".join(f"token={i:06d}" for i in range(100_000)), "9F86D081884C7D659A2F-" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    got = {r.doc_id: r for r in S.secret_digest(S.scan_secrets(docs)).collect()}
+    assert [got[i].n_assign for i in range(5)] == [0, 0, 0, 100_000, 0]
+    say = lambda spans: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    assert got[3].base_sha256 == hashlib.sha256(say(base(texts[3])).encode()).hexdigest()
+    assert got[0].spans == got[2].spans == "" and got[1].spans == "hex:0:200001" and got[4].spans.startswith("entropy:0:")
