@@ -1,95 +1,116 @@
 """Winnowing over line hashes: runs of lines that an earlier place has already are deleted.
 
-Blank lines aside, each line is normalised and hashed; a line of many words counts as several units, one for
-each ``unit_words`` words begun. A window is ``window`` units in a row. A unit goes if it lies in a window that
-also stands earlier, by (document id, position); a line goes with any of its units. So runs of ``window`` units
-or more are found wherever they stand, whatever surrounds them.
-
-1. Each window selects its least unit hash (the leftmost of equals), a fingerprint. Equal windows select the
-   same one at the same place, so a run of a window's length or more shares a selected fingerprint for certain.
-2. Fingerprints that one position alone has selected are dropped by a count over all documents.
-3. At the positions that are left, the match is extended both ways: every window around the position that
-   selects it is compared with all others by a digest, keeping the earliest place of each. These are grouped
-   counts and minima with partial aggregates, so a passage of a third of all documents never meets in one task,
-   and no pairs are made.
-4. The units of all later windows go.
+A line is cut into pieces where one of ``. ! ? ; : ,`` stands before a blank, so that a passage that begins or ends
+inside a line still shares its inner pieces. Blank ones aside, a piece is normalised and counts as one unit for each
+``unit_words`` words begun. ``gram`` units in a row are a gram, known by its MD5.
+
+1. Each window of ``window`` grams selects its least one (the leftmost of equals): a fingerprint. Two runs of
+   ``window + gram - 1`` equal units have a window in common, and so share a fingerprint for certain. Only selected
+   grams leave a document; those that one place alone has selected are dropped by a count over all documents.
+2. Positions are joined: each place of a fingerprint with the one before it in its own document, or else with the
+   fingerprint's earliest place of all, by (document id, key of the row, position). So a place makes one pair, however
+   many documents hold the passage, and a text that repeats itself stays on few diagonals.
+3. Matches are extended both ways: along the diagonal of a pair the units of both documents are compared, and runs of
+   ``gram`` equal units or more count as repeated.
+4. A piece goes with any of its units that is repeated; the earliest place stays.
+
+A hot passage's join has one row on one side and is split by AQE on the other; both sides are written tables.
 
 Defined results: null and empty texts have no lines; rows without an id rank last; rows that repeat both id and
 text count as one place and are treated alike; an empty table gives no rows; documents with nothing deleted keep
-their text as it is; other columns are kept by ``drop_repeated_lines`` and ignored elsewhere.
+their text as it is; other columns, whatever their names, are kept by ``drop_repeated_lines`` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sievelake.llm.common import Workspace
-from sievelake.llm.substring import keyed, normal, rank
+from sievelake.llm.common import KEY, Workspace, first_id, fresh, keyed, let, normal_pieces, pieces, with_key, without, word_count
 
-WINDOW, UNIT_WORDS = 3, 16
+GRAM, WINDOW, UNIT_WORDS = 3, 3, 8
 
 
-def repeated_lines(docs: DataFrame, *, window: int = WINDOW, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key and the sorted numbers of the lines to delete, for documents that have any."""
+def units_of(text: Column, unit_words: int) -> Column:
+    """The units of a text: {t, piece}."""
+    some = F.filter(F.transform(normal_pieces(text), lambda p, i: F.struct(p.alias("t"), i.alias("piece"))), lambda x: x["t"] != "")
+    more = lambda x: F.sequence(F.lit(0), F.floor((word_count(x["t"]) - 1) / unit_words).cast("int"))
+    return F.flatten(F.transform(some, lambda x: F.transform(more(x), lambda j: F.struct(F.concat(x["t"], F.lit("\n"), j.cast("string")).alias("t"), x["piece"].alias("piece")))))
+
+
+def grams_of(units: Column, gram: int) -> Column:
+    """MD5 of every ``gram`` units in a row."""
+    name = lambda i: F.md5(F.concat_ws("\v", *[F.get(units, i + k)["t"] for k in range(gram)]).cast("binary"))
+    return F.transform(F.sequence(F.lit(0), F.size(units) - gram), name)
+
+
+def selected(grams: Column, window: int) -> Column:
+    """The grams that some window selects: {print, pos}. Fewer grams than a window are one window."""
+    n = F.size(grams)
+    far = F.least(F.lit(window - 1), n - 1)
+
+    def least_of(i):
+        part = F.slice(grams, i + 1, far + 1)
+        return i + F.array_position(part, F.array_min(part)).cast("int") - 1
+
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1 - far), least_of))
+    return F.transform(chosen, lambda i: F.struct(F.xxhash64(F.get(grams, i)).alias("print"), i.alias("pos")))
+
+
+def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k1, k2 and the sorted numbers of the pieces to delete, for documents that have any."""
     ws = Workspace(docs.sparkSession, "winnow")
-    docs = keyed(docs, id_col, text_col)
-    lines = F.transform(F.transform(F.split("text", "\n", -1), normal), lambda t, i: F.struct(t.alias("text"), i.alias("line")))
-    full = F.filter(lines, lambda x: x["text"] != "")
-    hashed = F.transform(full, lambda x: F.struct(F.xxhash64(x["text"]).alias("h"), F.floor((F.size(F.split(x["text"], " ")) - 1) / unit_words).cast("int").alias("more"), x["line"].alias("line")))
-    units = F.flatten(F.transform(hashed, lambda x: F.transform(F.sequence(F.lit(0), x["more"]), lambda j: F.struct(F.xxhash64(x["h"], j).alias("h"), x["line"].alias("line")))))
-    docs = docs.select("doc_id", "row_key", units.alias("units")).filter(F.size("units") >= window)
-
-    at = F.sequence(F.lit(1), F.size("units") - (window - 1))
-    here = lambda i: F.slice(F.col("units"), i, window)
-    hashes = lambda i: F.transform(here(i), lambda u: u["h"])
-    told = F.transform(at, lambda i: F.struct(i.alias("at"), hashes(i).alias("hs"), F.transform(here(i), lambda u: u["line"]).alias("lines")))
-    wins = docs.select("doc_id", "row_key", F.inline(told))
-    least = F.array_min("hs")
-    wins = wins.select(
+    docs = keyed(docs, id_col, text_col).select(*KEY, first_id().alias("doc_id"), units_of(F.col("text"), unit_words).alias("units")).filter(F.size("units") >= gram)
+    told = docs.select(
+        *KEY,
         "doc_id",
-        "row_key",
-        "at",
-        least.alias("print"),
-        (F.col("at") + F.array_position("hs", least) - 1).cast("int").alias("position"),
-        F.xxhash64("hs").alias("w1"),
-        F.xxhash64(F.reverse("hs"), F.lit(11)).alias("w2"),
-        F.array_distinct("lines").alias("lines"),
+        F.transform("units", lambda u: F.xxhash64(u["t"])).alias("hs"),
+        F.transform("units", lambda u: u["piece"]).alias("ps"),
+        let(grams_of(F.col("units"), gram), lambda g: selected(g, window)).alias("prints"),
     )
-    wins = ws.keep(wins, "windows")
-    place = rank("position")
-    prints = wins.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("print")
-    # small tables of their own, so that both sides of a join are exchanged and a hot key's part can be split
-    prints = ws.keep(prints, "prints")
-    shared = ws.keep(wins.join(prints, "print"), "shared")
-    first = shared.groupBy("w1", "w2").agg(F.min(rank("at")).alias("first"), F.max(rank("at")).alias("last")).filter("first <> last").drop("last")
-    first = ws.keep(first, "first")
-    later = shared.join(first, ["w1", "w2"]).filter(rank("at") != F.col("first"))
-    return later.select("row_key", F.explode("lines").alias("line")).groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    told = ws.keep(told, "units")
+    several = ws.keep(told.select(F.explode("prints.print").alias("print")).groupBy("print").count().filter("count > 1").select("print"), "several")
+    shared = ws.keep(told.select(*KEY, "doc_id", F.inline("prints")).join(several, "print"), "shared")
+    ws.drop("several")
+    first = ws.keep(shared.groupBy("print").agg(F.min(F.struct("doc_id", *KEY, "pos")).alias("first")), "first")
+
+    before = F.lag("pos").over(Window.partitionBy(*KEY, "print").orderBy("pos"))
+    placed = shared.select("print", *KEY, "pos", before.alias("before")).join(first, "print")
+    same = F.col("before").isNotNull()
+    pairs = placed.select(*KEY, F.when(same, F.col("k1")).otherwise(F.col("first.k1")).alias("p1"), F.when(same, F.col("k2")).otherwise(F.col("first.k2")).alias("p2"), (F.col("pos") - F.coalesce("before", "first.pos")).alias("off"))
+    pairs = pairs.filter((F.col("k1") != F.col("p1")) | (F.col("k2") != F.col("p2")) | (F.col("off") != 0))
+    pairs = ws.keep(pairs.groupBy(*KEY, "p1", "p2").agg(F.collect_set("off").alias("offs")), "pairs")
+    ws.drop("shared", "first")
+
+    theirs = told.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("hs").alias("theirs")).join(pairs.select("p1", "p2").distinct(), ["p1", "p2"], "left_semi")
+    both = pairs.join(ws.keep(theirs.dropDuplicates(["p1", "p2"]), "theirs"), ["p1", "p2"]).join(told.select(*KEY, "hs", "ps"), KEY)
+    equal = lambda off: F.transform("hs", lambda h, i: (i >= off) & F.coalesce(h == F.get("theirs", i - off), F.lit(False)))
+    run = lambda e, i: F.forall(F.slice(e, i + 1, gram), lambda x: x) & (i <= F.size(e) - gram)
+    starts = lambda e: F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: run(e, i))
+    hits = F.array_distinct(F.flatten(F.transform("offs", lambda off: let(equal(off), starts))))
+    gone = both.select(*KEY, "ps", hits.alias("hits")).filter(F.size("hits") > 0)
+    gone = gone.select(*KEY, F.array_distinct(F.flatten(F.transform("hits", lambda i: F.slice("ps", i + 1, gram)))).alias("gone"))
+    return ws.keep(gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
 
 
 def winnow_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """Per document: doc_id, n_lines, removed (numbers of the deleted lines, from 0) and kept (the text without them)."""
+    """Per document: doc_id, n_units (pieces), removed (numbers of the deleted pieces, from 0) and kept (the text without them)."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings)
-    out = keyed(docs, id_col, text_col).join(gone, "row_key", "left").withColumn("parts", F.split("text", "\n", -1))
+    out = keyed(docs, id_col, text_col).join(gone, KEY, "left")
     return out.select(
         "doc_id",
-        F.when(F.col("text") == "", 0).otherwise(F.size("parts")).alias("n_lines"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(pieces(F.col("text")))).alias("n_units"),
         F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept_text()).alias("kept"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(pieces(F.col("text")), F.col("gone"))).alias("kept"),
     )
 
 
-def kept_text():
-    return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get("parts", i)), "\n")
-
-
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents, all columns, without repeated lines; those of which nothing but blanks is left go."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings).withColumnRenamed("row_key", "__key").withColumnRenamed("gone", "__gone")
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.withColumn("__key", key).join(gone, "__key", "left")
-    parts = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone"), lambda i: F.get(parts, i)), "\n")
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
-    return out.filter(F.col("__gone").isNull() | (F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "")).select(*docs.columns)
+    out, key = with_key(docs, id_col, text_col)
+    mark = fresh(out, "__gone")
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings)
+    out = out.join(gone.select(*[F.col(k).alias(n) for k, n in zip(KEY, key, strict=True)], F.col("gone").alias(mark)), key, "left")
+    out = out.withColumn(text_col, F.when(F.col(mark).isNull(), out[text_col]).otherwise(without(pieces(out[text_col]), F.col(mark))))
+    return out.filter(F.col(mark).isNull() | (F.trim(F.regexp_replace(out[text_col], r"\s+", " ")) != "")).drop(*key, mark)

@@ -12,59 +12,70 @@ from sievelake.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
-#: A line as it is compared: lower case, white space runs to one space, trimmed.
-_NORMAL = r"trim(regexp_replace(lower(raw), '\s+', ' ', 'g'))"
+_DOCS = r"""
+docs as (select doc_id, coalesce(text, '') as text from documents),
+whole as (select doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?;:,]) ', '\1' || chr(1) || ' ', 'g'), chr(1)) as parts from docs),
+pieces as (select doc_id, unnest(range(len(parts))) as piece, unnest(parts) as raw, len(parts) as n from whole),
+clean as (select *, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) as t, raw like '%' || chr(10) as ended from pieces),
+placed as (select *, coalesce(sum(ended::int) over before, 0) as line, coalesce(sum(length(raw)) over before, 0) as start, coalesce(lag(ended) over (partition by doc_id order by piece), true) as begins
+  from clean window before as (partition by doc_id order by piece rows between unbounded preceding and 1 preceding))"""
+_KEPT = """
+stay as (select p.*, lag(p.line) over w as line0, lag(p.ended) over w as ended0 from placed p left join gone g on p.doc_id = g.doc_id and p.piece = g.piece where g.piece is null window w as (partition by p.doc_id order by p.piece)),
+kept as (select doc_id, string_agg(case when line0 < line and not ended0 then chr(10) else '' end || raw, '' order by piece) as kept from stay group by doc_id)"""
 
 SQL = {
     "op4_line_winnowing": rf"""
-with docs as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
-lines as (select doc_id, unnest(range(len(parts))) as line, unnest(parts) as raw from docs),
-clean as (select doc_id, line, {_NORMAL} as t from lines),
+with {_DOCS},
 units as (
-  select doc_id, line, j, t || chr(10) || j as u, row_number() over (partition by doc_id order by line, j) as pos
-  from (select doc_id, line, t, unnest(range((len(string_split(t, ' ')) - 1) // 16 + 1)) as j from clean where t <> '')
+  select doc_id, piece, t || chr(10) || j as u, row_number() over (partition by doc_id order by piece, j) - 1 as pos
+  from (select doc_id, piece, t, unnest(range((len(string_split(t, ' ')) - 1) // 8 + 1)) as j from clean where t <> '')
 ),
-windows as (
-  select * from (
-    select doc_id, pos, sha256(u || chr(11) || lead(u, 1) over w || chr(11) || lead(u, 2) over w) as h,
-      [line, lead(line, 1) over w, lead(line, 2) over w] as lines
-    from units window w as (partition by doc_id order by pos)
-  ) where h is not null
+grams as (select * from (select doc_id, pos, md5(u || chr(11) || lead(u, 1) over w || chr(11) || lead(u, 2) over w) as g from units window w as (partition by doc_id order by pos)) where g is not null),
+least as (
+  select doc_id, pos, count(*) over (partition by doc_id) as n,
+    min(g || lpad(cast(pos as varchar), 10, '0')) over (partition by doc_id order by pos rows between current row and 2 following) as best
+  from grams
 ),
-later as (select doc_id, lines from (select *, row_number() over (partition by h order by doc_id, pos) as n from windows) where n > 1),
-gone as (select distinct doc_id, unnest(lines) as line from later),
-kept as (
-  select l.doc_id, string_agg(l.raw, chr(10) order by l.line) filter (where g.line is null) as kept,
-    count(g.line) as n_removed, string_agg(cast(g.line as varchar), ',' order by g.line) as removed_lines
-  from lines l left join gone g on l.doc_id = g.doc_id and l.line = g.line group by l.doc_id
-)
-select d.doc_id, cast(case when d.text = '' then 0 else len(d.parts) end as bigint) as n_lines, k.n_removed,
-  coalesce(k.removed_lines, '') as removed_lines, sha256(coalesce(k.kept, '')) as kept_sha256
-from docs d join kept k using (doc_id)
+prints as (select distinct doc_id, substr(best, 1, 32) as g, cast(substr(best, 33) as bigint) as pos from least where pos <= greatest(0, n - 3)),
+joined as (
+  select doc_id, pos, lag(pos) over (partition by doc_id, g order by pos) as before, first_value(doc_id) over w as doc0, first_value(pos) over w as pos0
+  from prints window w as (partition by g order by doc_id, pos)
+),
+pairs as (select distinct doc_id, case when before is null then doc0 else doc_id end as other, pos - coalesce(before, pos0) as off from joined),
+equal as (
+  select p.doc_id, p.other, p.off, a.pos, a.piece from pairs p join units a on a.doc_id = p.doc_id join units b on b.doc_id = p.other and b.pos = a.pos - p.off and b.u = a.u
+  where p.doc_id <> p.other or p.off <> 0
+),
+runs as (select *, pos - row_number() over (partition by doc_id, other, off order by pos) as run from equal),
+gone as (select distinct doc_id, piece from (select *, count(*) over (partition by doc_id, other, off, run) as n from runs) where n >= 3),
+{_KEPT},
+removed as (select doc_id, count(*) as n_removed, string_agg(cast(piece as varchar), ',' order by piece) as removed_units from gone group by doc_id)
+select d.doc_id, cast(case when d.text = '' then 0 else len(w.parts) end as bigint) as n_units, coalesce(r.n_removed, 0) as n_removed,
+  coalesce(r.removed_units, '') as removed_units, sha256(coalesce(k.kept, '')) as kept_sha256
+from docs d join whole w using (doc_id) left join kept k using (doc_id) left join removed r using (doc_id)
 """,
     "op7_line_hash_dedup": rf"""
-with docs as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
-lines as (select doc_id, unnest(range(len(parts))) as line, unnest(parts) as raw from docs),
-placed as (
-  select *, sum(length(raw) + 1) over (partition by doc_id order by line) - length(raw) - 1 as start from (select *, {_NORMAL} as t from lines)
-),
+with {_DOCS},
 ranked as (
-  select *, t <> '' and len(string_split(t, ' ')) >= 8 and row_number() over (partition by t order by doc_id, line) > 1 as gone from placed
+  select doc_id, piece, len(string_split(t, ' ')) as words, begins and (ended or piece = n - 1) as whole, row_number() over (partition by doc_id order by piece) as nr,
+    row_number() over (partition by t order by doc_id, piece) > 1 as later
+  from placed where t <> ''
 ),
-kept as (
-  select doc_id, string_agg(raw, chr(10) order by line) filter (where not gone) as kept, count(*) filter (where gone) as n_removed,
-    string_agg(start || ':' || (start + length(raw)), ',' order by line) filter (where gone) as removed_spans
-  from ranked group by doc_id
+runs as (select *, nr - row_number() over (partition by doc_id order by piece) as head from ranked where later),
+summed as (select *, sum(words) over (partition by doc_id, head) as run from runs),
+gone as (select * from summed where whole or run >= 8),
+{_KEPT},
+removed as (
+  select doc_id, count(*) as n_removed, count(distinct head) filter (where run >= 24) as n_passages,
+    string_agg(start || ':' || (start + length(rtrim(raw, chr(10)))), ',' order by piece) as removed_spans
+  from gone join placed using (doc_id, piece) group by doc_id
 )
-select d.doc_id, cast(case when d.text = '' then 0 else len(d.parts) end as bigint) as n_units, k.n_removed,
-  coalesce(k.removed_spans, '') as removed_spans, sha256(coalesce(k.kept, '')) as kept_sha256
-from docs d join kept k using (doc_id)
+select d.doc_id, cast(case when d.text = '' then 0 else len(w.parts) end as bigint) as n_units, coalesce(r.n_removed, 0) as n_removed, coalesce(r.n_passages, 0) as n_passages,
+  coalesce(r.removed_spans, '') as removed_spans, sha256(coalesce(k.kept, '')) as kept_sha256
+from docs d join whole w using (doc_id) left join kept k using (doc_id) left join removed r using (doc_id)
 """,
 }
 
-#: Without the floor of eight words: only blank lines are exempt.
-SQL["op7_line_hash_dedup_all"] = SQL["op7_line_hash_dedup"].replace(" and len(string_split(t, ' ')) >= 8", "")
-
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -122,9 +133,9 @@ def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow_lines(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
-        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_units").cast("long").alias("n_units"),
         F.size("removed").cast("long").alias("n_removed"),
-        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_units"),
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )
 
@@ -132,21 +143,12 @@ def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelake.llm.substring import repeated_units
 
-    return unit_digest(repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8))
-
-
-def op7_line_hash_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of any number of words."""
-    from sievelake.llm.substring import repeated_units
-
-    return unit_digest(repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=1))
-
-
-def unit_digest(found: DataFrame) -> DataFrame:
+    found = repeated_units(table(spark, sf_dir, "documents"), unit="line")
     return found.select(
         "doc_id",
         F.col("n_units").cast("long").alias("n_units"),
         F.size("removed").cast("long").alias("n_removed"),
+        F.col("n_passages").cast("long").alias("n_passages"),
         F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias("removed_spans"),
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )

@@ -1,10 +1,13 @@
 """Line or paragraph hashing: repeated units of text are removed but for their earliest ranked occurrence.
 
-A unit (a line, or a paragraph between blank lines) is normalised - lower case, white space runs to one space,
-trimmed - and hashed to 128 bits. Units are grouped by digest over all documents with a partial aggregate, so a
-unit that a third of all documents hold is one row a task; the earliest occurrence by (document id, key of the
-row, unit number) stays, every later one goes with its offsets in the original text. Units of fewer than
-``min_words`` words are left alone.
+A unit is a line, or a piece of one (cut where one of ``. ! ? ; : ,`` stands before a blank), so that a passage that
+begins or ends inside a line still shares its inner units; or a paragraph between blank lines. It is normalised -
+lower case, white space runs to one space, trimmed - and hashed to 128 bits. Units are grouped by digest over all
+documents with partial aggregates, so a unit that a third of all documents hold is one row a task; the earliest
+occurrence by (document id, key of the row, unit number) stays, and later ones go with their offsets in the original
+text: whole lines and paragraphs of ``min_words`` words or more always, pieces of a line where the run of later
+occurrences that they stand in has ``run_words`` words or more, as a few words alone are no repetition. A ``passage``
+is such a run of ``passage_words`` words or more.
 
 Defined results: null and empty texts have no units; rows without an id rank last; rows that repeat both id and
 text count as one occurrence and are treated alike; within a document a later repeat goes too; an empty table
@@ -13,64 +16,99 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Workspace, text_or_empty
+from sievelake.llm.common import KEY, Workspace, first_id, keyed, let, normal_pieces, pieces, without, word_count
 
-BREAKS = {"line": "\n", "paragraph": "\n\n"}
 SPAN = "struct<unit:int,start:long,stop:long>"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and a key that tells rows of equal ids but different texts apart."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return docs.withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text"))
+def cut_of(unit: str) -> tuple:
+    """How a text is cut into units, and their normal forms."""
+    if unit == "line":
+        return pieces, normal_pieces
+    if unit == "paragraph":
+        cut = lambda text: F.split(text, r"(?<=\n\n)(?!\n)", -1)
+        return cut, lambda text: F.transform(cut(text), lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " ")))
+    raise ValueError(f"unit is line or paragraph, not {unit}")
 
 
-def normal(unit):
-    return F.trim(F.regexp_replace(F.lower(unit), r"\s+", " "))
+def running(values: Column, chunk: int = 256) -> Column:
+    """Sums of all values up to each one, in chunks, so that the copies of a growing array stay short."""
+    inner = lambda c, begin: F.aggregate(c, F.struct(begin.alias("at"), F.expr("cast(array() as array<long>)").alias("all")), lambda a, x: _add(a, x))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<long>>)").alias("all"))
+    step = lambda v: lambda a, c: let(inner(F.slice(v, c * chunk + 1, chunk), a["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(a["all"], F.array(r["all"])).alias("all")))
+    return let(values, lambda v: F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), begin, step(v), lambda a: a["all"])))
 
 
-def rank(*more: str):
-    """Orders occurrences: by document id, rows without one last."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row_key", *more)
+def _add(a: Column, x: Column) -> Column:
+    return F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all"))
 
 
-def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, text, n_units, removed (array of unit number, start, stop in code points) and kept text."""
-    ws, brk = Workspace(docs.sparkSession, "units"), BREAKS[unit]
+def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 1, run_words: int = 8, passage_words: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, text, n_units, removed (array of unit number, start, stop in code points), n_passages and kept text."""
+    ws, (cut, forms) = Workspace(docs.sparkSession, "units"), cut_of(unit)
     docs = keyed(docs, id_col, text_col)
-    units = docs.select("doc_id", "row_key", F.posexplode(F.split("text", brk.replace("\n", r"\n"), -1)).alias("unit", "raw"))
-    units = units.select("doc_id", "row_key", "unit", normal(F.col("raw")).alias("clean"))
-    units = units.filter(F.size(F.split("clean", " ")) >= max(1, min_words)).filter("clean <> ''")
-    units = ws.keep(units.select("doc_id", "row_key", "unit", F.xxhash64("clean").alias("h1"), F.xxhash64(F.reverse("clean"), F.lit(7)).alias("h2")), "units")
-    first = units.groupBy("h1", "h2").agg(F.min(rank("unit")).alias("first"), F.max(rank("unit")).alias("last")).filter("first <> last").drop("last")
-    first = ws.keep(first, "first")  # a table of its own, so that both sides of the join are exchanged and a hot unit's part can be split
-    later = units.join(first, ["h1", "h2"]).filter(rank("unit") != F.col("first"))
-    gone = later.groupBy("row_key").agg(F.array_sort(F.collect_set("unit")).alias("gone"))
-    out = docs.join(gone, "row_key", "left").withColumn("parts", F.split("text", brk.replace("\n", r"\n"), -1))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get("parts", i)), brk)
-    out = out.select(
+    units = docs.select(*KEY, "doc_id", F.posexplode(forms(F.col("text"))).alias("unit", "clean")).filter("clean <> ''")
+    units = ws.keep(units.select(*KEY, "doc_id", "unit", F.xxhash64("clean").alias("h1"), F.xxhash64(F.lit(7), "clean").alias("h2")), "units")
+    # the grouped sides are tables of their own, so that both sides of a join are exchanged and a hot unit's part can be split
+    several = ws.keep(units.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "several")
+    shared = ws.keep(units.join(several, ["h1", "h2"]), "shared")
+    ws.drop("units", "several")
+    place = F.struct(first_id().alias("doc_id"), *KEY, "unit")
+    first = ws.keep(shared.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first")
+    later = shared.join(first, ["h1", "h2"]).filter(place != F.col("first"))
+    later = ws.keep(later.groupBy(*KEY).agg(F.array_sort(F.collect_set("unit")).alias("later")), "later")
+    ws.drop("shared", "first")
+
+    hit = docs.join(later, KEY, "left").withColumns({"parts": cut(F.col("text")), "clean": F.when(F.col("later").isNotNull(), forms(F.col("text")))})
+    told = F.transform("later", lambda i: F.struct(i.alias("i"), word_count(F.get("clean", i)).alias("words"), whole_line(F.col("parts"), i).alias("whole")))
+    hit = hit.withColumn("told", told).withColumn("told", with_runs(F.col("told"), F.col("clean")))
+    goes = lambda x: F.when(x["whole"], x["words"] >= min_words).otherwise(x["run"] >= run_words)
+    none = F.expr("cast(array() as array<int>)")
+    hit = hit.withColumn("gone", F.coalesce(F.transform(F.filter("told", goes), lambda x: x["i"]), none))
+    passages = F.size(F.array_distinct(F.transform(F.filter("told", lambda x: (x["run"] >= passage_words) & goes(x)), lambda x: x["head"])))
+    return hit.select(
         "doc_id",
         "text",
         F.when(F.col("text") == "", 0).otherwise(F.size("parts")).alias("n_units"),
-        F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"),
-        F.when(F.col("gone").isNotNull(), F.transform("parts", lambda p: F.char_length(p).cast("long"))).alias("lengths"),
+        spans(F.col("parts"), F.col("gone")).alias("removed"),
+        F.coalesce(passages, F.lit(0)).alias("n_passages"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(without(F.col("parts"), F.col("gone"))).alias("kept"),
     )
-    return out.select("doc_id", "text", "n_units", offsets(brk).alias("removed"), "kept")
 
 
-def offsets(brk: str):
-    """Unit number, start and stop of the units that go, from the lengths of the units before them."""
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    begin = F.struct(F.lit(0).alias("next"), F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(F.size("gone") == 0, none).otherwise(F.aggregate("gone", begin, lambda a, i: _step(a, i, brk), lambda a: a["out"]))
+def whole_line(parts: Column, i: Column) -> Column:
+    """Whether unit i begins and ends where a line does."""
+    begins = (i == 0) | F.endswith(F.get(parts, i - 1), F.lit("\n"))
+    return begins & (F.endswith(F.get(parts, i), F.lit("\n")) | (i == F.size(parts) - 1))
+
+
+def with_runs(told: Column, clean: Column) -> Column:
+    """Adds the first unit (head) and the words (run) of the run of later occurrences that each stands in; blank units don't end a run."""
+
+    def apart(t, k, x):
+        last = F.get(t, k - 1)["i"]
+        return (k == 0) | ((last < x["i"] - 1) & F.exists(F.slice(clean, last + 2, x["i"] - last - 1), lambda c: c != ""))
 
+    heads = lambda t: F.filter(F.transform(t, lambda x, k: F.when(apart(t, k, x), k)), lambda k: k.isNotNull())
+    stop = lambda t, h, j: F.coalesce(F.get(h, j + 1), F.size(t))
+    run = lambda t, h: F.flatten(F.transform(h, lambda a, j: let(F.slice(t, a + 1, stop(t, h, j) - a), lambda r: run_of(r))))
+    return let(told, lambda t: let(heads(t), lambda h: run(t, h)))
 
-def _step(a, i, brk: str):
-    lengths = F.transform(F.slice(F.col("lengths"), a["next"] + 1, i - a["next"]), lambda n: n + len(brk))
-    start = a["at"] + F.aggregate(lengths, F.lit(0).cast("long"), lambda x, y: x + y)
-    here = F.get("lengths", i)
-    return F.struct((i + 1).alias("next"), (start + here + len(brk)).alias("at"), F.concat(a["out"], F.array(F.struct(i.alias("unit"), start.alias("start"), (start + here).alias("stop")))).alias("out"))
+
+def run_of(r: Column) -> Column:
+    total = F.aggregate(r, F.lit(0), lambda a, x: a + x["words"])
+    head = F.get(r, 0)["i"]
+    return let(F.struct(total.alias("run"), head.alias("head")), lambda s: F.transform(r, lambda x: F.struct(x["i"].alias("i"), x["words"].alias("words"), x["whole"].alias("whole"), s["run"].alias("run"), s["head"].alias("head"))))
+
+
+def spans(parts: Column, gone: Column) -> Column:
+    """Unit number, start and stop of the units that go; a line's end isn't part of them."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    ends = running(F.transform(parts, lambda p: F.char_length(p).cast("long")))
+    start = lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1)).cast("long")
+    bare = lambda p: F.char_length(F.rtrim(p, F.lit("\n"))).cast("long")
+    found = let(ends, lambda e: F.transform(gone, lambda i: F.struct(i.alias("unit"), start(e, i).alias("start"), (start(e, i) + bare(F.get(parts, i))).alias("stop"))))
+    return F.when(F.size(gone) == 0, none).otherwise(found)
