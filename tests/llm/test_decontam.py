@@ -1,8 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
-from sievelake.llm.decontam import block_bits, contaminated, drop_contaminated, simhash
+from sievelake.llm.decontam import BLOCKS, contaminated, masks, drop_contaminated, simhash
 
 
 def words(t):
@@ -64,5 +65,11 @@ def test_fingerprint_and_blocks(spark):
     for i, bag in enumerate(bags):
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in bag) > len(bag))
         assert got[i] % 2**64 == want
-    bits = block_bits(19)
-    assert len(bits) == 20 and sum(n for _, n in bits) == 64 and [a for a, _ in bits[1:]] == [a + n for a, n in bits[:-1]]
+    for radius, most in ((3, 0), (11, 2), (15, 3)):
+        assert len(set(masks(radius // BLOCKS))) == sum(math.comb(16, n) for n in range(most + 1))
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2), (2, "q", 3, 4), (None, None, 5, 6)], "doc_id long, text string, __k1 int, k2 int")
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert sorted((r[0] or 0, r[2], r[3]) for r in drop_contaminated(docs, items).collect()) == [(0, 5, 6), (2, 3, 4)]
