@@ -8,12 +8,14 @@
    million), so a class with fewer shared values is done, and of the others only the rarest values are joined:
    all but ``matches`` - 1 of them, since agreeing pairs must meet in one of those.
 3. Classes that meet form candidate clusters (each posting links its members to its least one, so a posting
-   costs its length). Clusters are cut into blocks; a task counts the agreeing coordinates of the pairs of two
-   blocks, skips pairs that are connected already, and confirms the rest on full sets. First every block is
-   compared within itself and with its cluster's first block; what then isn't connected to the cluster's
-   largest part is compared with all blocks. So each link that could connect two parts is tested, and no task
-   or join holds a whole cluster.
-4. Links give components; a class's component holds for all its documents.
+   costs its length). Clusters are cut into blocks of a bounded number of members and bytes; a task counts the agreeing
+   coordinates of the pairs of a block and of its cluster's first block, skips pairs that are connected already, and
+   confirms the rest on full sets.
+4. What then isn't connected to its cluster's largest part meets the others through the postings again, by signatures
+   alone: a posting is cut into chunks, and the chunks of its unconnected members meet all of its chunks. The pairs that agree often
+   enough and are not connected are confirmed on full sets by a join. So each link that could connect two parts is
+   tested, rows grow with the postings' lengths, and no task or join holds a whole cluster.
+5. Links give components; a class's component holds for all its documents.
 
 Defined results: documents without words have no shingles and stand alone; a null text is an empty one; rows
 without an id have no component (null) and are not kept; rows that repeat an id count as one document for
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Workspace
+from sievelake.llm.common import Workspace, fresh, give_back
 from sievelake.llm.graph import components
 
 SHINGLE = 5
@@ -135,6 +137,7 @@ def sign(docs: DataFrame, coordinates: int, k: int) -> DataFrame:
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * coordinates, pa.int32()), flat)
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), sig]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "h1", "h2", "sig"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
 
@@ -145,10 +148,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
         for rows in portions(batches):
             values, border = shingle_sets([r[1] for r in rows], k)
-            sets = [values[a:b].tobytes() for a, b in zip(border, border[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(sets, pa.binary())], ["rep", "hashes"])
+            sets = pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), sets], ["rep", "hashes"])
+        give_back()
 
-    return docs.mapInArrow(run, "rep long, hashes binary")
+    return docs.mapInArrow(run, "rep long, hashes array<long>")
 
 
 def least_matches(coordinates: int, similarity: float, miss: float = 1e-6) -> int:
@@ -161,17 +165,30 @@ def least_matches(coordinates: int, similarity: float, miss: float = 1e-6) -> in
         t += 1
 
 
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of equal coordinates of every pair of rows."""
+    out = np.zeros((len(left), len(right)), np.int16)
+    for c in range(left.shape[1]):
+        out += left[:, c, None] == right[None, :, c]
+    return out
+
+
+def alike(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of set sizes that the threshold allows."""
+    return 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+
+
 def linker(coordinates: int, matches: int, percent: int):
-    """The task that links two blocks of a cluster: rows of side 0 with those of side 1, and of side 1 within themselves if asked."""
+    """The task that links a block of a cluster (side 1) within itself and with the cluster's first block (side 0)."""
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["side", "rep"], kind="stable")
         sig = np.array(pdf.sig.tolist(), dtype=np.int32).reshape(len(pdf), coordinates)
-        sets = [np.frombuffer(h, np.uint64) for h in pdf.hashes]
+        sets = [np.asarray(h, dtype=np.int64) for h in pdf.hashes]
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        rep, part, side, inner = pdf.rep.to_numpy(), pdf.part.to_numpy(), pdf.side.to_numpy(), bool(pdf.inner.iloc[0])
+        rep, side = pdf.rep.to_numpy(), pdf.side.to_numpy()
         up: dict[int, int] = {}
 
         def root(x):
@@ -179,20 +196,14 @@ def linker(coordinates: int, matches: int, percent: int):
                 x = up[x]
             return x
 
-        agree = np.zeros((len(pdf), len(pdf)), np.int16)
-        for c in range(coordinates):
-            agree += sig[:, c, None] == sig[None, :, c]
-        wanted = np.triu(agree >= matches, 1) & (part[:, None] != part[None, :]) & (rep[:, None] != rep[None, :])
-        wanted &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        if not inner:
-            wanted &= side[:, None] != side[None, :]
-        else:
-            wanted &= (side[:, None] == 1) | (side[None, :] == 1)
+        agree = agreeing(sig, sig)
+        wanted = np.triu(agree >= matches, 1) & alike(n, n, percent) & (rep[:, None] != rep[None, :])
+        wanted &= (side[:, None] == 1) | (side[None, :] == 1)
         i, j = np.nonzero(wanted)
         found = []
         for at in np.argsort(-agree[i, j], kind="stable"):
             a, b = i[at], j[at]
-            ra, rb = root(part[a]), root(part[b])
+            ra, rb = root(rep[a]), root(rep[b])
             if ra == rb:
                 continue
             both = np.concatenate((sets[a], sets[b]))
@@ -206,7 +217,24 @@ def linker(coordinates: int, matches: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coordinates: int = 64, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def meeting(coordinates: int, matches: int, percent: int):
+    """The task that finds which unconnected members (side 0) of a posting agree with which members (side 1) of other parts."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = []
+        for side in (0, 1):
+            own = pdf[pdf.side == side]
+            rows.append((np.array(own.sig.tolist(), dtype=np.int32).reshape(len(own), coordinates), own.rep.to_numpy(), own.part.to_numpy(), own.n_shingles.to_numpy()))
+        (sig, rep, part, n), (sig1, rep1, part1, n1) = rows
+        i, j = np.nonzero((agreeing(sig, sig1) >= matches) & (part[:, None] != part1[None, :]) & alike(n, n1, percent))
+        return pd.DataFrame({"a": np.minimum(rep[i], rep1[j]), "b": np.maximum(rep[i], rep1[j])}).drop_duplicates()
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coordinates: int = 64, block: int = 128, block_bytes: int = 2 << 20, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of distinct shingles, component (its least id) and whether it is that one.
 
     Linked are documents whose sets' intersection is at least ``percent`` hundredths of their union.
@@ -230,34 +258,25 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     meet = prefix.join(hubs, "token").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     cluster = ws.keep(components(ws, meet, "cluster").select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "cluster")
 
+    ws.drop("shared", "hubs")
     ids = cluster.select(F.col("rep").alias("doc_id")).distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), k)
-    size = ws.keep(cluster.groupBy("cluster").agg(F.count("*").alias("members")), "size")
-    members = cluster.join(size, "cluster").join(sets, "rep").join(classes.select("rep", "sig"), "rep")
-    members = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k)
+    known = cluster.join(classes.select("rep", "sig", "n_shingles"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("n_shingles") / block_bytes)).cast("int")
+    size = ws.keep(known.groupBy("cluster").agg(blocks.alias("blocks")), "size")
+    members = known.join(size, "cluster").join(sets, "rep")
     members = ws.keep(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
-    link = linker(coordinates, matches, percent)
 
     # each block within itself and against its cluster's first block
-    own = members.select("cluster", F.col("block").alias("left"), F.lit(0).alias("right"), F.lit(1).alias("side"), F.lit(True).alias("inner"), "rep", F.col("rep").alias("part"), "sig", "hashes")
-    lead = members.filter("block = 0 and blocks > 1").withColumn("left", F.explode(F.expr("sequence(1, blocks - 1)")))
-    lead = lead.select("cluster", "left", F.lit(0).alias("right"), F.lit(0).alias("side"), F.lit(True).alias("inner"), "rep", F.col("rep").alias("part"), "sig", "hashes")
-    links = ws.keep(own.union(lead).groupBy("cluster", "left", "right").applyInPandas(link, "a long, b long"), "links-1")
+    shape = lambda df, side: df.select("cluster", "left", F.lit(side).alias("side"), "rep", "sig", "hashes")
+    own = shape(members.withColumn("left", F.col("block")), 1)
+    lead = shape(members.filter("block = 0 and blocks > 1").withColumn("left", F.explode(F.expr("sequence(1, blocks - 1)"))), 0)
+    links = ws.keep(own.union(lead).groupBy("cluster", "left").applyInPandas(linker(coordinates, matches, percent), "a long, b long"), "links-1")
 
-    large = members.filter("blocks > 1")
+    large = members.filter("blocks > 1").select("rep", "cluster", "n_shingles", "sig")
     if not large.isEmpty():
-        part = components(ws, links, "first").select(F.col("node").alias("rep"), F.col("root").alias("part"))
-        large = ws.keep(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "large")
-        main = large.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-        main = ws.keep(main, "main")
-        rest = large.join(main, "cluster").filter("part <> main")
-        rest_size = ws.keep(rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")), "rest-size")
-        tail = rest.drop("main").join(rest_size, "cluster").withColumn("left", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).withColumn("right", F.explode(F.expr("sequence(0, blocks - 1)")))
-        body = large.join(rest_size, "cluster").withColumn("left", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("right", F.col("block"))
-        shape = lambda df, side: df.select("cluster", "left", "right", F.lit(side).alias("side"), F.lit(False).alias("inner"), "rep", "part", "sig", "hashes")
-        more = ws.keep(shape(tail, 0).union(shape(body, 1)).groupBy("cluster", "left", "right").applyInPandas(link, "a long, b long"), "links-2")
-        links = links.union(more)
+        links = links.union(ws.keep(rest_links(ws, large, members, prefix, links, coordinates, matches, percent, chunk), "links-2"))
     final = components(ws, links, "final").select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
     named = classes.select("h1", "h2", "n_shingles", "rep").join(final, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
@@ -265,10 +284,33 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     return out.select("doc_id", "n_shingles", own_or.alias("component_id"), F.coalesce(F.col("doc_id") == own_or, F.lit(False)).alias("kept"))
 
 
+def rest_links(ws: Workspace, large: DataFrame, members: DataFrame, prefix: DataFrame, links: DataFrame, coordinates: int, matches: int, percent: int, chunk: int) -> DataFrame:
+    """Confirmed links between members outside their cluster's largest part and members of other parts."""
+    part = components(ws, links, "first").select(F.col("node").alias("rep"), F.col("root").alias("part"))
+    large = ws.keep(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "large")
+    main = large.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    main = ws.keep(main, "main")
+    held = ws.keep(large.join(main, "cluster").select("rep", "part", (F.col("part") != F.col("main")).alias("rest"), "n_shingles", "sig"), "held")
+    posted = prefix.join(held.select("rep", "rest"), "rep")
+    sizes = posted.groupBy("token").agg(F.count("*").alias("n"), F.count_if("rest").alias("r")).filter("n > 1 and r > 0")
+    sizes = ws.keep(sizes.select("token", F.ceil(F.col("n") / chunk).cast("int").alias("blocks"), F.ceil(F.col("r") / chunk).cast("int").alias("chunks")), "postings")
+    posted = ws.keep(posted.join(sizes, "token"), "posted")
+    pick = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    left = posted.filter("rest").withColumns({"left": pick("chunks", 1), "right": F.explode(F.expr("sequence(0, blocks - 1)")), "side": F.lit(0)})
+    right = posted.withColumns({"left": F.explode(F.expr("sequence(0, chunks - 1)")), "right": pick("blocks", 2), "side": F.lit(1)})
+    rows = left.select("rep", "token", "left", "right", "side").union(right.select("rep", "token", "left", "right", "side")).join(held.drop("rest"), "rep")
+    pairs = rows.groupBy("token", "left", "right").applyInPandas(meeting(coordinates, matches, percent), "a long, b long").distinct()
+    pairs = ws.keep(pairs, "pairs")
+    ws.drop("posted")
+    sets = lambda x: members.select(F.col("rep").alias(x), F.col("hashes").alias(f"{x}s"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", F.size("as").alias("n"), F.size("bs").alias("m"), F.size(F.array_intersect("as", "bs")).alias("common"))
+    return both.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents, all columns, of which each component keeps its least id; rows without an id stay."""
-    ws = Workspace(docs.sparkSession, "near-drop")
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
+    ws, mark = Workspace(docs.sparkSession, "near-drop"), fresh(docs, "__gone")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(mark))
     gone = ws.keep(gone.distinct(), "gone")
     wanted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(wanted, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(wanted, docs[id_col].cast("long") == F.col(mark), "left_anti")

@@ -28,9 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Workspace
-from sievelake.llm.minhash import BROADCAST_IDS, mix, powers
-from sievelake.llm.substring import keyed
+from sievelake.llm.common import BROADCAST_BYTES, KEY, Workspace, give_back, keyed, small_batches
+from sievelake.llm.minhash import mix, powers
 
 GRAM = 32
 BATCH = 1 << 20
@@ -157,8 +156,8 @@ def runs(flags: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-SCAN = "row_key long, tid long, n_bytes long, anchors array<struct<gram:long,pos:long,digest:long,pack:long>>"
-PART = "core long, row_key long, pos long, lo long, own long, at long, p long, q long, bytes binary, open boolean"
+SCAN = "row_key binary, tid long, n_bytes long, anchors array<struct<gram:long,pos:long,digest:long,pack:long>>"
+PART = "core long, row_key binary, pos long, lo long, own long, at long, p long, q long, bytes binary, open boolean"
 PART_NAMES = [c.split()[0] for c in PART.split(", ")]
 
 
@@ -184,12 +183,13 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
             items = pa.StructArray.from_arrays([pa.array(found["gram"]), pa.array(pos), pa.array(found["digest"]), pa.array(pack)], fields=list(kind))
             border = np.searchsorted(found["doc"], np.arange(len(rows) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(border), items)
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(tid), pa.array(size), lists], ["row_key", "tid", "n_bytes", "anchors"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array(tid), pa.array(size), lists], ["row_key", "tid", "n_bytes", "anchors"])
 
         from sievelake.llm.minhash import portions
 
         for rows in portions(batches, BATCH):
             yield out(rows)
+        give_back()
 
     return docs.mapInArrow(run, SCAN)
 
@@ -219,7 +219,7 @@ def cut(row: dict, p: int, q: int, length: int) -> dict | None:
 def part_batch(rows: list[dict]):
     import pyarrow as pa
 
-    kinds = [pa.int64()] * 8 + [pa.binary(), pa.bool_()]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6, pa.binary(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(PART_NAMES, kinds, strict=True)], PART_NAMES)
 
 
@@ -266,7 +266,7 @@ def index_groups(halves: DataFrame, length: int) -> DataFrame:
             index = RunLengthIndex([r["bytes"] for r in rows])
             hit = index.repeated(np.array([r["own"] for r in rows]), length)
             found = [(r["row_key"], r["lo"] + int(a), r["lo"] + int(b) - 1 + length) for r, s in zip(rows, index.start, strict=True) if r["open"] for a, b in runs(hit[s : s + r["own"]])]
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["row_key", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["row_key", "start", "stop"])
 
         rows, size, core = [], 0, None
         for batch in batches:
@@ -279,8 +279,9 @@ def index_groups(halves: DataFrame, length: int) -> DataFrame:
                 size += len(r["bytes"])
         if rows:
             yield out(rows)
+        give_back()
 
-    return halves.repartition("core").sortWithinPartitions("core").mapInArrow(run, "row_key long, start long, stop long")
+    return halves.repartition("core").sortWithinPartitions("core").mapInArrow(run, "row_key binary, start long, stop long")
 
 
 def repeated_strings(docs: DataFrame, length: int, group: int = 200) -> DataFrame:
@@ -306,7 +307,7 @@ def repeated_strings(docs: DataFrame, length: int, group: int = 200) -> DataFram
     wanted = ws.keep(wanted.groupBy("row_key").agg(F.collect_list("span").alias("spans")), "wanted")
     ids = wanted.select("row_key")
     texts = docs.select("row_key", "text")
-    texts = texts.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "row_key", "left_semi")
+    texts = texts.join(F.broadcast(ids) if 64 * wanted.count() <= BROADCAST_BYTES else ids, "row_key", "left_semi")
     parts, small, level = read_parts(texts.dropDuplicates(["row_key"]), wanted, length), [], 0
     while True:
         parts = ws.keep(parts, f"parts-{level}")
@@ -329,7 +330,9 @@ def repeated_strings(docs: DataFrame, length: int, group: int = 200) -> DataFram
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, group: int = 200, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` the removed spans and the bytes that stay."""
-    docs = keyed(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
+    half = lambda k: F.lpad(F.hex(k), 16, "0")
+    docs = keyed(docs, id_col, text_col).select("doc_id", "text", F.unhex(F.concat(*[half(k) for k in KEY])).alias("row_key"))
     ranges = repeated_strings(docs, length, group)
     more = ", removed array<struct<start:long,stop:long>>, kept binary" * keep_text
 

@@ -42,11 +42,11 @@ def corpus(seed, families=6, copies=30, edits=0.01):
     return list(enumerate(out, 5))
 
 
-@pytest.mark.parametrize("block, edits", [(128, 0.01), (8, 0.015)])
+@pytest.mark.parametrize("block, edits", [(128, 0.01), (4, 0.015)])
 def test_against_all_pairs(spark, block, edits):
     rows = corpus(block, edits=edits)
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, rep int, h1 string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, block=block, chunk=8).collect()}
     assert got == brute(rows)
 
 
@@ -58,3 +58,28 @@ def test_edges(spark):
 
 def test_count_threshold():
     assert 36 <= least_matches(64, 0.85) <= 44
+
+
+def test_loose_cluster_stays_linear(spark, monkeypatch):
+    """A chain of texts that overlap by half is one cluster; its members meet through their postings only."""
+    from sievelake.llm import minhash
+
+    n, words = 400, [f"w{i}" for i in range(400 * 12 + 100)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 60])) for i in range(n)] + [(n, " ".join(words[24:84]) + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, block=16).collect()}
+    assert got[n] == 2 and sum(i != c for i, c in got.items()) == 1
+    seen = {}
+    keep = minhash.Workspace.keep
+    monkeypatch.setattr(minhash.Workspace, "keep", lambda self, df, name: seen.setdefault(name, keep(self, df, name)))
+    near_duplicates(docs, block=16)
+    if "posted" in seen:
+        assert seen["postings"].agg({"blocks": "max"}).first()[0] == 1
+        assert seen["held"].count() <= n + 1
+
+
+def test_names_that_clash(spark):
+    from sievelake.llm.minhash import drop_near_duplicates
+
+    docs = spark.createDataFrame([(1, "a b", 1), (2, "a b", 2), (None, "a b", 3)], "doc_id long, text string, __gone int")
+    assert sorted((r[0] or 0, r[2]) for r in drop_near_duplicates(docs).collect()) == [(0, 3), (1, 1)]

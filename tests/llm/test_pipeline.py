@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 from test_decontam import brute as brute_items
-from test_lines import brute_windows
+from test_lines import brute_winnow, kept_text
 from test_minhash import brute as brute_links
 from test_packing import whole
 
@@ -65,8 +65,8 @@ def test_stages(spark, data):
         if name == "toxicity":
             assert {i for i, _ in after} == {i for i in toxic if not toxic[i]}
         elif name == "line_dedup":
-            gone = brute_windows([(i, t) for i, t in before])
-            want = {i: t if not gone[i] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in before}
+            gone = brute_winnow(before)
+            want = {i: kept_text(t, gone[i]) if gone[i] else t for i, t in before}
             assert dict(after) == {i: t for i, t in want.items() if not gone[i] or t.strip()}
         elif name == "near_dedup":
             assert {i for i, _ in after} == {i for i, (_, _, kept) in brute_links(before, 80).items() if kept}
