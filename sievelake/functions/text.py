@@ -21,9 +21,8 @@ SPACES, WORD = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 
 def relevance_form(text: Column) -> Column:
-    """F1 for ASCII letters: lower case, dashes and slashes to spaces, other signs to spaces, white space collapsed."""
-    text = F.regexp_replace(F.lower(text), r"[-_/]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9\s]+", " "), r"\s+", " "))
+    """F1 for ASCII letters: lower case, signs and white space to single spaces - which one pass does, as every run of either becomes one space."""
+    return type_form(text)
 
 
 def space_form(text: Column) -> Column:
@@ -145,3 +144,15 @@ def overall_score(evidence: Column, relevance: Column) -> Column:
 def section_of(overall: Column, future: Column) -> Column:
     """F13."""
     return F.when(future, "exploratory_evidence").when(overall >= 75, "key_evidence").when(overall >= 55, "important_updates").otherwise("exploratory_evidence")
+
+
+def display_value(value: Column, default: str = "Not reported") -> Column:
+    """a value for people: the default where nothing is known, else words with a capital."""
+    plain = F.replace(value.cast("string"), F.lit("_"), F.lit(" "))
+    unknown = value.isNull() | value.cast("string").isin("", *rules.NOT_SHOWN)
+    return F.when(unknown, default).otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 1 << 30))))
+
+
+def flat_sections(parts: Column) -> Column:
+    """Labelled sections (structs of label and text) as one text."""
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["label"], F.lit(": "), p["text"])), " ")

@@ -76,3 +76,54 @@ def zero_filled(counts: DataFrame, key: str, values: Sequence[str], count: str =
     """A row for each value, those without rows at zero."""
     every = counts.sparkSession.createDataFrame([(v,) for v in values], f"{key} string")
     return every.join(counts, key, "left").na.fill(0, [count])
+
+
+def rates(df: DataFrame, shares: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row of shares: how many of the rows of the second condition meet the first too; null without such rows."""
+    return df.agg(*[F.try_divide(F.count_if(hit & base), F.count_if(base)).alias(name) for name, (hit, base) in shares.items()])
+
+
+def field_counters(judged: DataFrame, fields: list[str]) -> DataFrame:
+    """For each field the evaluator's counters, with precision and coverage (1.0 where nothing counts).
+
+    For each field ``judged`` has the booleans <field>_scored, _correct, _accepted, _sourced (provenance holds) and _malformed.
+    """
+    each = judged.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), *[F.col(f"{f}_{k}").alias(k) for k in ("scored", "correct", "accepted", "sourced", "malformed")]) for f in fields])))
+    valid = F.col("correct") & F.col("sourced") & ~F.col("malformed")
+    n = lambda test, name: F.count_if(test).alias(name)
+    counted = each.groupBy("field").agg(
+        n(F.col("scored"), "applicable"),
+        n(F.col("accepted"), "accepted"),
+        n(~F.col("accepted"), "abstained"),
+        n(F.col("accepted") & valid, "correct"),
+        n(~F.col("accepted") & valid, "correct_abstentions"),
+        n(~valid, "incorrect"),
+        n(F.col("accepted") & (~F.col("correct") | ~F.col("sourced")), "unsupported"),
+        n(F.col("malformed"), "malformed"),
+        n(~F.col("sourced"), "provenance_failures"),
+    )
+    share = lambda base: F.coalesce(F.try_divide("correct", base), F.lit(1.0))
+    return counted.select("*", share("accepted").alias("precision"), share("applicable").alias("coverage"))
+
+
+def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How often each value of each column stands."""
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])))
+    return each.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def chosen_labels(labels: DataFrame, status: str, gold: str, official: bool = False) -> DataFrame:
+    """Q10: adjudicated labels that name a class, or, where there is none and official metrics aren't asked for, drafts that do."""
+    named = labels.filter(F.coalesce(F.col(gold), F.lit("")) != "")
+    best = named.filter(F.col(status) == "adjudicated")
+    if not best.isEmpty():
+        return best
+    if official:
+        raise ValueError("official metrics require adjudicated labels")
+    return named.filter(F.col(status) == "draft")
+
+
+def with_override(predictions: DataFrame, gold: DataFrame, more: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Predictions with the gold value, for which a supplemental one stands in where there is one."""
+    gold = gold.select(*keys, F.col(value).alias("__gold")).join(more.select(*keys, F.col(value).alias("__more")), keys, "left")
+    return predictions.join(gold, keys).withColumn("expected", F.coalesce("__more", "__gold")).drop("__gold", "__more")

@@ -12,23 +12,35 @@ from sievelake import rules
 from sievelake.functions.text import lookup
 
 
-def total_rank(df: DataFrame, prefix: Sequence[Column], rest: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Each row's place in the order of ``prefix`` then ``rest``, without sorting the table in one task.
+def total_rank(df: DataFrame, prefix: Sequence[Column], rest: Sequence[Column], name: str = "rank", group: Sequence[str] = ()) -> DataFrame:
+    """Each row's place (in its group) in the order of ``prefix`` then ``rest``, without sorting the table or a group in one task.
 
     Rows are numbered within each value of the prefix and the counts of lesser prefixes are added. Only those
-    counts, one row for each prefix value, pass a single task; so the prefix should have a bounded domain, and
+    counts, one row for each prefix value, are summed in one task a group; so the prefix should have a bounded domain, and
     enough values that none holds too many rows.
     """
     keys = [f"__p{i}" for i in range(len(prefix))]
     df = df.select("*", *[c.alias(k) for c, k in zip(prefix, keys, strict=True)])
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    placed = df.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    counts = df.groupBy(*group, *keys).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    placed = df.withColumn("__at", F.row_number().over(Window.partitionBy(*group, *keys).orderBy(*rest)))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*group, *keys)]
     out = placed.alias("l").join(before.alias("r"), same)
     return out.select(*[F.col(f"l.{c}") for c in df.columns if c not in keys], (F.col("__before") + F.col("__at")).alias(name))
 
 
+def evidence_rank(df: DataFrame, group: Sequence[str], name: str = "rank") -> DataFrame:
+    """The evidence rank within each group: class, shared intent, tier and design first, which have a few hundred values."""
+    keys = evidence_keys()
+    return total_rank(df, keys[:4], keys[4:], name, group)
+
+
+def legacy_keys() -> list[Column]:
+    """O1: the older order: section, tier, overall score, date, id."""
+    day = F.unix_date(F.coalesce("publication_date", F.to_date(F.lit("0001-01-01"))))
+    return [lookup(rules.SECTION_ORDER, F.col("section"), 3), lookup(rules.TIER_ORDER, F.col("evidence_tier"), 6), -F.col("overall_score"), -day, F.col("pmid")]
+
+
 def evidence_keys(row: str = "") -> list[Column]:
     """The eleven components of the evidence rank, all ascending."""
     c = lambda n: F.col(f"{row}{n}")

@@ -5,32 +5,15 @@ Each query names in its docstring the operators that it exercises.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievelake.functions import text as X
 from sievelake.operators import diff, metrics, ranking, records, terms
+from sievelake.plans import literature
+from sievelake.plans.catalog import QUERIES, SQL, Query, query, t
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+evidence_triage = literature.evidence_triage
 
 
 # ---- dedup, keys, lookups
@@ -121,22 +104,6 @@ def placement_running_cap(spark, d):
     return ranking.place_with_cap(t(spark, d, "part"), ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], section, "key_evidence", 10).select("p_partkey", "section", "display")
 
 
-@query(
-    """select count(*) as n, count(distinct o_custkey) as customers, cast(count_if(o_orderstatus = 'F') as bigint) as finished, cast(count_if(o_orderstatus = 'O') as bigint) as open, cast(count_if(o_orderstatus = 'P') as bigint) as pending,
-cast(count_if(o_totalprice > 300000) as bigint) as large, cast(count_if(o_orderpriority like '1%') as bigint) as urgent from orders"""
-)
-def quality_counters(spark, d):
-    """A3."""
-    c = F.col
-    return t(spark, d, "orders").agg(
-        F.count("*").alias("n"),
-        F.countDistinct("o_custkey").alias("customers"),
-        *[F.count_if(c("o_orderstatus") == s).alias(n) for s, n in (("F", "finished"), ("O", "open"), ("P", "pending"))],
-        F.count_if(c("o_totalprice") > 300000).alias("large"),
-        F.count_if(c("o_orderpriority").startswith("1")).alias("urgent"),
-    )
-
-
 @query(
     """with p as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as n from part)
 select p_brand, p_partkey, case when n <= 3 then 'core' else 'related' end as kind from p where n <= 8"""
@@ -368,12 +335,10 @@ def set_match_micro(spark, d):
 def rates_and_needs_review(spark, d):
     """A19, A28."""
     q, x = F.col("quality"), F.col("toxic")
-    return t(spark, d, "labels").agg(
-        F.round(F.try_divide(F.count_if((q == 0) & (x == 0)), F.count_if(x == 0)), 6).alias("leakage"),
-        F.round(F.try_divide(F.count_if((x == 1) & (q == 1)), F.count_if(q == 1)), 6).alias("class_fpr"),
-        F.count_if(q == x).alias("needs_review"),
-        F.bool_or((x == 1) & (q == 1)).alias("any_conflict"),
-    )
+    labels = t(spark, d, "labels")
+    shares = metrics.rates(labels, {"leakage": (q == 0, x == 0), "class_fpr": (x == 1, q == 1)})
+    counts = labels.agg(F.count_if(q == x).alias("needs_review"), F.bool_or((x == 1) & (q == 1)).alias("any_conflict"))
+    return shares.join(counts, how="cross").select(F.round("leakage", 6).alias("leakage"), F.round("class_fpr", 6).alias("class_fpr"), "needs_review", "any_conflict")  # one row by one row
 
 
 # ---- terms and concepts
@@ -432,33 +397,6 @@ def concept_group_merge(spark, d):
 # ---- scores, rules, flags
 
 
-@query("select user_id, cast(least(50, sum(case event_type when 'purchase' then 30 when 'click' then 10 else 1 end)) as bigint) as score from events group by 1")
-def score_caps(spark, d):
-    """A14, F10-F13."""
-    w = F.when(F.col("event_type") == "purchase", 30).when(F.col("event_type") == "click", 10).otherwise(1)
-    return t(spark, d, "events").groupBy("user_id").agg(F.least(F.lit(50), F.sum(w)).alias("score"))
-
-
-@query(
-    """with s as (select user_id, max(case event_type when 'error' then 3 when 'purchase' then 2 when 'click' then 1 else 0 end) as p, count(distinct event_type) as kinds, count_if(event_type = 'error') as errors from events group by 1)
-select user_id, case p when 3 then 'retracted' when 2 then 'expression_of_concern' when 1 then 'corrected_or_updated' else 'no_signal' end as status, kinds > 1 as conflict, errors = 0 and p <= 1 as eligible from s"""
-)
-def integrity_rollup(spark, d):
-    """The worst status of each user's signals."""
-    e = F.col("event_type")
-    p = F.when(e == "error", 3).when(e == "purchase", 2).when(e == "click", 1).otherwise(0)
-    s = t(spark, d, "events").groupBy("user_id").agg(F.max(p).alias("p"), F.countDistinct("event_type").alias("kinds"), F.count_if(e == "error").alias("errors"))
-    status = X.lookup({3: "retracted", 2: "expression_of_concern", 1: "corrected_or_updated"}, F.col("p"), "no_signal")
-    return s.select("user_id", status.alias("status"), (F.col("kinds") > 1).alias("conflict"), ((F.col("errors") == 0) & (F.col("p") <= 1)).alias("eligible"))
-
-
-@query("select p_partkey, case when p_type like '%PROMO%' then 'guideline' when p_type like '%ECONOMY%' then 'systematic_review' when p_size < 10 then 'observational' else 'other' end as level from part")
-def first_rule_wins(spark, d):
-    """C1, C13."""
-    kind = F.col("p_type")
-    return t(spark, d, "part").select("p_partkey", F.when(kind.contains("PROMO"), "guideline").when(kind.contains("ECONOMY"), "systematic_review").when(F.col("p_size") < 10, "observational").otherwise("other").alias("level"))
-
-
 @query("select c_custkey, concat_ws(',', case when c_acctbal < 0 then 'abstract_missing' end, case when c_nationkey < 5 then 'single_center' end, case when c_mktsegment = 'BUILDING' then 'nonrandomized' end) as codes from customer")
 def ordered_unique_codes(spark, d):
     """C14, C15, U7."""
@@ -504,21 +442,17 @@ def count_reconciliation(spark, d):
 
 # ---- texts
 
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')"
-
-
-@query(f"select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower({_ASCII}), '[-_/]+', ' ', 'g'), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) as digest from documents")
+@query("select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[-_/]+', ' ', 'g'), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) as digest from documents")
 def text_normalize(spark, d):
-    """F1-F5 on the ASCII part of each text."""
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
-    return t(spark, d, "documents").select("doc_id", F.sha2(X.relevance_form(ascii_).cast("binary"), 256).alias("digest"))
+    """F1-F5."""
+    return t(spark, d, "documents").select("doc_id", F.sha2(X.relevance_form(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-@query("select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as n_tokens, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'and', 'der', 'les', 'los'])) as overlap from documents where lang = 'en'")
+@query("select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as n_tokens, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'and', 'der', 'les', 'los'])) as overlap from documents")
 def tokens_overlap(spark, d):
     """F9, U3."""
     words = X.tokens(F.col("text"))
-    return t(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_intersect(words, F.lit(["the", "and", "der", "les", "los"]))).cast("long").alias("overlap"))
+    return t(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_intersect(words, F.lit(["the", "and", "der", "les", "los"]))).cast("long").alias("overlap"))
 
 
 # Whole texts of every language. No SQL: DuckDB has no case folding and its patterns can't look around.
@@ -531,13 +465,6 @@ def text_normalize_whole(spark, d):
     return forms.select("doc_id", *[F.sha2(F.col(f"form.{name}").cast("binary"), 256).alias(name) for name in X.FORMS])
 
 
-@query()
-def tokens_overlap_whole(spark, d):
-    """F9, U3."""
-    words = X.tokens(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_intersect(words, F.lit(["the", "and", "der", "les", "los"]))).cast("long").alias("overlap"))
-
-
 @query()
 def first_sentence_whole(spark, d):
     """The first sentence that has one of the words, trimmed; null without one."""
@@ -552,8 +479,12 @@ _EMAIL, _CREDENTIAL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "(?i)(a
 @query(f"select doc_id, regexp_matches(text, '{_EMAIL}') as email, regexp_matches(text, '{_CREDENTIAL}') as credential from documents where regexp_matches(text, '{_EMAIL}') or regexp_matches(text, '{_CREDENTIAL}')")
 def pii_scope_screen(spark, d):
     """Q13 in part: e-mail and credentials."""
-    r = t(spark, d, "documents").select("doc_id", F.col("text").rlike(_EMAIL).alias("email"), F.col("text").rlike(_CREDENTIAL).alias("credential"))
-    return r.filter("email or credential")
+    text = F.col("text")
+    email = text.contains("@") & text.rlike(_EMAIL)
+    credential = text.rlike(_CREDENTIAL)
+    # as the rows of a generator, the flags are computed once; a filter on them would be pushed down and compute them again
+    found = F.filter(F.array(F.struct(email.alias("email"), credential.alias("credential"))), lambda x: x["email"] | x["credential"])
+    return t(spark, d, "documents").select("doc_id", F.inline(found))
 
 
 @query()
@@ -580,15 +511,19 @@ def html_escape(spark, d):
 @query("select conv_id, count(*) as sections, sha256(string_agg(role || ': ' || text, ' ' order by turn)) as flat from conversations group by 1")
 def section_array_projection(spark, d):
     """Ordered sections to one text."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    flat = F.array_join(F.transform(rows, lambda r: F.concat(r["role"], F.lit(": "), r["text"])), " ")
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("label"), "text")))
+    flat = X.flat_sections(rows)
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("sections"), F.sha2(flat.cast("binary"), 256).alias("flat"))
 
 
-@query("select doc_id, list_filter(string_split(text, '.'), lambda x: contains(lower(x), ' the '))[1] as sentence from documents where lang = 'en' and contains(lower(text), ' the ')")
+_SENTENCES = "string_split(regexp_replace(text, '([.!?])[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"select doc_id, list_filter({_SENTENCES}, lambda x: contains(lower(x), ' the '))[1] as sentence from documents where contains(lower(text), ' the ')")
 def first_sentence_match(spark, d):
-    """The first piece that has the word."""
-    return t(spark, d, "documents").filter((F.col("lang") == "en") & F.lower("text").contains(" the ")).select("doc_id", F.get(F.filter(F.split("text", r"\.", -1), lambda x: F.lower(x).contains(" the ")), 0).alias("sentence"))
+    """The first sentence that has the word."""
+    found = F.get(F.filter(X.sentences(F.col("text")), lambda x: F.lower(x).contains(" the ")), 0)
+    return t(spark, d, "documents").filter(F.lower("text").contains(" the ")).select("doc_id", found.alias("sentence"))
 
 
 @query("select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]{1,6}'), lambda x: cast(x as bigint))), -1) as most from documents")
@@ -628,22 +563,6 @@ def sections_report(spark, d):
     return best.groupBy("source", "lang").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("doc_ids"))
 
 
-@query(
-    """with f as (select min(doc_id) as doc_id from documents group by text), e as (select d.doc_id, d.source, d.n_chars, d.lang from documents d join f using (doc_id) join labels l using (doc_id) where quality = 1 and toxic = 0),
-r as (select *, row_number() over (partition by source order by case lang when 'en' then 0 else 1 end, n_chars desc, cast(doc_id as varchar)) as rank from e)
-select doc_id, source, rank, case when rank <= 5 then 'key_evidence' else 'additional_selected_evidence' end as section from r where rank <= 10"""
-)
-def evidence_triage(spark, d):
-    """The flagship: dedup, eligibility, total order by source, top ten, placement with a running cap."""
-    docs = t(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    first = records.first_wins(docs, ["digest"], F.col("doc_id"))
-    e = first.join(t(spark, d, "labels").filter("quality = 1 and toxic = 0"), "doc_id")
-    order = [F.when(F.col("lang") == "en", 0).otherwise(1), F.col("n_chars").desc(), F.col("doc_id").cast("string")]
-    best = metrics.top_k(e, ["source"], order, 10, "rank")
-    placed = ranking.place_with_cap(best, ["source"], [F.col("rank")], F.lit("key_evidence"), "key_evidence", 5)
-    return placed.select("doc_id", "source", "rank", "section")
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

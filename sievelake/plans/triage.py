@@ -1,15 +1,15 @@
 """The literature pipeline end to end: candidates to ranked, audited and placed articles.
 
 Cheap structured tests come first, integrity and relevance filter before texts go to the extraction UDF, and
-only rows that stay are ranked. The
-stages are cut by checkpoints: their rule expressions are long, and Spark would otherwise plan and run them once for each use. Articles of several topics are ranked within their topic, so the order needs no single task.
+only rows that stay are ranked. The stages are cut by checkpoints: their rule expressions are long, and Spark would
+otherwise plan and run them once for each use. Articles are ranked within their topic by counts of coarse keys, so that no
+task sorts a whole topic.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievelake.operators import ranking
 from sievelake.operators.evidence import with_evidence
@@ -42,10 +42,18 @@ def triage(articles: DataFrame, target: Target, fetched_at: str, topic: str, *,
         "study.evidence_tier", "study.design_family", "study.limitation_codes", "study.sample_size", "study.sample_size_status", "study.population_scope", "study.comparator_status",
         "assessment.section", "assessment.overall_score",
     )
-    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ranking.evidence_keys())))
+    return decide(every.select(*KEY, "pmid", F.col("relevance.decision").alias("__decision"), F.col("integrity.report_eligible").alias("__eligible")), flat, limit=limit, cap=cap)
+
+
+def decide(every: DataFrame, judged: DataFrame, *, limit: int = 10, cap: int = 10) -> DataFrame:
+    """Ranks what was judged within its topic, places the first ``limit`` with the running cap, and says of every candidate what became of it.
+
+    ``every`` has topic_id, pmid, __decision and __eligible; ``judged`` the columns that ``evidence_keys`` and ``report_route`` read.
+    """
+    ranked = ranking.evidence_rank(judged, KEY)
     chosen = ranking.place_with_cap(ranked.filter(F.col("rank") <= limit), KEY, [F.col("rank")], ranking.report_route(), "key_evidence", cap)
     out = ranked.select(*KEY, "pmid", "rank").join(chosen.select(*KEY, "pmid", "section", "display"), [*KEY, "pmid"], "left")
-    rest = every.select(*KEY, "pmid", F.col("relevance.decision").alias("__decision"), F.col("integrity.report_eligible").alias("__eligible")).join(out, [*KEY, "pmid"], "left")
+    rest = every.join(out, [*KEY, "pmid"], "left")
     decision = F.when(~F.col("__eligible"), "excluded_integrity").when(F.col("rank") > limit, "excluded_report_limit").otherwise(F.col("__decision"))
     return rest.select(*KEY, "pmid", decision.alias("decision"), "rank", "section", "display")
 

@@ -75,6 +75,7 @@ RECENCY_LEAST = 40
 
 # Snapshot comparison.
 ABSTENTIONS = ("not_reported", "not_extractable", "not_applicable", "unclear", "unknown", "unspecified")
+NOT_SHOWN = ("unknown", "unclear", "not_reported", "not_extractable", "not_applicable")
 CHANGE_PRIORITY = {"integrity": 1, "membership": 2, "relevance": 3, "study": 4, "extraction": 5, "review": 6, "ranking": 7, "placement": 7, "comparability": 8}
 
 # Words of people and of animal work, and what joins the two in one phrase.
