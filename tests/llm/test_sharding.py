@@ -41,3 +41,39 @@ def test_one_giant(spark):
     docs = spark.createDataFrame([(i, "x" * (100_000 if i == 5 else 10)) for i in range(400)], "doc_id long, text string")
     sizes = held(histogram_sort(docs, 4).collect(), 4)
     assert sorted(sizes)[-1] >= 100_001 and sum(sizes) == 100_001 + 399 * 11
+
+
+def plain_borders(rows, shards):
+    """Bytes in each shard by plain Python: rows in the order of their keys, cut where the bytes below come nearest to a target."""
+    rows = sorted(rows)
+    total, at, below = sum(r[2] for r in rows), 0, [0]
+    for r in rows:
+        at += r[2]
+        below.append(at)
+    cuts = [0] + [min(range(len(below)), key=lambda i: abs(below[i] - total * k / shards)) for k in range(1, shards)] + [len(rows)]
+    return [below[b] - below[a] for a, b in zip(cuts, cuts[1:])]
+
+
+def test_borders_against_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "x" * (i * 7919 % 501)) for i in range(3000)], "doc_id long, text string").repartition(5)
+    half = lambda c: F.shiftrightunsigned(F.xxhash64(c), 1)
+    keys = docs.select(half("text").alias("a"), half("doc_id").alias("b"), (F.octet_length("text") + 1).alias("n")).collect()
+    want = plain_borders([tuple(r) for r in keys], 8)
+    got = held(histogram_sort(docs, 8, tolerance=0.0).collect(), 8)
+    assert max(abs(a - b) for a, b in zip(got, want)) <= 2 * 502
+
+
+def test_many_ranges_and_few_probes(spark, monkeypatch):
+    from sievelake.llm import sharding
+
+    docs = spark.createDataFrame([(i, "abc" * (i % 40)) for i in range(6000)], "doc_id long, text string")
+    want = {r.doc_id: (r.shard, r.slot) for r in histogram_sort(docs, 4).collect()}
+    seen, refine = [], sharding.refine
+    monkeypatch.setattr(sharding, "refine", lambda *a: seen.append(refine(*a)) or seen[-1])
+    monkeypatch.setattr(sharding, "PROBES", 4096)
+    rows = histogram_sort(docs, 4, range_bytes=90).collect()
+    assert seen[0].rounds > 1 and max(seen[0].counted) <= 2 * 4096
+    sizes = held(rows, 4)
+    assert max(sizes) - min(sizes) <= 600 and {r.doc_id for r in rows} == set(want)
