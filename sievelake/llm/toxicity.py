@@ -2,12 +2,14 @@
 
 1. A character model (three letters) is counted over every document: 27 * 27 * 27 counts a task, whatever its
    rows, summed by index.
-2. A token that isn't plain letters is a lattice: each symbol may stand for letters (leetspeak), a repeated
-   symbol for one or two of them, a separator for nothing. Viterbi decoding takes the path of the best channel
-   and model score. Runs of single characters are decoded as one token.
+2. A token that isn't plain letters, or has a letter twice or more in a row, is a lattice: each symbol may stand for letters
+   (leetspeak), a repeated symbol for one or two of them, a separator for nothing. Viterbi decoding takes the path of
+   the best channel and model score; where the token can be read plainly too, both readings count. Runs of single
+   characters are decoded as one token.
 3. A logistic model of restored words is fitted to at most ``fit_rows`` labelled rows, taken by the hash of their
-   ids, and its words are the ``vocabulary`` ones most unevenly spread over the two labels there. Those bounds are
-   what the driver holds; the fitted weights are sent to the tasks that score.
+   ids. Its words are all that stand more often in toxic rows of the sample than chance explains (``least_gain``: half of the
+   likelihood ratio; 2.5 is a chance of one in forty). The sample's size bounds what the driver holds; the
+   fitted weights are sent to the tasks that score.
 
 Defined results: null and empty texts score as the model does without words; a row without an id counts as held
 out; labels of unknown ids, without a value or held out are not used; without usable labels every score is that
@@ -23,8 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import Workspace
+from sievelake.llm.common import Workspace, give_back
 
+#: Tables remember tokens of up to so many characters, so that their numbers bound their bytes.
+LONGEST = 48
 SIDE = 27  # the letters, and what separates words
 #: What a symbol may stand for besides itself (fixed values of the channel).
 SIGNS = {
@@ -33,6 +37,7 @@ SIGNS = {
 }
 SEPARATORS = set(".-_*~'`^​‌‍­ ")
 SPACED = re.compile(r"(?<!\w)\w(?:[ .\-*]{1,2}\w(?!\w)){2,}").finditer
+TWICE, THRICE = re.compile(r"(\w)\1").search, re.compile(r"(\w)\1\1").search
 EDGE = " .,;:!?\"'()[]{}<>|%&#*$~`^_-+=/\\"
 CLASS = np.full(256, 26, np.int32)
 CLASS[97:123] = CLASS[65:91] = np.arange(26)
@@ -89,26 +94,28 @@ def tokens_of(text: str) -> set[str]:
 class Restorer:
     """Restored words of texts, with a bounded table of known tokens."""
 
-    def __init__(self, channel: Channel, most: int = 300_000):
+    def __init__(self, channel: Channel, most: int = 100_000):
         self.channel, self.most, self.known = channel, most, {}
 
     def token(self, token: str) -> tuple[str, ...]:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            got = self.known[token] = self.read(token)
+            got = self.read(token)
+            if len(token) <= LONGEST:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def read(self, token: str) -> tuple[str, ...]:
         core = token.strip(EDGE)
         if core.isalpha():
-            plain = re.sub(r"(\w)\1{2,}", "", core) == core
-            out = {core} if plain else {self.channel.decode(core)}
+            twice = TWICE(core)
+            out = {core} if not twice else {self.channel.decode(core)} if THRICE(core) else {core, self.channel.decode(core)}
         elif any(c.isalpha() for c in core):
             out = {self.channel.decode(core), *(w for w in re.split(r"[\W_]+", core) if len(w) > 1)}
         else:
-            out = {core}
+            out = {core, self.channel.decode(core)} if any(c in SIGNS for c in core) else {core}
         if core and len(core) < len(token) and any(c in SIGNS for c in (token.lstrip(EDGE)[len(core) :][:1], token[: -len(core)][-1:]) if c):
             out.add(self.channel.decode(token.strip(".,;:?\"'")))  # a sign at an end may be a letter
         return tuple(out - {""})
@@ -135,6 +142,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
                 counts += np.bincount(code, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["code", "n"])
+        give_back()
 
     found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(SIDE**3, np.int64)
@@ -182,15 +190,17 @@ def cut(rows: list[np.ndarray], label: np.ndarray, words: int, parts: int = 5) -
 class Scorer:
     """A fitted model: scores of texts, with a bounded table of known tokens."""
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float], bias: float, most: int = 300_000):
+    def __init__(self, restorer: Restorer, weights: dict[str, float], bias: float, most: int = 100_000):
         self.restorer, self.weights, self.bias, self.most, self.known = restorer, weights, bias, most, {}
 
     def worth(self, token: str) -> tuple[str, ...]:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            got = self.known[token] = tuple(w for w in self.restorer.read(token) if w in self.weights)
+            got = tuple(w for w in self.restorer.read(token) if w in self.weights)
+            if len(token) <= LONGEST:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def score(self, text: str | None) -> float:
@@ -206,7 +216,7 @@ def is_held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, vocabulary: int = 400, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, least_gain: float = 2.5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """The model that labels outside the held-out part give; its character model covers all of ``docs``."""
     spark = docs.sparkSession
     ws = Workspace(spark, "toxicity")
@@ -226,6 +236,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000,
                 part = batch.slice(i, 256)
                 words = [sorted(restorer.words(t or "")) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+        restorer.known.clear()
+        give_back()
 
     # the sample has fit_rows rows at most (give or take the spread of a hash), so it is sent to where the texts are
     read = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(restored, "doc_id long, toxic int, words array<string>")
@@ -233,8 +245,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000,
     n1, n0 = read.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     a, b = F.col("a"), F.col("b")
     gain = sum(x * F.log((x + 0.5) / ((a + b) * (n / max(1, n0 + n1)) + 0.5)) for x, n in ((a, n1), (b, n0)))
-    found = read.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter(a >= least_rows)
-    words = [r["word"] for r in found.orderBy(gain.desc(), "word").limit(vocabulary).select("word").collect()]
+    found = read.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter(gain >= least_gain)
+    words = sorted(r["word"] for r in found.select("word").collect())
     number = {w: i for i, w in enumerate(words)}
     picked = read.orderBy(F.xxhash64("doc_id")).select("toxic", F.array_intersect("words", F.lit(words or [""])).alias("words")).collect()
     rows = [np.array([number[w] for w in r["words"] if w in number], dtype=np.int64) for r in picked]
@@ -257,6 +269,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([scorer.score(t) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+        scorer.known.clear()
+        give_back()
 
     out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -273,5 +287,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 yield part.filter(pa.array([scorer.score(t) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+        scorer.known.clear()
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
