@@ -4,7 +4,8 @@
 its timed frames. Both work row by row inside one task, hold one file at a time and need no exchange.
 
 Defined results: a null payload is an empty one, which is stored as 64 zero bytes; a file that is not a
-well-formed GIF gives a null frame list and its reason in ``error``; repeated rows give equal values.
+well-formed GIF, or whose canvas has more than ``MOST_PIXELS`` pixels (a header of 13 bytes can ask for 17 GB), gives a null
+frame list and its reason in ``error``; repeated rows give equal values; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sievelake.llm.common import give_back, small_batches
+
 WIDTH, ROWS = 64, 1024
+#: Pixels of a canvas that one task may hold (four bytes each, and a copy for disposal).
+MOST_PIXELS = 1 << 25
 GREY = bytes(v for v in range(256) for _ in range(3))
 #: First row, row step of the four passes of an interlaced frame (fixed by the format).
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -184,6 +189,8 @@ def _frames(data: bytes):
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
+    if width * height > MOST_PIXELS:
+        raise GifError("canvas too large")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     clock, delay, disposal, clear_index = 0, 0, 0, None
     while True:
@@ -252,7 +259,9 @@ def store_as_gif(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 media = [encode_gif(t + bytes(WIDTH - len(t) % WIDTH if len(t) % WIDTH or not t else 0)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 

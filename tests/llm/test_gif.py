@@ -90,7 +90,7 @@ def test_interlaced_and_broken():
 
 def test_round_trip(spark):
     texts = [None, "", "x", "x" * 64, "é" * 50_000, "same", "same"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumnRenamed("zz", "media")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as media", "2 as n_bytes", "3 as frames")
     rows = {r.doc_id: r for r in gif_digest(docs).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
@@ -100,3 +100,10 @@ def test_round_trip(spark):
         assert r.media_sha256 == hashlib.sha256(gif.encode_gif(pad)).hexdigest()
     assert rows[5].feature == rows[6].feature and rows[4].feature.startswith("frames=2;")
     assert gif.read_gifs(spark.createDataFrame([(1, b"no")], "doc_id long, media binary"), keep=("doc_id",)).first().error == "signature"
+
+
+def test_canvas_bound_and_empty_table(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    media = spark.createDataFrame([(1, huge), (2, None)], "doc_id long, media binary")
+    assert [r.error for r in gif.read_gifs(media, keep=("doc_id",)).orderBy("doc_id").collect()] == ["canvas too large", "signature"]
+    assert gif_digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
