@@ -151,3 +151,61 @@ def scope_flags(text: Column) -> dict[str, Column]:
     for flag in found.values():
         refused = refused | flag
     return found | {"safe": ~refused}
+
+
+def allowed_url(url: Column, hosts: tuple[str, ...] = ()) -> Column:
+    """Q14, Q15: a plain http address without query, fragment or user, of one of the hosts if any are given."""
+    plain = ~url.rlike("[?#@]") & url.rlike("^https?://[a-z0-9.-]+/")
+    return plain & host_of(url).isin(*hosts) if hosts else plain
+
+
+def host_of(url: Column) -> Column:
+    return F.regexp_extract(url, "^(https?)://([^/?#]+)", 2)
+
+
+def strict_day(text: Column) -> Column:
+    """yyyyMMdd as a date; null unless it is a day of the calendar in just that form."""
+    return F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
+
+
+def mapping_fault(value: Column, state: Column, raw: Column) -> Column:
+    """Whether a mapped value, the state of its field and the raw value contradict each other."""
+    return F.coalesce(((state == "present") & ~value.eqNullSafe(raw)) | ((state != "present") & (value.isNotNull() | raw.isNotNull())), F.lit(True))
+
+
+def child_faults(children: Column, key: str, value: str, state: str, raw: str) -> Column:
+    """What is wrong with the children of a row (an array of structs): codes in order; empty for a valid row.
+
+    Keys must be there and differ, states must be known, and values must be what their raw fields say.
+    """
+    keys = F.transform(children, lambda c: F.trim(F.coalesce(c[key].cast("string"), F.lit(""))))
+    tests = (
+        (F.exists(keys, lambda k: k == ""), "blank_key"),
+        (F.size(F.array_distinct(keys)) < F.size(keys), "duplicate_key"),
+        (F.exists(children, lambda c: ~F.coalesce(c[state].isin("present", "null", "absent"), F.lit(False))), "unknown_state"),
+        (F.exists(children, lambda c: mapping_fault(c[value], c[state], c[raw])), "raw_mapping"),
+    )
+    return F.array_compact(F.array(*[F.when(t, F.lit(code)) for t, code in tests]))
+
+
+def violations(rows: DataFrame, key: str, faults: dict[str, Column]) -> DataFrame:
+    """One row for each fault of each place; none means valid."""
+    named = lambda place: lambda c: F.struct(F.lit(place).alias("place"), c.alias("fault"))
+    found = F.concat(*[F.transform(codes, named(place)) for place, codes in faults.items()])
+    return rows.select(key, F.inline(found))
+
+
+def envelope(rows: DataFrame, source: str, fetched_at: str) -> DataFrame:
+    """One row that says what a snapshot holds: source, time, rows, different ids, and a digest that no order changes."""
+    each = F.conv(F.substring(F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.select(F.col(rows.columns[0]).alias("id"), each.alias("d")).agg(
+        F.lit(source).alias("source"), F.lit(fetched_at).alias("fetched_at"), F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.sum("d").cast("string").alias("content")
+    )
+
+
+def verify_generation(published: DataFrame, declared: DataFrame, text: str, key: str) -> DataFrame:
+    """One row: whether a published generation has the declared rows and ids, and how many of its texts hold a credential marker."""
+    flags = scope_flags(F.col(text))
+    found = published.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("ids"), F.count_if(flags["credential"]).alias("credential_markers"))
+    both = found.join(declared.select(F.col("rows").alias("declared_rows"), F.col("ids").alias("declared_ids")), how="cross")  # one row by one row
+    return both.withColumn("verified", (F.col("rows") == F.col("declared_rows")) & (F.col("ids") == F.col("declared_ids")) & (F.col("credential_markers") == 0))

@@ -52,12 +52,12 @@ def design_of_text(text: Column, source: str) -> Column:
 
 def with_design(articles: DataFrame, title: str = "title", abstract: str = "abstract", types: str = "publication_types", sections: str = "abstract_sections", keywords: str = "keywords") -> DataFrame:
     """Adds design_family and design_conflict. A protocol type decides; else the strongest signals must agree."""
-    signal = lambda family, source: F.struct(F.lit(rules.DESIGN_STRENGTH[source]).alias("strength"), family.alias("family"))
+    signal = lambda family, source, text: F.struct(F.lit(rules.DESIGN_STRENGTH[source]).alias("strength"), family.alias("family"), F.lit(source).alias("source"), text.alias("text"))
     every = F.concat(
-        F.transform(types, lambda t: signal(design_of_type(t), "publication_type")),
-        F.transform(sections, lambda s: signal(design_of_text(s["text"], "structured_abstract"), "structured_abstract")),
-        F.array(signal(design_of_text(F.col(title), "title"), "title"), signal(design_of_text(F.col(abstract), "abstract"), "abstract")),
-        F.transform(keywords, lambda k: signal(design_of_text(k, "keyword"), "keyword")),
+        F.transform(types, lambda t: signal(design_of_type(t), "publication_type", t)),
+        F.transform(sections, lambda s: signal(design_of_text(s["text"], "structured_abstract"), "structured_abstract", s["text"])),
+        F.array(signal(design_of_text(F.col(title), "title"), "title", F.col(title)), signal(design_of_text(F.col(abstract), "abstract"), "abstract", F.col(abstract))),
+        F.transform(keywords, lambda k: signal(design_of_text(k, "keyword"), "keyword", k)),
     )
     df = articles.withColumn("__signals", F.filter(every, lambda s: s["family"].isNotNull()))
     most = F.array_max(F.transform("__signals", lambda s: s["strength"]))
@@ -69,7 +69,27 @@ def with_design(articles: DataFrame, title: str = "title", abstract: str = "abst
     first = F.get(F.filter(F.lit(list(rules.DESIGN_ORDER)), lambda f: F.array_contains("__best", f)), 0)
     none = F.size("__signals") == 0
     family = F.when(none, "unknown").when(protocol, "protocol").when(agree, first).otherwise("unknown")
-    return df.select("*", family.alias("design_family"), (~none & ~protocol & ~agree).alias("design_conflict")).drop("__signals", "__best")
+    return df.select("*", family.alias("design_family"), (~none & ~protocol & ~agree).alias("design_conflict"), F.transform("__signals", supporting_span).alias("design_spans")).drop("__signals", "__best")
+
+
+def supporting_span(s: Column) -> Column:
+    """What a signal was read from: the words of the family's pattern, or the publication type itself."""
+    words = F.coalesce(*[F.when(s["family"] == family, F.nullif(F.regexp_extract(s["text"], f"(?i){pattern}", 0), F.lit(""))) for family, pattern in rules.DESIGN_TEXT], s["text"])
+    return F.struct(s["source"].alias("source"), s["family"].alias("family"), F.when(s["source"] == "publication_type", s["text"]).otherwise(words).alias("span"))
+
+
+def reasons(family: Column, tier: Column, status: Column, scope: Column, sample: Column, comparator: Column, conflict: Column) -> Column:
+    """Why an assessment is as it is, in order."""
+    said = (
+        (F.lit(True), F.concat(F.lit("design: "), family, F.lit(", from publication types and explicit words, the strongest source first"))),
+        (F.lit(True), F.concat(F.lit("tier: "), tier, F.lit(", a triage by abstract and metadata and no appraisal of quality"))),
+        (status != "reported", F.lit("results are not sufficiently reported in the abstract")),
+        (scope.isin("preclinical_only", "mixed"), F.concat(F.lit("population: "), scope, F.lit(", not taken as human evidence"))),
+        (sample != "reported", F.lit("no number in the text is tied to a study population alone")),
+        (comparator == "not_reported", F.lit("no comparator is reported in the abstract")),
+        (conflict, F.lit("equally strong sources name designs that exclude each other; needs review")),
+    )
+    return F.array_compact(F.array(*[F.when(test, text) for test, text in said]))
 
 
 def flags(text: Column) -> Column:
@@ -180,12 +200,13 @@ def with_study(articles: DataFrame) -> DataFrame:
     codes = limitations(F.col("__text"), F.col("design_family"), F.col("__scope"), F.col("__status"), x["sample_size_status"], x["comparator"]["status"], x["follow_up"], F.col("__flags.multicenter"), F.col("design_conflict"))
     df = df.withColumn("__codes", codes)
     has = ~F.array_contains("__codes", "abstract_missing")
+    df = df.withColumn("__tier", evidence_tier(F.col("design_family"), F.col("__status"), F.col("__scope"), has))
     review = (F.col("design_family") == "unknown") | F.col("design_conflict") | ~has | (x["sample_size_status"] == "ambiguous")
     out = F.struct(
         F.col("design_family").alias("design_family"),
         F.col("__scope").alias("population_scope"),
         F.col("__status").alias("result_status"),
-        evidence_tier(F.col("design_family"), F.col("__status"), F.col("__scope"), has).alias("evidence_tier"),
+        F.col("__tier").alias("evidence_tier"),
         F.when(F.col("design_family") == "unknown", "low").when(review, "medium").otherwise("high").alias("confidence"),
         review.alias("needs_review"),
         x["sample_size"].alias("sample_size"),
@@ -193,5 +214,7 @@ def with_study(articles: DataFrame) -> DataFrame:
         x["comparator"]["status"].alias("comparator_status"),
         F.col("__flags").alias("flags"),
         F.col("__codes").alias("limitation_codes"),
+        F.col("design_spans").alias("supporting_spans"),
+        reasons(F.col("design_family"), F.col("__tier"), F.col("__status"), F.col("__scope"), x["sample_size_status"], x["comparator"]["status"], F.col("design_conflict")).alias("reasons"),
     )
-    return df.withColumn("study", out).drop("__text", "__scope", "__status", "__flags", "__codes")
+    return df.withColumn("study", out).drop("__text", "__scope", "__status", "__flags", "__codes", "__tier")

@@ -46,3 +46,33 @@ def merge_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
 def merge_concepts(concepts: DataFrame, keys: list[str], documents: str, confidence: str) -> DataFrame:
     """One row for each concept: greatest confidence, documents in order without repeats."""
     return concepts.groupBy(*keys).agg(F.max(confidence).alias(confidence), F.array_sort(F.collect_set(documents)).alias("documents"))
+
+
+def build_profile(scored: DataFrame, topic: str) -> DataFrame:
+    """The profile of a topic: of each term the best score, accepted ones first, then by score and term. The query stays the topic."""
+    best = scored.groupBy("term").agg(F.max_by(F.struct("score", "document_frequency"), F.struct("score", "document_frequency")).alias("b"))
+    rows = best.select(F.lit(topic).alias("topic"), F.lit(topic).alias("query"), "term", "b.score", "b.document_frequency", accepted(F.col("b.document_frequency"), F.col("b.score")).alias("accepted"))
+    return rows
+
+
+def save_profile(profile: DataFrame, path: str) -> None:
+    """K5: overwrites the topic's profile."""
+    profile.write.mode("overwrite").json(path)
+
+
+def load_profile(spark, path: str) -> DataFrame | None:
+    """The saved profile, or None where there is none or it can't be read as one."""
+    schema = "topic string, query string, term string, score double, document_frequency bigint, accepted boolean"
+    try:
+        found = spark.read.schema(schema).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return None if found.filter("topic is null or term is null").limit(1).count() else found
+
+
+def concept_totals(concepts: DataFrame, method: str = "match_method") -> DataFrame:
+    """How many concepts were found by which kind of match."""
+    m = F.col(method)
+    return concepts.agg(F.count("*").alias("total"), *[F.count_if(m == k).alias(k) for k in ("exact", "normalized", "unresolved")])

@@ -336,3 +336,47 @@ def term_properties(spark, d):
 def lookup_cache_keys(spark, d):
     """S11."""
     return t(spark, d, "customer").select("c_custkey", vocabulary.cache_key(F.concat("c_name", F.lit("  "), "c_mktsegment")).alias("key"))
+
+
+# ---- regulatory rows
+
+
+@query(
+    """with c as (select l_orderkey, l_linenumber, case when l_quantity > 48 then ' ' else cast(l_partkey % 50 as varchar) end as key, case when l_linenumber = 7 then 'odd' else 'present' end as state, l_returnflag as value, case when l_discount > 0.09 then 'X' else l_returnflag end as raw from lineitem),
+g as (select l_orderkey, bool_or(trim(key) = '') as blank, count(distinct trim(key)) < count(*) as twice, bool_or(state = 'odd') as odd, bool_or(case when state = 'present' then value <> raw else true end) as mapped from c group by 1)
+select l_orderkey, 'lines' as place, unnest(list_filter([case when blank then 'blank_key' end, case when twice then 'duplicate_key' end, case when odd then 'unknown_state' end, case when mapped then 'raw_mapping' end], lambda x: x is not null)) as fault from g"""
+)
+def regulatory_violations(spark, d):
+    """Faults of each order's lines as the children of one record."""
+    from sievelake.operators.regulatory import child_faults, violations
+
+    line = F.struct(
+        F.when(F.col("l_quantity") > 48, " ").otherwise((F.col("l_partkey") % 50).cast("string")).alias("key"), F.when(F.col("l_linenumber") == 7, "odd").otherwise("present").alias("state"),
+        F.col("l_returnflag").alias("value"), F.when(F.col("l_discount") > 0.09, "X").otherwise(F.col("l_returnflag")).alias("raw"),
+    )
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    return violations(rows, "l_orderkey", {"lines": child_faults(F.col("lines"), "key", "value", "state", "raw")})
+
+
+@query("select count(*) as rows, count(distinct source) as ids, count(*) as declared_rows, count(distinct source) as declared_ids, count_if(text is null) as null_texts from documents")
+def generation_check(spark, d):
+    """A published table against its own envelope."""
+    from sievelake.operators.regulatory import envelope, verify_generation
+
+    docs = t(spark, d, "documents").select("source", "text")
+    declared = envelope(docs.select("source"), "documents", "2020-01-01")
+    found = verify_generation(docs, declared, "text", "source")
+    return found.join(docs.agg(F.count_if(F.col("text").isNull()).alias("null_texts")), how="cross").select("rows", "ids", "declared_rows", "declared_ids", "null_texts")  # one row by one row
+
+
+@query(
+    """with w as (select p_partkey, p_size, lower(unnest(string_split(p_name, ' '))) as term from part), s as (select term, p_size % 3 as part, count(distinct p_partkey) as df, cast(max(p_size) * 2 as double) as score from w group by 1, 2)
+select term, max(score) as score, arg_max(df, (score, df)) as document_frequency, arg_max(df, (score, df)) >= 2 and max(score) >= 60 as accepted, 'topic' as query from s group by 1"""
+)
+def topic_profile(spark, d):
+    """The best score of each term."""
+    from sievelake.operators.terms import build_profile
+
+    w = t(spark, d, "part").select("p_partkey", "p_size", F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    scored = w.groupBy("term", F.col("p_size") % 3).agg(F.countDistinct("p_partkey").alias("document_frequency"), (F.max("p_size") * 2).cast("double").alias("score"))
+    return build_profile(scored, "topic").select("term", "score", "document_frequency", "accepted", "query")

@@ -498,8 +498,10 @@ def query_scope_screen(spark, d):
 @query("select page_id, regexp_extract(url, '^(https?)://([^/?#]+)', 2) as host, regexp_matches(url, '^https://') as secure, regexp_matches(url, '[?]') as has_query, not regexp_matches(url, '[?#@]') and regexp_matches(url, '^https?://[a-z0-9.-]+/') as allowed from pages")
 def url_allowlist(spark, d):
     """Q14, Q15."""
+    from sievelake.operators.regulatory import allowed_url, host_of
+
     u = F.col("url")
-    return t(spark, d, "pages").select("page_id", F.regexp_extract(u, "^(https?)://([^/?#]+)", 2).alias("host"), u.startswith("https://").alias("secure"), u.contains("?").alias("has_query"), (~u.rlike("[?#@]") & u.rlike("^https?://[a-z0-9.-]+/")).alias("allowed"))
+    return t(spark, d, "pages").select("page_id", host_of(u).alias("host"), u.startswith("https://").alias("secure"), u.contains("?").alias("has_query"), allowed_url(u).alias("allowed"))
 
 
 @query("select page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as escaped from pages")
@@ -545,8 +547,11 @@ def json_field_state(spark, d):
 @query("select o_orderkey, strftime(strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d'), '%Y-%m-%d') as day, try_strptime(strftime(o_orderdate, '%Y') || '0230', '%Y%m%d') is null as rejected from orders")
 def date_strict_parse(spark, d):
     """P8, F25."""
+    from sievelake.operators.regulatory import strict_day
+
     day = F.date_format("o_orderdate", "yyyyMMdd")
-    return t(spark, d, "orders").select("o_orderkey", F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date").cast("string").alias("day"), F.expr("try_to_timestamp(concat(date_format(o_orderdate, 'yyyy'), '0230'), 'yyyyMMdd')").isNull().alias("rejected"))
+    never = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("0230"))
+    return t(spark, d, "orders").select("o_orderkey", strict_day(day).cast("string").alias("day"), strict_day(never).isNull().alias("rejected"))
 
 
 @query("select c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g') as slug, substr(sha256(c_name), 1, 12) as digest from customer")
