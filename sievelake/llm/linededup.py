@@ -2,7 +2,7 @@
 
 A line is cut into pieces where one of ``. ! ? ; : ,`` stands before a blank, so that a passage that begins or ends
 inside a line still shares its inner pieces. Blank ones aside, a piece is normalised and counts as one unit for each
-``unit_words`` words begun. ``gram`` units in a row are a gram, known by its MD5.
+``unit_words`` words begun. ``gram`` units in a row are a gram; grams are ordered by the MD5 of their middle unit.
 
 1. Each window of ``window`` grams selects its least one (the leftmost of equals): a fingerprint. Two runs of
    ``window + gram - 1`` equal units have a window in common, and so share a fingerprint for certain. Only selected
@@ -23,52 +23,49 @@ their text as it is; other columns, whatever their names, are kept by ``drop_rep
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievelake.llm.common import KEY, Workspace, first_id, fresh, keyed, let, normal_pieces, pieces, with_key, without, word_count
 
-GRAM, WINDOW, UNIT_WORDS = 3, 3, 8
+GRAM, WINDOW, UNIT_WORDS = 3, 3, 12
 
 
 def units_of(text: Column, unit_words: int) -> Column:
-    """The units of a text: {t, piece}."""
-    some = F.filter(F.transform(normal_pieces(text), lambda p, i: F.struct(p.alias("t"), i.alias("piece"))), lambda x: x["t"] != "")
-    more = lambda x: F.sequence(F.lit(0), F.floor((word_count(x["t"]) - 1) / unit_words).cast("int"))
-    return F.flatten(F.transform(some, lambda x: F.transform(more(x), lambda j: F.struct(F.concat(x["t"], F.lit("\n"), j.cast("string")).alias("t"), x["piece"].alias("piece")))))
-
-
-def grams_of(units: Column, gram: int) -> Column:
-    """MD5 of every ``gram`` units in a row."""
-    name = lambda i: F.md5(F.concat_ws("\v", *[F.get(units, i + k)["t"] for k in range(gram)]).cast("binary"))
-    return F.transform(F.sequence(F.lit(0), F.size(units) - gram), name)
+    """The units of a text: {h, key, piece}: hash, what orders it, number of its piece."""
+    unit = lambda h, key, j, i: F.struct(h.alias("h"), key.alias("key"), i.alias("piece"))
+    one = lambda t, i: F.array(unit(F.xxhash64(t), F.md5(t.cast("binary")), 0, i))
+    more = lambda t, n, i: let(F.struct(F.xxhash64(t).alias("h"), F.md5(t.cast("binary")).alias("m")), lambda x: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / unit_words).cast("int")), lambda j: unit(F.when(j == 0, x["h"]).otherwise(F.xxhash64(x["h"], j)), F.concat(x["m"], F.when(j == 0, "").otherwise(j.cast("string"))), j, i)))
+    cut = lambda t, i: F.when(t == "", none).when(word_count(t) <= unit_words, one(t, i)).otherwise(more(t, word_count(t), i))
+    none = F.expr("cast(array() as array<struct<h:bigint,key:string,piece:int>>)")
+    return F.flatten(F.transform(normal_pieces(text), cut))
 
 
-def selected(grams: Column, window: int) -> Column:
+def selected(units: Column, gram: int, window: int) -> Column:
     """The grams that some window selects: {print, pos}. Fewer grams than a window are one window."""
-    n = F.size(grams)
+    n = F.size(units) - (gram - 1)
     far = F.least(F.lit(window - 1), n - 1)
+    keys = F.transform(F.slice(units, gram // 2 + 1, n), lambda u: u["key"])
 
-    def least_of(i):
-        part = F.slice(grams, i + 1, far + 1)
+    def least_of(k, i):
+        part = F.slice(k, i + 1, far + 1)
         return i + F.array_position(part, F.array_min(part)).cast("int") - 1
 
-    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1 - far), least_of))
-    return F.transform(chosen, lambda i: F.struct(F.xxhash64(F.get(grams, i)).alias("print"), i.alias("pos")))
+    chosen = let(keys, lambda k: F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1 - far), lambda i: least_of(k, i))))
+    name = lambda i: F.xxhash64(*[F.get(units, i + k)["h"] for k in range(gram)])
+    none = F.expr("cast(array() as array<struct<print:bigint,pos:int>>)")
+    return F.when(n > 0, F.transform(chosen, lambda i: F.struct(name(i).alias("print"), i.alias("pos")))).otherwise(none)
 
 
 def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 and the sorted numbers of the pieces to delete, for documents that have any."""
     ws = Workspace(docs.sparkSession, "winnow")
-    docs = keyed(docs, id_col, text_col).select(*KEY, first_id().alias("doc_id"), units_of(F.col("text"), unit_words).alias("units")).filter(F.size("units") >= gram)
-    told = docs.select(
-        *KEY,
-        "doc_id",
-        F.transform("units", lambda u: F.xxhash64(u["t"])).alias("hs"),
-        F.transform("units", lambda u: u["piece"]).alias("ps"),
-        let(grams_of(F.col("units"), gram), lambda g: selected(g, window)).alias("prints"),
-    )
+    # no filter on the units: it would be pushed down and cut every text a second time
+    docs = keyed(docs, id_col, text_col).select(*KEY, first_id().alias("doc_id"), units_of(F.col("text"), unit_words).alias("units"))
+    told = docs.select(*KEY, "doc_id", F.transform("units", lambda u: u["h"]).alias("hs"), F.transform("units", lambda u: u["piece"]).alias("ps"), selected(F.col("units"), gram, window).alias("prints"))
     told = ws.keep(told, "units")
     several = ws.keep(told.select(F.explode("prints.print").alias("print")).groupBy("print").count().filter("count > 1").select("print"), "several")
     shared = ws.keep(told.select(*KEY, "doc_id", F.inline("prints")).join(several, "print"), "shared")
@@ -86,7 +83,7 @@ def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, u
     theirs = told.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("hs").alias("theirs")).join(pairs.select("p1", "p2").distinct(), ["p1", "p2"], "left_semi")
     both = pairs.join(ws.keep(theirs.dropDuplicates(["p1", "p2"]), "theirs"), ["p1", "p2"]).join(told.select(*KEY, "hs", "ps"), KEY)
     equal = lambda off: F.transform("hs", lambda h, i: (i >= off) & F.coalesce(h == F.get("theirs", i - off), F.lit(False)))
-    run = lambda e, i: F.forall(F.slice(e, i + 1, gram), lambda x: x) & (i <= F.size(e) - gram)
+    run = lambda e, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(e, i + k), F.lit(False)) for k in range(gram)])
     starts = lambda e: F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: run(e, i))
     hits = F.array_distinct(F.flatten(F.transform("offs", lambda off: let(equal(off), starts))))
     gone = both.select(*KEY, "ps", hits.alias("hits")).filter(F.size("hits") > 0)
@@ -97,12 +94,12 @@ def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, u
 def winnow_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Per document: doc_id, n_units (pieces), removed (numbers of the deleted pieces, from 0) and kept (the text without them)."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings)
-    out = keyed(docs, id_col, text_col).join(gone, KEY, "left")
+    out = keyed(docs, id_col, text_col).join(gone, KEY, "left").withColumn("parts", pieces(F.col("text")))
     return out.select(
         "doc_id",
-        F.when(F.col("text") == "", 0).otherwise(F.size(pieces(F.col("text")))).alias("n_units"),
+        F.when(F.col("text") == "", 0).otherwise(F.size("parts")).alias("n_units"),
         F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(pieces(F.col("text")), F.col("gone"))).alias("kept"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("parts"), F.col("gone"))).alias("kept"),
     )
 
 

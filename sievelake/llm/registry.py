@@ -27,16 +27,16 @@ SQL = {
     "op4_line_winnowing": rf"""
 with {_DOCS},
 units as (
-  select doc_id, piece, t || chr(10) || j as u, row_number() over (partition by doc_id order by piece, j) - 1 as pos
-  from (select doc_id, piece, t, unnest(range((len(string_split(t, ' ')) - 1) // 8 + 1)) as j from clean where t <> '')
+  select doc_id, piece, t || chr(10) || j as u, md5(t) || case when j > 0 then cast(j as varchar) else '' end as key, row_number() over (partition by doc_id order by piece, j) - 1 as pos
+  from (select doc_id, piece, t, unnest(range((len(string_split(t, ' ')) - 1) // 12 + 1)) as j from clean where t <> '')
 ),
-grams as (select * from (select doc_id, pos, md5(u || chr(11) || lead(u, 1) over w || chr(11) || lead(u, 2) over w) as g from units window w as (partition by doc_id order by pos)) where g is not null),
+grams as (select * from (select doc_id, pos, lead(key, 1) over w as key, u || chr(11) || lead(u, 1) over w || chr(11) || lead(u, 2) over w as g from units window w as (partition by doc_id order by pos)) where g is not null),
 least as (
   select doc_id, pos, count(*) over (partition by doc_id) as n,
-    min(g || lpad(cast(pos as varchar), 10, '0')) over (partition by doc_id order by pos rows between current row and 2 following) as best
+    min(rpad(key, 40, ' ') || lpad(cast(pos as varchar), 10, '0')) over (partition by doc_id order by pos rows between current row and 2 following) as best
   from grams
 ),
-prints as (select distinct doc_id, substr(best, 1, 32) as g, cast(substr(best, 33) as bigint) as pos from least where pos <= greatest(0, n - 3)),
+prints as (select doc_id, pos, g from (select distinct doc_id, cast(substr(best, 41) as bigint) as pos from least where pos <= greatest(0, n - 3)) join grams using (doc_id, pos)),
 joined as (
   select doc_id, pos, lag(pos) over (partition by doc_id, g order by pos) as before, first_value(doc_id) over w as doc0, first_value(pos) over w as pos0
   from prints window w as (partition by g order by doc_id, pos)

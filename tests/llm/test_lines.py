@@ -37,16 +37,17 @@ def test_against_sql(spark, tmp_path, name, seed):
     assert sum(r[2] for r in got) > 100
 
 
-def brute_winnow(rows, gram=3, window=3, per=8):
+def brute_winnow(rows, gram=3, window=3, per=12):
     """Numbers of the pieces that go, per document; ids must differ."""
     docs, prints, out = {}, {}, {}
     for i, t in sorted(rows):
         cut = re.split(r"(?<=\n)|(?<=[.!?;:,])(?= )", t or "")
         clean = [re.sub(r"\s+", " ", p.lower()).strip() for p in cut]
         units = [(f"{c}\n{j}", n) for n, c in enumerate(clean) if c for j in range((len(c.split(" ")) - 1) // per + 1)]
-        grams = [hashlib.md5("\v".join(u[0] for u in units[a : a + gram]).encode()).hexdigest() for a in range(len(units) - gram + 1)]
+        grams = [tuple(u[0] for u in units[a : a + gram]) for a in range(len(units) - gram + 1)]
+        key = [(lambda t, j: hashlib.md5(t.encode()).hexdigest() + (j if j != "0" else ""))(*g[gram // 2].split("\n")) for g in grams]
         w = min(window, len(grams))
-        docs[i] = units, {min(range(a, a + w), key=lambda p: (grams[p], p)) for a in range(len(grams) - w + 1) if w}, grams
+        docs[i] = units, {min(range(a, a + w), key=lambda p: (key[p], p)) for a in range(len(grams) - w + 1) if w}, grams
     for i, (units, chosen, grams) in docs.items():
         last, gone = {}, set()
         for p in sorted(chosen):
