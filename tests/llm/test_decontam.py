@@ -73,3 +73,18 @@ def test_names_that_clash(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2), (2, "q", 3, 4), (None, None, 5, 6)], "doc_id long, text string, __k1 int, k2 int")
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert sorted((r[0] or 0, r[2], r[3]) for r in drop_contaminated(docs, items).collect()) == [(0, 5, 6), (2, 3, 4)]
+
+
+def test_recall_near_the_threshold(spark):
+    """Passages of similarity 0.8 to 0.95: single words replaced in items of 57 to 100 words, or near the end of shorter ones."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(57, 100) if i % 2 else 40))) for i in range(60)]
+    docs = []
+    for i in range(240):
+        x = items[i % 60][1].split(" ")
+        x[rng.randrange(5, len(x) - 5) if i % 2 else len(x) - rng.randint(1, 4)] = word()
+        docs.append((i, " ".join([word() for _ in range(rng.randint(0, 60))] + x + [word() for _ in range(30)])))
+    want = {x for i, t in docs for x in brute([(i, t)], [items[i % 60]])}
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.9 * len(want)
