@@ -380,3 +380,31 @@ def topic_profile(spark, d):
     w = t(spark, d, "part").select("p_partkey", "p_size", F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
     scored = w.groupBy("term", F.col("p_size") % 3).agg(F.countDistinct("p_partkey").alias("document_frequency"), (F.max("p_size") * 2).cast("double").alias("score"))
     return build_profile(scored, "topic").select("term", "score", "document_frequency", "accepted", "query")
+
+
+# ---- reports
+
+_PLACED = "p as (select source as topic_id, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as rank, lang, case doc_id % 3 when 0 then 'key_evidence' when 1 then 'audit_only' else 'early_safety_signals' end as section from documents), k as (select * from p where rank <= 10)"
+_PLACE = "case section when 'key_evidence' then 0 when 'early_safety_signals' then 2 else 8 end"
+_NAME = "case section when 'key_evidence' then 'Key evidence' when 'early_safety_signals' then 'Early safety signals' else 'Audit only' end"
+
+
+@query(
+    f"""with {_PLACED} select topic_id, {_PLACE} as section_place, 1 as kind, rank, '- **Document \\_' || doc_id || '\\_** Language: ' || upper(substr(lang, 1, 1)) || substr(lang, 2) as line from k
+union all select topic_id, {_PLACE}, 0, 0, '## ' || {_NAME} || ' (' || count(*) || ')' from k group by topic_id, section"""
+)
+def report_lines(spark, d):
+    """K2, K3, section 2.17: headings and cards of ten rows a topic."""
+    from sievelake.operators.report import section_lines
+
+    docs = t(spark, d, "documents").select(F.col("source").alias("topic_id"), "doc_id", "n_chars", "lang", F.get(F.lit(["key_evidence", "audit_only", "early_safety_signals"]), (F.col("doc_id") % 3).cast("int")).alias("section"))
+    best = metrics.top_k(docs, ["topic_id"], [F.col("n_chars").desc(), F.col("doc_id")], 10, "rank")
+    return section_lines(best.withColumn("title", F.concat(F.lit("Document _"), F.col("doc_id").cast("string"), F.lit("_"))), ["topic_id"], "title", {"Language": "lang"})
+
+
+@query("select c_mktsegment as code, '- ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' (' || count(*) || ')' as line from customer group by 1")
+def warning_section(spark, d):
+    """Section 2.17: warnings with their counts."""
+    from sievelake.operators.report import warning_lines
+
+    return warning_lines(t(spark, d, "customer").select(F.col("c_mktsegment").alias("code")), "code")
