@@ -51,8 +51,10 @@ def selected(units: Column, gram: int, window: int) -> Column:
     keys = F.transform(F.slice(units, gram // 2 + 1, n), lambda u: u["key"])
 
     def least_of(k, i):
-        part = F.slice(k, i + 1, far + 1)
-        return i + F.array_position(part, F.array_min(part)).cast("int") - 1
+        best = i
+        for j in range(1, window):  # beyond the end there is a null, which is never less
+            best = F.when(F.get(k, i + j) < F.get(k, best), i + j).otherwise(best)
+        return best
 
     chosen = let(keys, lambda k: F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1 - far), lambda i: least_of(k, i))))
     name = lambda i: F.xxhash64(*[F.get(units, i + k)["h"] for k in range(gram)])
