@@ -167,6 +167,12 @@ def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "words")
 
 
+def op11_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.bestfit import pack_best_fit
+
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
