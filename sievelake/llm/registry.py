@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import table
+from sievelake.llm.merkle_sql import MERKLE_SQL
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -74,6 +75,7 @@ select d.doc_id, cast(case when d.text = '' then 0 else len(w.parts) end as bigi
   coalesce(r.removed_spans, '') as removed_spans, sha256(coalesce(k.kept, '')) as kept_sha256
 from docs d join whole w using (doc_id) left join kept k using (doc_id) left join removed r using (doc_id)
 """,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
 
 
@@ -173,6 +175,13 @@ def op11_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.merkle import lowered, merkle_manifest, tampering
+
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest(docs, altered=tampering(docs["doc_id"]), text_now=lowered(docs["text"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
