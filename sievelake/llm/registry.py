@@ -76,6 +76,24 @@ select d.doc_id, cast(case when d.text = '' then 0 else len(w.parts) end as bigi
 from docs d join whole w using (doc_id) left join kept k using (doc_id) left join removed r using (doc_id)
 """,
     "op12_merkle_manifest": MERKLE_SQL,
+    "op13_source_divergence": r"""
+with docs as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as c from words group by lang, term having count(distinct row) >= 30),
+sizes as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+sources as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as c from words join (select lang, term from kept) using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(c) as n from counts group by lang, source),
+cells as (
+  select s.lang, s.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 5)) // (coalesce(t.n, 0) + 5 * z.v) as p, 1 + (1000000000::hugeint * (k.c + 5)) // (z.n + 5 * z.v) as q
+  from sources s join kept k using (lang) join sizes z using (lang) left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term left join totals t on t.lang = s.lang and t.source = s.source
+),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value from sources a join sources b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+told as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', term, p - q from cells where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from told)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 50
+""",
 }
 
 
@@ -182,6 +200,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs, altered=tampering(docs["doc_id"]), text_now=lowered(docs["text"]))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelake.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
