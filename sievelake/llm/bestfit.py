@@ -239,8 +239,9 @@ def pack_best_fit(
     sent = docs.sparkSession.sparkContext.broadcast(rows)  # as many rows as lengths and their splits give, whatever the number of documents
 
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # its rows grow with the tasks, so it is never broadcast
     before = held.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("before"))
-    placed = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
+    placed = pieces.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
     last = ["ids"] * with_ids
 
     def place(batches):
