@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("compare", help="what changed between two snapshot files")
     c.add_argument("baseline")
     c.add_argument("target")
+    c.add_argument("--save", help="a folder for the changes as JSON lines; else they are printed in order")
     q = sub.add_parser("query", help="one of the registered queries over a folder of tables")
     q.add_argument("name")
     q.add_argument("--data", required=True)
@@ -41,13 +42,21 @@ def main(args: list[str] | None = None) -> int:
         rows = spark.read.schema(f"{ARTICLE}, retrieval_pos long").json(a.articles).withColumn("topic_id", F.lit(a.topic))
         triage(rows, parse_target(a.topic, a.intervention, a.condition), a.fetched_at, a.topic, limit=a.limit).write.mode("errorifexists").json(a.save)
     elif a.command == "compare":
+        from sievelake.operators.compare import change_order, comparison_of
         from sievelake.operators.diff import ComparisonError
         from sievelake.operators.snapshots import check_versions, load_snapshot, require_comparable
 
         try:
             docs = [load_snapshot(spark, x) for x in (a.baseline, a.target)]
             check_versions(*docs)
-            print(json.dumps(require_comparable(*docs).first().asDict()))
+            scope = require_comparable(*docs).first().asDict()
+            changes, ids = comparison_of(*docs)
+            print(json.dumps(scope | ids.first().asDict()))
+            if a.save:
+                changes.write.mode("errorifexists").json(a.save)
+            else:
+                for line in changes.orderBy(*change_order()).toJSON().toLocalIterator():
+                    print(line)
         except ComparisonError as e:
             print(json.dumps({"error": e.code, "text": str(e)}))
             return 2

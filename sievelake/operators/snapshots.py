@@ -1,4 +1,4 @@
-"""Snapshots as documents: load, gates, scope, leaves, review sources, unmatched records, identity.
+"""Snapshots as documents: load, gates, scope, review sources, unmatched records, identity.
 
 A snapshot is one JSON object with topic, query, schema_version and a list of articles. Its articles are rows; what is
 said of the snapshot as a whole is one row.
@@ -6,21 +6,16 @@ said of the snapshot as a whole is one row.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sievelake.operators.diff import ComparisonError
 
-#: Versions that a comparison accepts, and the keys that only audits use (fixed values).
+#: Versions that a comparison accepts (fixed values).
 ACCEPTED_VERSIONS = ("b5",)
-AUDIT_ONLY = ("assessed_at", "fetched_at", "pmid")
 REVIEW_SOURCES = ("relevance", "study", "integrity", "extraction")
 
 
@@ -88,36 +83,6 @@ def comparison_id(baseline_id: Column, target_id: Column, versions: Sequence[str
     return F.sha2(F.concat_ws(":", baseline_id, target_id, *[F.lit(v) for v in versions]).cast("binary"), 256)
 
 
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def leaves(value, path: str = "") -> list[tuple[str, str]]:
-    """paths of a JSON value's leaves and their canonical text. Lists of objects and of scalars are sorted multisets; mixed lists go by place."""
-    if isinstance(value, dict):
-        named = {k: v for k, v in value.items() if k not in AUDIT_ONLY}
-        return [x for k in sorted(named) for x in leaves(named[k], f"{path}.{k}" if path else k)] if named else [(path, "{}")]
-    if isinstance(value, list):
-        kinds = {dict if isinstance(v, dict) else list if isinstance(v, list) else None for v in value}
-        if kinds <= {dict} or kinds <= {None}:
-            return [(path, canonical(sorted(value, key=canonical)))]
-        return [x for i, v in enumerate(value) for x in leaves(v, f"{path}[{i}]")]
-    return [(path, canonical(value))]
-
-
-@pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
-def json_leaves(text: pd.Series) -> pd.Series:
-    """The leaves of JSON texts; null where a text isn't JSON. The depth isn't bounded, which built-in functions would need."""
-
-    def one(t):
-        try:
-            return None if t is None else [{"path": p, "value": v} for p, v in leaves(json.loads(t))]
-        except ValueError:
-            return None
-
-    return text.map(one)
-
-
 def to_document(columns: Sequence[str]) -> Column:
     """Columns as a JSON object that keeps its nulls."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

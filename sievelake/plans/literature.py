@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import text as X
 from sievelake.operators import diff, metrics, ranking, records, snapshots, vocabulary
+from sievelake.operators.trees import leaf_table
 from sievelake.plans.catalog import query, t
 
 # ---- the flagship: triage of candidates to placed evidence
@@ -243,8 +244,8 @@ def comparison_ids(spark, d):
 @query("select event_id, 1 as n_leaves, 'k' as path, cast(json_extract(props, '$.k') as varchar) as value from events")
 def json_leaf_rows(spark, d):
     """the leaves of each event's properties."""
-    rows = t(spark, d, "events").select("event_id", snapshots.json_leaves(F.col("props")).alias("x"))
-    return rows.select("event_id", F.size("x").alias("n_leaves"), F.get("x", 0)["path"].alias("path"), F.get("x", 0)["value"].alias("value"))
+    rows = leaf_table(t(spark, d, "events").select("event_id", F.parse_json("props").alias("doc")), ["event_id"], "doc")
+    return rows.groupBy("event_id").agg(F.count("*").cast("int").alias("n_leaves"), F.min("path").alias("path"), F.min("value").alias("value"))
 
 
 @query("""select c_custkey, '{"c_custkey":' || c_custkey || ',"segment":' || case when c_nationkey > 5 then '"' || c_mktsegment || '"' else 'null' end || '}' as document from customer""")

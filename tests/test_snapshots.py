@@ -8,11 +8,6 @@ from sievelake.operators.diff import ComparisonError
 from sievelake.operators.metrics import chosen_labels
 
 
-def test_leaves():
-    doc = {"b": [3, 1, 2], "a": {"x": None, "fetched_at": 1}, "c": [{"k": 2}, {"k": 1}], "d": [1, {"y": []}], "e": {}}
-    assert S.leaves(doc) == [("a.x", "null"), ("b", "[1,2,3]"), ("c", '[{"k":1},{"k":2}]'), ("d[0]", "1"), ("d[1].y", "[]"), ("e", "{}")]
-
-
 def test_loading(spark, tmp_path):
     def put(name, text):
         (tmp_path / name).write_text(text)
