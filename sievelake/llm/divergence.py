@@ -35,6 +35,8 @@ from sievelake.llm.common import Workspace, give_back
 LEAST_DOCUMENTS, TERMS, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
 #: Blocks of the ring at most, groups of a block at least, and cells (groups times terms) that a block's dense vectors have at most.
 MOST_BLOCKS, LEAST_BLOCK, CELLS = 16, 8, 1 << 21
+#: Parts that a slice's terms are numbered in.
+PARTS = 64
 #: Different (group, term) pairs that a counting task holds at most, and bytes of their terms.
 HELD, HELD_BYTES = 400_000, 32 << 20
 #: ASCII letters to lower case, bytes of other letters as they are, all else to a blank.
@@ -162,8 +164,13 @@ def source_divergence(
     # terms: slice and number there
     slice_of = F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice")
     placed = kept.join(groups.select("lang", "slices"), "lang").select("lang", "term", slice_of)
-    placed = placed.withColumn("number", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1)
-    placed = ws.keep(placed, "placed")
+    # numbers without gaps, dealt over parts of a slice, so that no task has to see a language's terms
+    placed = ws.keep(placed.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(PARTS)).cast("int")), "sliced")
+    sizes = placed.groupBy("lang", "slice", "part").agg(F.count("*").alias("n"))
+    begin = F.coalesce(F.sum("n").over(Window.partitionBy("lang", "slice").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("lang", "slice", "part").orderBy("term")) - 1
+    placed = placed.withColumn("own", own).join(sizes.select("lang", "slice", "part", begin.alias("begin")), ["lang", "slice", "part"])
+    placed = ws.keep(placed.select("lang", "term", "slice", (F.col("own") + F.col("begin")).alias("number")), "placed")
     widths = ws.keep(placed.groupBy("lang", "slice").agg(F.count("*").cast("int").alias("width")), "widths")
 
     cells_of = used.join(placed, ["lang", "term"]).join(members.select("lang", "source", "member", "block", "total", "all_total", "terms"), ["lang", "source"])
