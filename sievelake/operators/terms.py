@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake import rules
-from sievelake.functions.text import recency_score, space_form
+from sievelake.functions.numbers import round_half_even
+from sievelake.functions.text import lookup, recency_score, space_form, tokens
+from sievelake.operators.ranking import total_rank
 
 
 def document_frequency(occurrences: DataFrame, term: str, doc: str, order: Column, source: str | None = None, stop: Iterable[str] = ()) -> DataFrame:
@@ -24,7 +26,7 @@ def document_frequency(occurrences: DataFrame, term: str, doc: str, order: Colum
 
 
 def term_score(df: Column, most: Column, evidence: Column, days: Column, overlap: Column, boost: Column) -> Column:
-    """The weighted score; ties of rounding are left to the caller."""
+    """The weighted score, not rounded."""
     return F.least(F.lit(100.0), 0.40 * df / most * 100 + 0.30 * evidence + 0.20 * recency_score(days) + 0.10 * overlap * 100 + boost)
 
 
@@ -48,11 +50,62 @@ def merge_concepts(concepts: DataFrame, keys: list[str], documents: str, confide
     return concepts.groupBy(*keys).agg(F.max(confidence).alias(confidence), F.array_sort(F.collect_set(documents)).alias("documents"))
 
 
+def candidate_terms(articles: DataFrame) -> DataFrame:
+    """A row for each normalised term of each article: term, pmid, where it was first seen, whether title or abstract hold it.
+
+    ``articles`` are rows of pmid, rank, title, abstract, headings, keywords (arrays), evidence_level and published (a date). An article's headings come
+    before its keywords; a term that repeats within an article counts once. Stop terms and empty ones go; articles without an id have no terms.
+    """
+    place = lambda values, source, kind: F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), lambda x, i: F.struct(space_form(x).alias("term"), F.lit(source).alias("source"), F.lit(kind).alias("kind"), i.alias("i")))
+    told = F.filter(F.concat(place(F.col("headings"), "mesh", 0), place(F.col("keywords"), "keyword", 1)), lambda t: (t["term"] != "") & ~t["term"].isin(*rules.STOP_TERMS))
+    title, abstract = (space_form(F.coalesce(c, F.lit(""))) for c in ("title", "abstract"))
+    # an article's terms are looked for in its texts before they are spread, so that texts don't travel with terms
+    told = F.transform(told, lambda t: F.struct(t["term"].alias("term"), t["source"].alias("source"), t["kind"].alias("kind"), t["i"].alias("i"), title.contains(t["term"]).alias("in_title"), abstract.contains(t["term"]).alias("in_abstract")))
+    rows = articles.filter("pmid is not null").select("pmid", "rank", "evidence_level", "published", F.inline(told))
+    first = F.struct("rank", "kind", "i", "pmid").alias("at")
+    return rows.groupBy("term", "pmid").agg(F.min(F.struct("rank", "kind", "i", "pmid")).alias("at"), F.min_by("source", first).alias("source"), *[F.max(c).alias(c) for c in ("in_title", "in_abstract", "published")], F.min_by("evidence_level", first).alias("evidence_level"))
+
+
+def topic_overlap(term: Column, topic: str) -> Column:
+    """The share of a term's words that the topic has."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(term), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(words, tokens(F.lit(topic)))) / F.size(words))
+
+
+def scored_terms(articles: DataFrame, topic: str, on: str) -> DataFrame:
+    """Candidate terms with their score (one place, rounded as the exact value says) and what it was made of.
+
+    The greatest document frequency is one row, which every task gets.
+    """
+    pairs = candidate_terms(articles)
+    order = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rules.EVIDENCE_ORDINAL.items() for x in kv]), F.col("evidence_level")), F.lit(0))
+    by = pairs.groupBy("term").agg(
+        F.count("*").alias("document_frequency"), F.min("at").alias("first"), F.min_by("source", "at").alias("source"), F.max(order).alias("evidence_order"),
+        F.max("published").alias("latest"), F.max("in_title").alias("in_title"), F.max(~F.col("in_title") & F.col("in_abstract")).alias("in_abstract"),
+    )
+    by = by.withColumns({
+        "evidence_max": lookup({v: k for k, v in rules.EVIDENCE_ORDINAL.items()}, F.col("evidence_order"), "other"),
+        "recency_days": F.coalesce(F.greatest(F.lit(0), F.datediff(F.lit(on).cast("date"), "latest")), F.lit(rules.NO_DATE_DAYS)),
+        "overlap": topic_overlap(F.col("term"), topic),
+        "boost": F.least(F.lit(rules.BOOST_CAP), F.when(F.col("in_title"), rules.TITLE_BOOST).when(F.col("in_abstract"), rules.ABSTRACT_BOOST).otherwise(0)),
+    })
+    by = by.join(F.broadcast(by.agg(F.max("document_frequency").alias("most"))), how="cross")
+    bonus = lookup(rules.EVIDENCE_BONUS, F.col("evidence_max"), 20)
+    score = round_half_even(term_score(F.col("document_frequency"), F.col("most"), bonus, F.col("recency_days"), F.col("overlap"), F.col("boost")), 1)
+    return by.select("term", "source", "document_frequency", "evidence_max", "recency_days", round_half_even(F.col("overlap"), 2).alias("direct_topic_overlap"), "boost", score.alias("score"), "first")
+
+
 def build_profile(scored: DataFrame, topic: str) -> DataFrame:
-    """The profile of a topic: of each term the best score, accepted ones first, then by score and term. The query stays the topic."""
-    best = scored.groupBy("term").agg(F.max_by(F.struct("score", "document_frequency"), F.struct("score", "document_frequency")).alias("b"))
-    rows = best.select(F.lit(topic).alias("topic"), F.lit(topic).alias("query"), "term", "b.score", "b.document_frequency", accepted(F.col("b.document_frequency"), F.col("b.score")).alias("accepted"))
-    return rows
+    """The profile of a topic: of each term the best score, whether it is accepted, and its place: accepted ones first, then by score, then as first seen
+    (by term where rows don't say). The query stays the topic.
+    """
+    if "first" not in scored.columns:
+        scored = scored.withColumn("first", F.col("term"))
+    keep = ["score", "document_frequency", "first", *[c for c in scored.columns if c not in ("term", "score", "document_frequency", "first")]]
+    best = scored.groupBy("term").agg(F.max_by(F.struct(*keep), F.struct("score", "document_frequency")).alias("b"))
+    rows = best.select(F.lit(topic).alias("topic"), F.lit(topic).alias("query"), "term", "b.*", accepted(F.col("b.document_frequency"), F.col("b.score")).alias("accepted"))
+    place = F.floor(F.col("score")).cast("int")
+    return total_rank(rows, [~F.col("accepted"), -place], [-F.col("score"), F.col("first"), F.col("term")], "position").drop("first")
 
 
 def save_profile(profile: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sievelake.functions import text as X
 from sievelake.operators import diff, metrics, ranking, records, terms
-from sievelake.plans import literature, nested  # noqa: F401  nested registers its queries
+from sievelake.plans import literature, matching, nested  # noqa: F401  they register their queries
 from sievelake.plans.catalog import QUERIES, SQL, Query, query, t
 
 evidence_triage = literature.evidence_triage

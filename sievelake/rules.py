@@ -72,6 +72,15 @@ TYPE_POLICY = {
 LEAST_FREQUENCY, ACCEPT_SCORE, TITLE_BOOST, ABSTRACT_BOOST, BOOST_CAP = 2, 60, 5, 3, 5
 RECENCY = ((90, 100), (180, 80), (365, 60))
 RECENCY_LEAST = 40
+NO_DATE_DAYS = 9999
+
+# Terms that are never a topic's.
+STOP_TERMS = (
+    "humans", "human", "female", "male", "adult", "child", "children", "aged", "middle aged", "young adult", "adolescent", "infant", "infants", "animals", "animal", "mice", "rats", "rat", "mouse",
+    "drug therapy", "therapeutic use", "treatment outcome", "drug effects", "metabolism", "physiology", "pathology", "etiology", "diagnosis", "therapy", "prevention and control", "epidemiology", "complications",
+    "methods", "standards", "statistics and numerical data", "journal article", "review", "systematic review", "meta-analysis", "randomized controlled trial", "observational study", "clinical trial",
+    "comparative study", "evaluation study", "validation study", "english abstract", "pubmed", "medline",
+)
 
 # Snapshot comparison.
 ABSTENTIONS = ("not_reported", "not_extractable", "not_applicable", "unclear", "unknown", "unspecified")
