@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.operators.trees import fresh
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """A1: of rows of equal keys the first by ``order``; rows with an empty key all stay.
 
-    A grouped minimum with partial aggregation, so a key that a third of all rows share is one row a task.
+    A grouped minimum with partial aggregation, so a key that a third of all rows share is one row a task. Rows with an empty key are told
+    apart by a number of their own, so the input is read once.
     """
-    rest = [c for c in df.columns if c not in keys]
-    real = [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]
-    full = real[0]
-    for r in real[1:]:
-        full = full & r
-    picked = df.filter(full).groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(*keys, "__row.*").select(*df.columns)
-    return picked.unionByName(df.filter(~full | full.isNull()))
+    rest, own, row = [c for c in df.columns if c not in keys], fresh(df, "own"), fresh(df, "row")
+    empty = reduce(Column.__or__, [F.coalesce(F.col(k).cast("string"), F.lit("")) == "" for k in keys])
+    groups = df.withColumn(own, F.when(empty, F.monotonically_increasing_id() + 1).otherwise(0)).groupBy(*keys, own)
+    return groups.agg(F.min_by(F.struct(*rest), order).alias(row)).select(*keys, f"{row}.*").select(*df.columns)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake import rules
 from sievelake.functions.text import tri_state, type_form
+from sievelake.operators.spans import first_match
 
 PLANNING = r"(?i)\b(?:planned|future|propos(?:e|ed)|will\s+(?:be\s+assigned|enroll?|randomi[sz]e)|aims?\s+to|recruit(?:ment)?|enrollment)\b"
 METHODS = r"(?i)\b(?:methods?|experiments?|assays?|cells?\s+(?:were\s+)?(?:cultured|incubated|treated)|cultured|incubat(?:ed|ion)|performed)\b"
@@ -73,9 +74,11 @@ def with_design(articles: DataFrame, title: str = "title", abstract: str = "abst
 
 
 def supporting_span(s: Column) -> Column:
-    """What a signal was read from: the words of the family's pattern, or the publication type itself."""
-    words = F.coalesce(*[F.when(s["family"] == family, F.nullif(F.regexp_extract(s["text"], f"(?i){pattern}", 0), F.lit(""))) for family, pattern in rules.DESIGN_TEXT], s["text"])
-    return F.struct(s["source"].alias("source"), s["family"].alias("family"), F.when(s["source"] == "publication_type", s["text"]).otherwise(words).alias("span"))
+    """What a signal was read from, with its place there: the words of the family's pattern, or the publication type itself."""
+    whole = F.struct(F.lit(0).alias("start"), F.char_length(s["text"]).alias("stop"), s["text"].alias("span"))
+    words = F.coalesce(*[F.when(s["family"] == family, first_match(s["text"], f"(?i){pattern}")) for family, pattern in rules.DESIGN_TEXT], whole)
+    at = F.when(s["source"] == "publication_type", whole).otherwise(words)
+    return F.struct(s["source"].alias("source"), s["family"].alias("family"), at["span"].alias("span"), at["start"].alias("start"), at["stop"].alias("stop"))
 
 
 def reasons(family: Column, tier: Column, status: Column, scope: Column, sample: Column, comparator: Column, conflict: Column) -> Column:

@@ -36,18 +36,20 @@ from e left join r on e.topic_id = r.topic_id and e.pmid = r.pmid left join p on
 """
 
 
-@query(_TRIAGE)
-def evidence_triage(spark, d):
-    """The flagship (J1-J4, W1, W3, C26-C28, O2): first of each text, eligibility, the eleven keys within a topic, ten rows, placement with a cap."""
-    from sievelake.plans.triage import decide
-
-    docs = t(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    rows = records.first_wins(docs, ["digest"], F.col("doc_id")).join(t(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
-    n, i = F.col("n_chars"), F.col("doc_id")
+def _decided(spark, d, counters=None):
+    """Documents as candidates: first of each text, labelled, judged, ranked and placed; the rows that both sides read are written once."""
+    from sievelake.plans.stage import Stage
+    from sievelake.plans.triage import Counters, decide
+
+    stage, counters = Stage(spark, "triage"), counters or Counters()
+    docs = counters.at_source(t(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
+    rows = counters.after_dedup(records.first_wins(docs, ["h1", "h2"], F.col("doc_id"))).join(t(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
     kind = X.lookup({"en": "direct", "de": "class_level", "fr": "contextual"}, F.col("lang"), "irrelevant")
-    rows = rows.select("*", F.col("source").alias("topic_id"), i.cast("string").alias("pmid"), (F.col("toxic") == 0).alias("__eligible"), kind.alias("relevance_class"))
-    rows = rows.withColumn("__decision", F.when(F.col("relevance_class") == "irrelevant", "excluded_irrelevant").otherwise(F.concat(F.lit("included_"), "relevance_class")))
-    judged = rows.filter("__eligible and relevance_class <> 'irrelevant'").select(
+    rows = rows.select("doc_id", "n_chars", F.col("source").alias("topic_id"), F.col("doc_id").cast("string").alias("pmid"), (F.col("toxic") == 0).alias("eligible"), kind.alias("relevance_class"))
+    rows = rows.withColumn("said", F.when(F.col("relevance_class") == "irrelevant", "excluded_irrelevant").otherwise(F.concat(F.lit("included_"), "relevance_class")))
+    rows = stage.keep(rows, "rows")
+    n, i = F.col("n_chars"), F.col("doc_id")
+    judged = rows.filter("eligible and relevance_class <> 'irrelevant'").select(
         "topic_id",
         "pmid",
         "relevance_class",
@@ -66,8 +68,31 @@ def evidence_triage(spark, d):
         (i % 100).cast("int").alias("overall_score"),
         F.date_add(F.to_date(F.lit("2020-01-01")), (i % 365).cast("int")).alias("publication_date"),
     )
-    out = decide(rows.select("topic_id", "pmid", "__decision", "__eligible"), judged, limit=10, cap=3)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    out = decide(rows.select("topic_id", "pmid", "said", "relevance_class", "eligible"), judged, limit=10, cap=3, stage=stage)
+    return counters.at_the_end(out.withColumn("rank", F.col("rank").cast("long")))
+
+
+@query(_TRIAGE)
+def evidence_triage(spark, d):
+    """The flagship (J1-J4, W1, W3, C26-C28, O2): first of each text, eligibility, the eleven keys within a topic, ten rows, placement with a cap."""
+    return _decided(spark, d).drop("relevance_class", "eligible")
+
+
+@query(
+    f"""with x as ({_TRIAGE}), c as (select x.*, e.lang, l.toxic from x join documents e on cast(e.doc_id as varchar) = x.pmid join labels l using (doc_id))
+select 'documents' as query, 10 as report_limit, (select count(*) from documents) as raw_candidate_count, (select count(distinct text) from documents) as candidate_count, (select count(*) - count(distinct text) from documents) as duplicate_count,
+count(*) filter (decision like 'included%') as included_count, count(*) filter (decision in ('excluded_irrelevant', 'excluded_report_limit')) as excluded_count, count(*) filter (lang = 'en') as direct_count,
+count(*) filter (lang = 'de') as class_level_count, count(*) filter (lang = 'fr') as contextual_count, count(*) filter (lang not in ('en', 'de', 'fr')) as irrelevant_count,
+count(*) filter (decision = 'excluded_irrelevant') as excluded_irrelevant_count, count(*) filter (decision = 'excluded_report_limit') as excluded_report_limit_count, count(*) filter (toxic <> 0) as excluded_integrity_count from c"""
+)
+def observed_quality(spark, d):
+    """A3: all counters of the triage, observed while it runs; SQL counts its rows afterwards."""
+    from sievelake.plans.triage import Counters
+
+    counters = Counters("documents", report_limit=10)
+    _decided(spark, d, counters).write.format("noop").mode("overwrite").save()
+    found = {k: v for k, v in counters.summary().items() if v is not None}
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} {'string' if k == 'query' else 'int' if k == 'report_limit' else 'long'}" for k in found))
 
 
 @query(

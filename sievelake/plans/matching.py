@@ -8,6 +8,7 @@ from sievelake import rules
 from sievelake.functions.text import type_form
 from sievelake.operators import terms
 from sievelake.operators.phrases import phrase_matches, signal_rows, signal_scores
+from sievelake.operators.spans import line_table, span_faults, token_table, word_spans, words_form
 from sievelake.plans.catalog import query, t
 
 _AT = "list_filter(range(len(words)), lambda i: array_to_string(words[i + 1 : i + len(string_split(label, ' '))], ' ') = label)"
@@ -104,3 +105,44 @@ def article_topic_profile(spark, d):
     )
     found = terms.build_profile(terms.scored_terms(articles, "Red widget, economy!", "2024-06-01"), "Red widget, economy!")
     return found.select("term", "source", F.col("document_frequency").alias("document_frequency"), "recency_days", "direct_topic_overlap", "score", "accepted", F.col("position").cast("long").alias("position"))
+
+
+# ---- where phrases stand
+
+_SPANS = f"""t as (select doc_id, text, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) as piece, unnest(range(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')))) as pos from documents),
+o as (select doc_id, piece, pos, sum(length(piece)) over w as stop, regexp_full_match(piece, '[A-Za-z0-9]+') as token, sum(regexp_full_match(piece, '[A-Za-z0-9]+')::int) over w - 1 as ord from t window w as (partition by doc_id order by pos rows unbounded preceding)),
+k as (select doc_id, ord, cast(stop - length(piece) as bigint) as start, cast(stop as bigint) as stop, piece from o where token),
+b as (select item_id, string_split({_FORM.format('text')}, ' ') as w from benchmark),
+l as (select distinct item_id, label from (select item_id, unnest([array_to_string(w[2:5], ' '), coalesce(w[7], '')]) as label from b) where label <> ''),
+d as (select doc_id, list(lower(piece) order by ord) as words, ' ' || string_agg(lower(piece), ' ' order by ord) || ' ' as padded from k group by 1),
+m as (select doc_id, item_id, label, {_AT}[1] as place from d join l on contains(padded, ' ' || label || ' ')),
+s as (select m.doc_id, item_id, label, x.start, y.stop from m join k x on x.doc_id = m.doc_id and x.ord = place join k y on y.doc_id = m.doc_id and y.ord = place + len(string_split(label, ' ')) - 1)"""
+
+
+def _spans(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    tokens = token_table(docs, ["doc_id"], "text")
+    found = phrase_matches(docs.select("doc_id", words_form(F.col("text")).alias("words")), ["doc_id"], "words", _phrases(spark, d).distinct(), ["item_id"], "label")
+    return docs, tokens, word_spans(found.select("doc_id", "item_id", "phrase", "first"), tokens, ["doc_id"], words=F.size(F.split("phrase", " "))).drop("first")
+
+
+@query(f"with {_SPANS} select doc_id, item_id, label as phrase, cast(start as integer) as start, cast(stop as integer) as stop, substr(text, start + 1, stop - start) as span from s join documents using (doc_id)")
+def phrase_spans(spark, d):
+    """Where benchmark phrases first stand in whole documents, in code points of the text as it is."""
+    docs, _, spans = _spans(spark, d)
+    return spans.join(docs, "doc_id").select("doc_id", "item_id", "phrase", "start", "stop", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("span"))
+
+
+@query(
+    f"""with {_SPANS}, x as (select doc_id, item_id, label as phrase, start + (doc_id % 7 = 0)::int as start, stop + (doc_id % 7 = 0)::int as stop, substr(text, start + 1, stop - start) as span, text from s join documents using (doc_id)),
+f as (select *, substr(text, start + 1, stop - start) as there, contains(substr(text, start + 1, stop - start - 1), chr(10)) or length(text) < stop as crosses from x)
+select doc_id, item_id, phrase, 'outside' as code from f where crosses
+union all select doc_id, item_id, phrase, 'text_differs' from f where not crosses and there <> span
+union all select f.doc_id, item_id, phrase, 'off_token' from f left join k a on a.doc_id = f.doc_id and a.start = f.start left join k z on z.doc_id = f.doc_id and z.stop = f.stop where a.start is null or z.stop is null"""
+)
+def span_invariants(spark, d):
+    """Spans against lines and tokens: what crosses a line, and a shift by one that is planted in every seventh document, is found; all else holds."""
+    docs, tokens, spans = _spans(spark, d)
+    shift = (F.col("doc_id") % 7 == 0).cast("int")
+    spans = spans.join(docs, "doc_id").select("doc_id", "item_id", "phrase", (F.col("start") + shift).alias("start"), (F.col("stop") + shift).alias("stop"), F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("span"))
+    return span_faults(spans, line_table(docs, ["doc_id"], "text"), tokens, ["doc_id"], ["item_id", "phrase"])
