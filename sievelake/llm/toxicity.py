@@ -239,8 +239,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000,
         restorer.known.clear()
         give_back()
 
-    # the sample has fit_rows rows at most (give or take the spread of a hash), so it is sent to where the texts are
-    read = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(restored, "doc_id long, toxic int, words array<string>")
+    # the sample has fit_rows rows at most (give or take the spread of a hash), so it is sent to where the texts are; rows that repeat an id
+    # give one of their texts, the least, so that the bound holds for what is collected too
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    read = texts.select("doc_id", "toxic", "text").mapInArrow(restored, "doc_id long, toxic int, words array<string>")
     read = ws.keep(read, "sample")
     n1, n0 = read.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     a, b = F.col("a"), F.col("b")

@@ -97,3 +97,20 @@ def test_no_labels(spark):
     got = score_toxicity(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none).collect()
     assert got[0].predicted == 0
     assert score_toxicity(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
+
+
+def test_one_id_of_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    from sievelake.llm import toxicity
+
+    rows = [(7, f"text {i} of idiots" if i else None) for i in range(3000)] + [(i, "a calm text") for i in range(20, 60)]
+    labels = spark.createDataFrame([(7, 1)] * 50 + [(i, 0) for i in range(20, 60)], "doc_id long, toxic int")
+    seen, keep = {}, toxicity.Workspace.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(toxicity.Workspace, "keep", kept)
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, fit_rows=100)
+    assert got.count() == 3040 and 0 < seen["sample"] <= 41
