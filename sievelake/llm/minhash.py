@@ -11,15 +11,14 @@
    costs its length). Clusters are cut into blocks of a bounded number of members and bytes; a task counts the agreeing
    coordinates of the pairs of a block and of its cluster's first block, skips pairs that are connected already, and
    confirms the rest on full sets.
-4. What then isn't connected to its cluster's largest part meets the others through the postings again, by signatures
-   alone: a posting is cut into chunks, and the chunks of its unconnected members meet all of its chunks. The pairs that agree often
-   enough and are not connected are confirmed on full sets by a join. So each link that could connect two parts is
-   tested, rows grow with the postings' lengths, and no task or join holds a whole cluster.
+4. What then isn't connected to its cluster's largest part meets the others once more, by an exact prefix join on full sets: shingles are
+   ordered by rarity, and a pair can only link if it shares one of the first few of each. Pairs of that kind are confirmed on full
+   sets by a join. So each link that could connect two parts is tested, and texts that share much but not enough make no pairs.
 5. Links give components; a class's component holds for all its documents.
 
 Defined results: documents without words have no shingles and stand alone; a null text is an empty one; rows
 without an id have no component (null) and are not kept; rows that repeat an id count as one document for
-linking; an empty table gives no rows; other columns are ignored.
+linking, with the text whose set has fewest shingles (of equals the least digest); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,17 +121,23 @@ def portions(batches, most: int = BATCH_BYTES):
         yield rows
 
 
+def digests(values: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two numbers; zeros for empty ones."""
+    n = np.diff(border)
+    h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(full := np.flatnonzero(n)):
+        h1[full] = np.add.reduceat(mix(values + ODD), border[full])
+        h2[full] = np.bitwise_xor.reduceat(mix(values ^ ODD), border[full])
+    return h1, h2
+
+
 def sign(docs: DataFrame, coordinates: int, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for rows in portions(batches):
             values, border = shingle_sets([r[1] for r in rows], k)
-            n = np.diff(border)
-            h1, h2 = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
-            if len(full := np.flatnonzero(n)):
-                h1[full] = np.add.reduceat(mix(values + ODD), border[full])
-                h2[full] = np.bitwise_xor.reduceat(mix(values ^ ODD), border[full])
+            n, (h1, h2) = np.diff(border), digests(values, border)
             flat = pa.array(signatures(values, border, coordinates).view(np.int32).ravel())
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * coordinates, pa.int32()), flat)
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), sig]
@@ -149,10 +154,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
         for rows in portions(batches):
             values, border = shingle_sets([r[1] for r in rows], k)
             sets = pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), sets], ["rep", "hashes"])
+            h1, h2 = digests(values, border)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), sets], ["rep", "h1", "h2", "hashes"])
         give_back()
 
-    return docs.mapInArrow(run, "rep long, hashes array<long>")
+    return docs.mapInArrow(run, "rep long, h1 long, h2 long, hashes array<long>")
 
 
 def least_matches(coordinates: int, similarity: float, miss: float = 1e-6) -> int:
@@ -217,24 +223,7 @@ def linker(coordinates: int, matches: int, percent: int):
     return run
 
 
-def meeting(coordinates: int, matches: int, percent: int):
-    """The task that finds which unconnected members (side 0) of a posting agree with which members (side 1) of other parts."""
-
-    def run(pdf):
-        import pandas as pd
-
-        rows = []
-        for side in (0, 1):
-            own = pdf[pdf.side == side]
-            rows.append((np.array(own.sig.tolist(), dtype=np.int32).reshape(len(own), coordinates), own.rep.to_numpy(), own.part.to_numpy(), own.n_shingles.to_numpy()))
-        (sig, rep, part, n), (sig1, rep1, part1, n1) = rows
-        i, j = np.nonzero((agreeing(sig, sig1) >= matches) & (part[:, None] != part1[None, :]) & alike(n, n1, percent))
-        return pd.DataFrame({"a": np.minimum(rep[i], rep1[j]), "b": np.maximum(rep[i], rep1[j])}).drop_duplicates()
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coordinates: int = 64, block: int = 128, block_bytes: int = 2 << 20, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coordinates: int = 64, block: int = 128, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of distinct shingles, component (its least id) and whether it is that one.
 
     Linked are documents whose sets' intersection is at least ``percent`` hundredths of their union.
@@ -246,7 +235,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     signed = ws.keep(sign(docs, coordinates, k), "signed")
     classes = ws.keep(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
-    posted = classes.select("rep", F.posexplode("sig").alias("coordinate", "value"))
+    # rows of one id but different texts: the class of the least digest stands for the id
+    twice = classes.groupBy("rep").agg(F.count("*").alias("k"), F.min(F.struct("n_shingles", "h1", "h2")).alias("best")).filter("k > 1").drop("k")
+    twice = ws.keep(twice, "twice")
+    one_each = classes.join(twice, "rep", "left").filter(F.col("best").isNull() | (F.struct("n_shingles", "h1", "h2") == F.col("best"))).drop("best")
+
+    posted = one_each.select("rep", F.posexplode("sig").alias("coordinate", "value"))
     posted = posted.select("rep", (F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = ws.keep(shared, "shared")  # grouped sides are written before a join: then a hot key's part of the other side can be split
@@ -261,11 +255,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     ws.drop("shared", "hubs")
     ids = cluster.select(F.col("rep").alias("doc_id")).distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k)
-    known = cluster.join(classes.select("rep", "sig", "n_shingles"), "rep")
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), k)
+    known = cluster.join(one_each.select("rep", "sig", "n_shingles", "h1", "h2"), "rep")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("n_shingles") / block_bytes)).cast("int")
     size = ws.keep(known.groupBy("cluster").agg(blocks.alias("blocks")), "size")
-    members = known.join(size, "cluster").join(sets, "rep")
+    members = known.join(size, "cluster").join(sets.dropDuplicates(["rep", "h1", "h2"]), ["rep", "h1", "h2"]).drop("h1", "h2")
     members = ws.keep(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
 
     # each block within itself and against its cluster's first block
@@ -274,9 +268,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     lead = shape(members.filter("block = 0 and blocks > 1").withColumn("left", F.explode(F.expr("sequence(1, blocks - 1)"))), 0)
     links = ws.keep(own.union(lead).groupBy("cluster", "left").applyInPandas(linker(coordinates, matches, percent), "a long, b long"), "links-1")
 
-    large = members.filter("blocks > 1").select("rep", "cluster", "n_shingles", "sig")
+    large = members.filter("blocks > 1").select("rep", "cluster")
     if not large.isEmpty():
-        links = links.union(ws.keep(rest_links(ws, large, members, prefix, links, coordinates, matches, percent, chunk), "links-2"))
+        links = links.union(ws.keep(rest_links(ws, large, members, links, percent), "links-2"))
     final = components(ws, links, "final").select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
     named = classes.select("h1", "h2", "n_shingles", "rep").join(final, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
@@ -284,29 +278,44 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE, coo
     return out.select("doc_id", "n_shingles", own_or.alias("component_id"), F.coalesce(F.col("doc_id") == own_or, F.lit(False)).alias("kept"))
 
 
-def rest_links(ws: Workspace, large: DataFrame, members: DataFrame, prefix: DataFrame, links: DataFrame, coordinates: int, matches: int, percent: int, chunk: int) -> DataFrame:
+def rest_links(ws: Workspace, large: DataFrame, members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between members outside their cluster's largest part and members of other parts."""
     part = components(ws, links, "first").select(F.col("node").alias("rep"), F.col("root").alias("part"))
     large = ws.keep(large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "large")
     main = large.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     main = ws.keep(main, "main")
-    held = ws.keep(large.join(main, "cluster").select("rep", "part", (F.col("part") != F.col("main")).alias("rest"), "n_shingles", "sig"), "held")
-    posted = prefix.join(held.select("rep", "rest"), "rep")
-    sizes = posted.groupBy("token").agg(F.count("*").alias("n"), F.count_if("rest").alias("r")).filter("n > 1 and r > 0")
-    sizes = ws.keep(sizes.select("token", F.ceil(F.col("n") / chunk).cast("int").alias("blocks"), F.ceil(F.col("r") / chunk).cast("int").alias("chunks")), "postings")
-    posted = ws.keep(posted.join(sizes, "token"), "posted")
-    pick = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    left = posted.filter("rest").withColumns({"left": pick("chunks", 1), "right": F.explode(F.expr("sequence(0, blocks - 1)")), "side": F.lit(0)})
-    right = posted.withColumns({"left": F.explode(F.expr("sequence(0, chunks - 1)")), "right": pick("blocks", 2), "side": F.lit(1)})
-    rows = left.select("rep", "token", "left", "right", "side").union(right.select("rep", "token", "left", "right", "side")).join(held.drop("rest"), "rep")
-    pairs = rows.groupBy("token", "left", "right").applyInPandas(meeting(coordinates, matches, percent), "a long, b long").distinct()
-    pairs = ws.keep(pairs, "pairs")
-    ws.drop("posted")
+    held = ws.keep(large.join(main, "cluster").select("rep", "part", (F.col("part") != F.col("main")).alias("rest")), "held")
+    pairs = ws.keep(candidate_pairs(ws, held.join(members.select("rep", "hashes"), "rep"), percent), "pairs")
     sets = lambda x: members.select(F.col("rep").alias(x), F.col("hashes").alias(f"{x}s"))
     both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", F.size("as").alias("n"), F.size("bs").alias("m"), F.size(F.array_intersect("as", "bs")).alias("common"))
     return both.filter(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
+def candidate_pairs(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different parts, one of them a rest, whose sets (rep, part, rest, hashes) can be as similar as asked. None that are is left out.
+
+    Shingles are ordered by how many sets hold them, rare ones first. Let r be the larger set of a pair, s the smaller. With overlap
+    of ``percent`` / (100 + ``percent``) of both sizes or more, one of the first |r| - percent |r| / 100 + 1 shingles of r is one of the first
+    |s| - 2 percent |s| / (100 + percent) + 1 of s, and behind it enough are left in both. Texts of one template that differ in more than the
+    threshold allows have that many shingles of their own, which no other set holds: they are posted nowhere, so such a corpus makes no pairs.
+    """
+    tokens = sets.select("rep", F.explode("hashes").alias("token"))
+    known = ws.keep(tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"), "frequencies")
+    ordered = tokens.join(known, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("shared"))
+    n = F.size("hashes")
+    probe = n - F.ceil(percent * n / 100).cast("int") + 1
+    index = n - F.ceil(2 * percent * n / (100 + percent)).cast("int") + 1
+    rows = sets.withColumns({"n": n, "probe": probe, "index": index}).drop("hashes").join(ordered, "rep").withColumn("own", F.col("n") - F.size("shared"))
+    rows = rows.select("rep", "part", "rest", "n", "index", "own", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("probe") - F.col("own")))).alias("at", "x"))
+    rows = ws.keep(rows.select("rep", "part", "rest", "n", F.col("x.token").alias("token"), (F.col("own") + F.col("at")).alias("at"), (F.col("own") + F.col("at") < F.col("index")).alias("indexed")), "prefixes")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("rep", "part", "rest", "n", "at")]
+    r, s = rows.select("token", *side("r")), rows.filter("indexed").select("token", *side("s"))
+    left = F.least(F.col("r_n") - F.col("r_at"), F.col("s_n") - F.col("s_at"))
+    fits = (F.col("r_n") >= F.col("s_n")) & (100 * F.col("s_n") >= percent * F.col("r_n")) & ((100 + percent) * left >= percent * (F.col("r_n") + F.col("s_n")))
+    met = r.join(s, "token").filter((F.col("r_part") != F.col("s_part")) & (F.col("r_rest") | F.col("s_rest")) & fits)
+    return met.select(F.least("r_rep", "s_rep").alias("a"), F.greatest("r_rep", "s_rep").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents, all columns, of which each component keeps its least id; rows without an id stay."""
     ws, mark = Workspace(docs.sparkSession, "near-drop"), fresh(docs, "__gone")
