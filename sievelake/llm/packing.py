@@ -45,7 +45,7 @@ class WordEncoder:
     emptied, which costs time and changes no result.
     """
 
-    def __init__(self, path: str, most_words: int = 150_000, most_parts: int = 150_000, longest: int = 48):
+    def __init__(self, path: str, most_words: int = 400_000, most_parts: int = 300_000, longest: int = 48):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
