@@ -27,13 +27,17 @@ def with_evidence(articles: DataFrame, fetched_at: str, topic: str) -> DataFrame
     evidence = F.least(F.lit(100), F.greatest(F.lit(0), lookup(rules.EVIDENCE_SCORE, level, 30) + F.when(has, 5).otherwise(0) - F.when(future, 20).otherwise(0)))
     df = articles.select("*", level.alias("__level"), evidence.alias("__evidence"), relevance.alias("__relevance"), future.alias("__future"), has.alias("__has"))
     overall = overall_score(F.col("__evidence"), F.col("__relevance"))
-    limits = F.array_compact(F.array(F.when(~F.col("__has"), F.lit("no_abstract")), F.when(F.col("__future"), F.lit("future_dated")), F.when(F.col("__level") == "other", F.lit("unclassified_design"))))
+    lv, epub = F.col("__level"), F.coalesce(F.col("is_epub_ahead_of_print"), F.lit(False)) if "is_epub_ahead_of_print" in articles.columns else F.lit(False)
+    codes = lambda *tests: F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in tests]))
+    limits = codes((~F.col("__has"), "no_abstract"), (F.col("__future"), "future_dated"), (epub, "ahead_of_print"), (lv == "observational", "observational_design"), (lv == "narrative_review", "no_primary_study"), (lv == "other", "unclassified_design"))
+    why = codes((lv.isin("guideline", "systematic_review", "randomized_trial"), "high_evidence_level"), (F.col("__relevance") >= 60, "topic_in_title_or_abstract"), (F.col("__has"), "abstract_available"))
     out = F.struct(
         F.col("__level").alias("evidence_level"),
         F.col("__evidence").alias("evidence_score"),
         F.col("__relevance").alias("relevance_score"),
         overall.alias("overall_score"),
         section_of(overall, F.col("__future")).alias("section"),
+        F.when(F.size(why) > 0, why).otherwise(F.array(F.lit("retrieved_by_topic"))).alias("reasons"),
         limits.alias("limitations"),
     )
     return df.withColumn("assessment", out).drop("__level", "__evidence", "__relevance", "__future", "__has")

@@ -61,6 +61,15 @@ def evidence_keys(row: str = "") -> list[Column]:
     ]
 
 
+#: The components of the evidence rank, in order (fixed values).
+COMPONENTS = ("class_order", "intent_mismatch_order", "tier_order", "design_order", "limitations", "sample_size", "relevance", "section_order", "overall_score", "published", "pmid")
+
+
+def ranking_audit(row: str = "") -> Column:
+    """What a rank was made of, each component by its name; rows sort by the struct as they are ranked."""
+    return F.struct(*[key.alias(name) for key, name in zip(evidence_keys(row), COMPONENTS, strict=True)])
+
+
 def audit(df: DataFrame, eligible: Column, rank: str, limit: int, rule_reason: Column) -> DataFrame:
     """What became of each candidate: included, beyond the report's limit, or excluded by a rule."""
     return df.withColumn("decision", F.when(~eligible, rule_reason).when(F.col(rank) <= limit, "included").otherwise("excluded_report_limit"))

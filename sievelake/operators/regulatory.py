@@ -157,6 +157,30 @@ def strict_day(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
 
 
+# Names of parameters that carry a credential; a hyphen or an underscore may stand between their words.
+CREDENTIALS = (("api", "key"), ("access", "token"), ("authorization",), ("token",), ("client", "secret"), ("password",), ("signature",), ("sig",))
+
+
+def source_link_ok(url: Column) -> Column:
+    """Q15: a link that may be kept as text: none, or http(s) with a host, without a user, and without a credential among its parameters."""
+    names = "|".join("[_-]?".join(words) for words in CREDENTIALS)
+    authority = F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1)
+    host = F.regexp_replace(authority, r":[0-9]*$", "")
+    asked = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    return url.isNull() | ((host != "") & ~authority.contains("@") & ~asked.rlike(f"(?i)(?:^|[&;])(?:{names})="))
+
+
+def strict_iso_day(text: Column) -> Column:
+    """yyyy-MM-dd as a date; null unless it is a day of the calendar in just that form."""
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def strict_utc(text: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ssZ as a time; null unless it is one in just that form."""
+    shaped = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$")
+    return F.when(shaped, F.try_to_timestamp(F.regexp_replace(text, "[TZ]", " "), F.lit("yyyy-MM-dd HH:mm:ss ")))
+
+
 def mapping_fault(value: Column, state: Column, raw: Column) -> Column:
     """Whether a mapped value, the state of its field and the raw value contradict each other."""
     return F.coalesce(((state == "present") & ~value.eqNullSafe(raw)) | ((state != "present") & (value.isNotNull() | raw.isNotNull())), F.lit(True))

@@ -38,6 +38,11 @@ def design_of_type(kind: Column) -> Column:
     return out
 
 
+def subtype_of_type(kind: Column) -> Column:
+    """What a publication type says beyond its family: a network meta-analysis; else the family itself."""
+    return F.when(type_form(kind).contains("network meta analysis"), "network_meta_analysis").otherwise(design_of_type(kind))
+
+
 def design_of_text(text: Column, source: str) -> Column:
     """C4: the first family whose words a text has; plans and laboratory words count in their context only."""
     out = None
@@ -52,7 +57,7 @@ def design_of_text(text: Column, source: str) -> Column:
 
 
 def with_design(articles: DataFrame, title: str = "title", abstract: str = "abstract", types: str = "publication_types", sections: str = "abstract_sections", keywords: str = "keywords") -> DataFrame:
-    """Adds design_family and design_conflict. A protocol type decides; else the strongest signals must agree."""
+    """Adds design_family, design_subtype, design_conflict and design_spans. A protocol type decides; else the strongest signals must agree."""
     signal = lambda family, source, text: F.struct(F.lit(rules.DESIGN_STRENGTH[source]).alias("strength"), family.alias("family"), F.lit(source).alias("source"), text.alias("text"))
     every = F.concat(
         F.transform(types, lambda t: signal(design_of_type(t), "publication_type", t)),
@@ -70,7 +75,10 @@ def with_design(articles: DataFrame, title: str = "title", abstract: str = "abst
     first = F.get(F.filter(F.lit(list(rules.DESIGN_ORDER)), lambda f: F.array_contains("__best", f)), 0)
     none = F.size("__signals") == 0
     family = F.when(none, "unknown").when(protocol, "protocol").when(agree, first).otherwise("unknown")
-    return df.select("*", family.alias("design_family"), (~none & ~protocol & ~agree).alias("design_conflict"), F.transform("__signals", supporting_span).alias("design_spans")).drop("__signals", "__best")
+    df = df.withColumn("__family", family)
+    told = F.get(F.filter("__signals", lambda s: (s["strength"] == most) & (s["family"] == F.col("__family"))), 0)
+    subtype = F.when((told["source"] == "publication_type") & (F.col("__family") != "protocol"), subtype_of_type(told["text"])).otherwise(F.col("__family"))
+    return df.select("*", F.col("__family").alias("design_family"), subtype.alias("design_subtype"), (~none & ~protocol & ~agree).alias("design_conflict"), F.transform("__signals", supporting_span).alias("design_spans")).drop("__signals", "__best", "__family")
 
 
 def supporting_span(s: Column) -> Column:
@@ -207,6 +215,7 @@ def with_study(articles: DataFrame) -> DataFrame:
     review = (F.col("design_family") == "unknown") | F.col("design_conflict") | ~has | (x["sample_size_status"] == "ambiguous")
     out = F.struct(
         F.col("design_family").alias("design_family"),
+        F.col("design_subtype").alias("design_subtype"),
         F.col("__scope").alias("population_scope"),
         F.col("__status").alias("result_status"),
         F.col("__tier").alias("evidence_tier"),

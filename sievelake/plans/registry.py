@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sievelake.functions import text as X
 from sievelake.operators import diff, metrics, ranking, records, terms
-from sievelake.plans import literature, matching, nested  # noqa: F401  they register their queries
+from sievelake.plans import clinical, literature, matching, nested  # noqa: F401  they register their queries
 from sievelake.plans.catalog import QUERIES, SQL, Query, query, t
 
 evidence_triage = literature.evidence_triage
@@ -397,13 +397,6 @@ def concept_group_merge(spark, d):
 # ---- scores, rules, flags
 
 
-@query("select c_custkey, concat_ws(',', case when c_acctbal < 0 then 'abstract_missing' end, case when c_nationkey < 5 then 'single_center' end, case when c_mktsegment = 'BUILDING' then 'nonrandomized' end) as codes from customer")
-def ordered_unique_codes(spark, d):
-    """C14, C15, U7."""
-    codes = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, "abstract_missing"), F.when(F.col("c_nationkey") < 5, "single_center"), F.when(F.col("c_mktsegment") == "BUILDING", "nonrandomized")))
-    return t(spark, d, "customer").select("c_custkey", F.array_join(F.array_distinct(codes), ",").alias("codes"))
-
-
 @query("select p_partkey, case when regexp_matches(p_name, '(?i)\\bred\\b') then 'true' when regexp_matches(p_name, '(?i)\\b(blue|green)\\b') then 'false' else 'unknown' end as flag from part")
 def tri_state_flags(spark, d):
     """F16, C16."""
