@@ -14,25 +14,15 @@ TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d[\d,]*(?:\.\d+)?|[^\s\w]|_")
 CLAUSE_END = re.compile("[.;]")
 
 
-def forms(entry: str) -> list[str]:
-    """An entry of a word list: ``patient(s)`` is the word with and without its ending, ``randomi(s|z)ed`` both spellings."""
-    m = re.search(r"\(([^)]*)\)", entry)
-    if not m:
-        return [entry]
-    inner = m[1].split("|") if "|" in m[1] else ["", m[1]]
-    return [x for i in inner for x in forms(entry[: m.start()] + i + entry[m.end() :])]
-
-
 class Lexicon:
     """Word lists by class, looked up by the first word of a phrase."""
 
-    def __init__(self, classes: dict[str, str]):
+    def __init__(self, classes: dict[str, tuple[str, ...]]):
         self.by_first: dict[str, list[tuple[tuple[str, ...], str]]] = {}
         for kind, listed in classes.items():
-            for entry in listed.split(","):
-                for phrase in forms(entry.strip().lower()):
-                    words = tuple(TOKEN.findall(phrase))
-                    self.by_first.setdefault(words[0], []).append((words, kind))
+            for phrase in listed:
+                words = tuple(TOKEN.findall(phrase.lower()))
+                self.by_first.setdefault(words[0], []).append((words, kind))
 
 
 @dataclass(frozen=True)
