@@ -34,14 +34,16 @@ from sievelake.llm.common import KEY, Workspace, first_id, fresh, keyed, let, no
 GRAM, WINDOW, UNIT_WORDS = 3, 3, 12
 
 
-def units_of(text: Column, unit_words: int) -> Column:
-    """The units of a text: {h, key, piece}: hash, what orders it, number of its piece."""
+def units_of(cut_text: Column, unit_words: int) -> Column:
+    """The units of a text's normal pieces: {h, key, piece}: hash, what orders it, number of its piece."""
     unit = lambda h, key, j, i: F.struct(h.alias("h"), key.alias("key"), i.alias("piece"))
     one = lambda t, i: F.array(unit(F.xxhash64(t), F.md5(t.cast("binary")), 0, i))
     more = lambda t, n, i: let(F.struct(F.xxhash64(t).alias("h"), F.md5(t.cast("binary")).alias("m")), lambda x: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / unit_words).cast("int")), lambda j: unit(F.when(j == 0, x["h"]).otherwise(F.xxhash64(x["h"], j)), F.concat(x["m"], F.when(j == 0, "").otherwise(j.cast("string"))), j, i)))
-    cut = lambda t, i: F.when(t == "", none).when(word_count(t) <= unit_words, one(t, i)).otherwise(more(t, word_count(t), i))
+    # so many words need at least as many letters and blanks between them, so most pieces need no count
+    short = lambda t: F.char_length(t) <= 2 * unit_words
+    cut = lambda t, i: F.when(t == "", none).when(short(t), one(t, i)).otherwise(let(word_count(t), lambda n: F.when(n <= unit_words, one(t, i)).otherwise(more(t, n, i))))
     none = F.expr("cast(array() as array<struct<h:bigint,key:string,piece:int>>)")
-    return F.flatten(F.transform(normal_pieces(text), cut))
+    return F.flatten(F.transform(cut_text, cut))
 
 
 def selected(units: Column, gram: int, window: int) -> Column:
@@ -64,10 +66,16 @@ def selected(units: Column, gram: int, window: int) -> Column:
 
 def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 and the sorted numbers of the pieces to delete, for documents that have any."""
+    return _repeated(docs, gram, window, unit_words, id_col, text_col)[1]
+
+
+def _repeated(docs: DataFrame, gram: int, window: int, unit_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, n: the number of pieces) of all documents, and what ``repeated_lines`` returns."""
     ws = Workspace(docs.sparkSession, "winnow")
     # no filter on the units: it would be pushed down and cut every text a second time
-    docs = keyed(docs, id_col, text_col).select(*KEY, first_id().alias("doc_id"), units_of(F.col("text"), unit_words).alias("units"))
-    told = docs.select(*KEY, "doc_id", F.transform("units", lambda u: u["h"]).alias("hs"), F.transform("units", lambda u: u["piece"]).alias("ps"), selected(F.col("units"), gram, window).alias("prints"))
+    docs = keyed(docs, id_col, text_col).select(*KEY, first_id().alias("doc_id"), let(normal_pieces(F.col("text")), lambda p: F.struct(F.size(p).alias("n"), units_of(p, unit_words).alias("units"))).alias("u"))
+    docs = docs.select(*KEY, "doc_id", F.col("u.n").alias("n"), F.col("u.units").alias("units"))
+    told = docs.select(*KEY, "doc_id", "n", F.transform("units", lambda u: u["h"]).alias("hs"), F.transform("units", lambda u: u["piece"]).alias("ps"), selected(F.col("units"), gram, window).alias("prints"))
     told = ws.keep(told, "units")
     several = ws.keep(told.select(F.explode("prints.print").alias("print")).groupBy("print").count().filter("count > 1").select("print"), "several")
     shared = ws.keep(told.select(*KEY, "doc_id", F.inline("prints")).join(several, "print"), "shared")
@@ -90,18 +98,21 @@ def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, u
     hits = F.array_distinct(F.flatten(F.transform("offs", lambda off: let(equal(off), starts))))
     gone = both.select(*KEY, "ps", hits.alias("hits")).filter(F.size("hits") > 0)
     gone = gone.select(*KEY, F.array_distinct(F.flatten(F.transform("hits", lambda i: F.slice("ps", i + 1, gram)))).alias("gone"))
-    return ws.keep(gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    gone = ws.keep(gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    return told.select(*KEY, "n"), gone
 
 
 def winnow_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Per document: doc_id, n_units (pieces), removed (numbers of the deleted pieces, from 0) and kept (the text without them)."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings)
-    out = keyed(docs, id_col, text_col).join(gone, KEY, "left").withColumn("parts", pieces(F.col("text")))
+    counts, gone = _repeated(docs, settings.get("gram", GRAM), settings.get("window", WINDOW), settings.get("unit_words", UNIT_WORDS), id_col, text_col)
+    told = counts.distinct().join(gone, KEY, "left")  # one row for rows that repeat both id and text
+    out = keyed(docs, id_col, text_col).join(told, KEY)
+    # only texts that lose something are cut again
     return out.select(
         "doc_id",
-        F.when(F.col("text") == "", 0).otherwise(F.size("parts")).alias("n_units"),
+        F.when(F.col("text") == "", 0).otherwise(F.col("n")).alias("n_units"),
         F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("parts"), F.col("gone"))).alias("kept"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(pieces(F.col("text")), F.col("gone"))).alias("kept"),
     )
 
 
