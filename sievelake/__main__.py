@@ -9,7 +9,7 @@ import json
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievelake", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    t = sub.add_parser("triage", help="articles (JSON lines) to decisions, with a report")
+    t = sub.add_parser("triage", help="articles (JSON lines) to decisions, saved as JSON lines; the search's counters are printed")
     t.add_argument("--articles", required=True)
     t.add_argument("--topic", required=True)
     t.add_argument("--intervention", default="")
@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--fetched-at", required=True)
     t.add_argument("--limit", type=int, default=10)
     t.add_argument("--save", required=True)
-    c = sub.add_parser("compare", help="what changed between two snapshot files")
+    c = sub.add_parser("compare", help="what changed between two snapshot files: ids and scope, then every change")
     c.add_argument("baseline")
     c.add_argument("target")
     c.add_argument("--save", help="a folder for the changes as JSON lines; else they are printed in order")
@@ -36,11 +36,13 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "triage":
         from sievelake.operators.relevance import parse_target
-        from sievelake.plans.triage import triage
+        from sievelake.plans.triage import Counters, triage
         from sievelake.sources.articles import ARTICLE
 
         rows = spark.read.schema(f"{ARTICLE}, retrieval_pos long").json(a.articles).withColumn("topic_id", F.lit(a.topic))
-        triage(rows, parse_target(a.topic, a.intervention, a.condition), a.fetched_at, a.topic, limit=a.limit).write.mode("errorifexists").json(a.save)
+        counters = Counters(a.topic, report_limit=a.limit)
+        triage(rows, parse_target(a.topic, a.intervention, a.condition), a.fetched_at, a.topic, limit=a.limit, counters=counters).write.mode("errorifexists").json(a.save)
+        print(json.dumps(counters.summary()))
     elif a.command == "compare":
         from sievelake.operators.compare import change_order, comparison_of
         from sievelake.operators.diff import ComparisonError

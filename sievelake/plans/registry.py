@@ -28,8 +28,9 @@ def dedup_first_wins(spark, d):
 
 @query("select min(doc_id) as first_id, count(*) as n from documents group by text having count(*) > 1")
 def duplicate_key_list(spark, d):
-    """Texts of more than one document."""
-    return t(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("digest")
+    """Texts of more than one document, with their first."""
+    docs = t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return records.repeated_keys(docs, ["digest"]).join(records.first_wins(docs, ["digest"], F.col("doc_id")), "digest").select(F.col("doc_id").alias("first_id"), "n")
 
 
 @query("select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by all")
@@ -521,11 +522,15 @@ def first_sentence_match(spark, d):
     return t(spark, d, "documents").filter(F.lower("text").contains(" the ")).select("doc_id", found.alias("sentence"))
 
 
-@query("select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]{1,6}'), lambda x: cast(x as bigint))), -1) as most from documents")
+@query(
+    """with n as (select doc_id, regexp_extract_all(text, '[0-9]+') as runs from documents), z as (select *, list_transform(runs, lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) as plain from n)
+select doc_id, len(runs) as n_numbers, list_max(list_transform(plain, lambda x: struct_pack(n := length(x), x := x))).x as most from z"""
+)
 def regex_number_extract(spark, d):
-    """C8, F18."""
-    every = F.regexp_extract_all("text", F.lit("[0-9]{1,6}"), F.lit(0))
-    return t(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("n_numbers"), F.coalesce(F.array_max(F.transform(every, lambda x: X.thousands(x))), F.lit(-1)).alias("most"))
+    """Runs of digits, and the greatest as it is written without leading zeros, whatever its length."""
+    runs = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
+    plain = F.transform(F.transform(runs, lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
+    return t(spark, d, "documents").select("doc_id", F.size(runs).cast("long").alias("n_numbers"), F.array_max(plain)["x"].alias("most"))
 
 
 @query("select event_id, case when json_extract(props, '$.k') is null then 'absent' when json_extract(props, '$.k') = 'null' then 'null' else 'present' end as k, case when json_extract(props, '$.missing') is null then 'absent' else 'present' end as missing, cast(json_extract(props, '$.k') as bigint) as value from events")
