@@ -135,6 +135,48 @@ def normalized_applications(spark, d):
     return found.select("application_number", "sponsor_name", F.size("products").alias("products"), F.array_join("review_reasons", ",").alias("review_reasons"), F.array_join("violations", ",").alias("violations"), "record_digest")
 
 
+# ---- concepts
+
+_MENTIONS = """a as (select p_partkey as pmid, p_name, lower(p_type) as kind, p_type, 'D' || substr(p_brand, 7) as ui, regexp_extract(p_name, '[a-z]+$') as word from part),
+l as (select ui, arg_min(p_type, pmid) as label from a group by 1),
+v as (select word, min('R' || pmid) as code from (select word, pmid from a join part on p_partkey = pmid where p_size < 3) group by 1),
+w as (select distinct unnest(string_split(p_name, ' ')) as term, pmid from a),
+m as (select 'mesh' as vocabulary, ui as concept_id, label as original_term, 1.0::double as confidence, pmid from a join l using (ui)
+  union all select case when code is null then 'unresolved' else 'rxnorm' end, coalesce(code, 'unresolved:' || substr(sha256(term), 1, 16)), term, case when code is null then 0.0 else 1.0 end, pmid from w left join v on v.word = term)"""
+
+
+def _mentions(spark, d):
+    from sievelake.operators import concepts
+
+    p = t(spark, d, "part")
+    heading = F.struct(F.col("p_type").alias("text"), F.concat(F.lit("D"), F.substring("p_brand", 7, 9)).alias("ui"), F.lit(False).alias("major_topic"), F.lit("").alias("supporting_pmid"))
+    last = F.regexp_extract("p_name", "[a-z]+$", 0)
+    articles = p.select(F.col("p_partkey").alias("pmid"), F.col("p_name").alias("title"), F.lower("p_type").alias("abstract"), F.array("p_type").alias("mesh_headings"), F.array(last).alias("keywords"), F.array(heading).alias("mesh_descriptors"))
+    vocabulary = p.filter("p_size < 3").groupBy(last.alias("label")).agg(F.min(F.concat(F.lit("R"), F.col("p_partkey").cast("string"))).alias("code"))
+    terms = p.select(F.explode(F.split("p_name", " ")).alias("term"), F.col("p_partkey").alias("pmid"))
+    return concepts.heading_mentions(articles).union(concepts.term_mentions(terms, vocabulary)), articles
+
+
+@query(f"with {_MENTIONS} select vocabulary, concept_id, original_term, max(confidence) as confidence, count(distinct pmid) as articles from m group by 1, 2, 3")
+def concept_rows(spark, d):
+    """Concepts of headings and terms, counted over their mentions."""
+    from sievelake.operators import concepts
+
+    return concepts.merge(_mentions(spark, d)[0]).drop("label")
+
+
+@query(
+    f"""with {_MENTIONS}, j as (select m.*, lower(original_term) as t, p_name, kind, word from m join a using (pmid)),
+e as (select *, unnest(list_filter([case when contains(p_name, t) then 'title' end, case when contains(kind, t) then 'abstract' end, case when kind = t then 'mesh_headings' end, case when word = t then 'keywords' end], lambda x: x is not null)) as source_field from j)
+select pmid, vocabulary, concept_id, source_field, max(original_term) as original_term from e group by 1, 2, 3, 4"""
+)
+def concept_edges(spark, d):
+    """Which article mentions which concept in which field."""
+    from sievelake.operators import concepts
+
+    return concepts.links(*_mentions(spark, d)).select("pmid", "vocabulary", "concept_id", "source_field", "original_term")
+
+
 # ---- sinks
 
 

@@ -29,9 +29,9 @@ def test_tables_escape():
 def test_concepts(spark):
     articles = spark.createDataFrame([("1", "On Beta Blockers", "", ["Heart"], ["beta  blockers"], [("Heart", "D1", True, "1"), ("None", "", False, "1")]), ("2", "x", "heart", ["Heart"], [], [("Heart!", "D1", False, "2")])], "pmid string, title string, abstract string, mesh_headings array<string>, keywords array<string>, mesh_descriptors array<struct<text:string,ui:string,major_topic:boolean,supporting_pmid:string>>")
     vocabulary = spark.createDataFrame([("Beta blockers", "7")], "label string, code string")
-    terms = spark.createDataFrame([("beta  blockers", ["1"]), ("zzz", ["2"])], "term string, pmids array<string>")
-    every = concepts.merge(concepts.heading_concepts(articles).union(concepts.term_concepts(terms, vocabulary)))
-    rows = {r.original_term: r for r in every.collect()}
-    assert rows["Heart"].pmids == ["1", "2"] and rows["beta  blockers"].confidence == 0.9 and rows["zzz"].concept_id.startswith("unresolved:")
+    terms = spark.createDataFrame([("beta  blockers", "1"), ("beta  blockers", "1"), ("zzz", "2")], "term string, pmid string")
+    every = concepts.heading_mentions(articles).union(concepts.term_mentions(terms, vocabulary))
+    rows = {r.original_term: r for r in concepts.merge(every).orderBy(*concepts.concept_order()).collect()}
+    assert rows["Heart"].articles == 2 and rows["beta  blockers"].confidence == 0.9 and rows["beta  blockers"].articles == 1 and rows["zzz"].concept_id.startswith("unresolved:")
     edges = {(r.pmid, r.concept_id, r.source_field) for r in concepts.links(every, articles).collect()}
     assert {("1", "7", "title"), ("1", "7", "keywords"), ("1", "D1", "mesh_headings"), ("2", "D1", "abstract")} <= edges
