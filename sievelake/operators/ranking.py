@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sievelake import rules
 from sievelake.functions.text import lookup
+from sievelake.operators.trees import fresh
 
 
 def total_rank(df: DataFrame, prefix: Sequence[Column], rest: Sequence[Column], name: str = "rank", group: Sequence[str] = ()) -> DataFrame:
@@ -84,6 +85,19 @@ def place_with_cap(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn("display", F.when(over, "collapsed").otherwise("full")).withColumn("section", F.when(over, "additional_selected_evidence").otherwise(F.col("section"))).drop("__running")
 
 
+def effective_placement(df: DataFrame, group: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
+    """The report's sections with the cap; a group of which no row was judged for relevance (older data) keeps the section that its assessment gave, all
+    rows in full and none counted against the cap.
+
+    Whether a group was judged is one row a group, found before the rows are placed.
+    """
+    mark = fresh(df, "judged")
+    kind = df.groupBy(*group).agg(F.max(F.col("relevance_class").isNotNull()).alias(mark))
+    df = df.join(kind, list(group))
+    placed = place_with_cap(df.filter(mark), group, order, report_route(), "key_evidence", cap)
+    return placed.unionByName(df.filter(~F.col(mark)).withColumn("display", F.lit("full"))).drop(mark)
+
+
 def report_route(row: str = "") -> Column:
     """The report's section of an article, by the first rule that holds."""
     c = lambda n: F.col(f"{row}{n}")

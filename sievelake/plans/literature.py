@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievelake.functions import text as X
-from sievelake.operators import diff, metrics, ranking, records, snapshots, vocabulary
+from sievelake.operators import metrics, ranking, records, snapshots, vocabulary
 from sievelake.operators.trees import leaf_table
 from sievelake.plans.catalog import query, t
 

@@ -179,3 +179,20 @@ def test_study(spark):
     assert a.limitation_codes == ["comparator_not_reported", "follow_up_not_reported", "nonrandomized", "retrospective_design", "single_center"] and a.confidence == "high"
     assert b.limitation_codes[0] == "abstract_missing" and b.evidence_tier == "not_assessable" and b.confidence == "low" and b.needs_review
     assert c.evidence_tier == "preclinical"
+
+
+def test_older_groups_keep_their_sections_and_rank_components_sort_as_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from sievelake.operators import ranking
+
+    schema = """topic_id string, pmid string, relevance_class string, query_intents array<string>, article_intents array<string>, content_role string, relevance_score int, evidence_tier string, design_family string,
+    limitation_codes array<string>, sample_size int, sample_size_status string, population_scope string, comparator_status string, section string, overall_score int, publication_date date"""
+    row = lambda topic, pmid, kind, section="important_updates", n=100: (topic, pmid, kind, ["safety"], ["safety"] if int(pmid) % 2 else [], "clinical_evidence", int(pmid), "higher_strength", "randomized_controlled_trial", [], n, "reported", "human", "reported", section, 50, None)
+    rows = spark.createDataFrame([row("new", str(i), "direct") for i in range(4)] + [row("new", "4", None)] + [row("old", str(i), None, "key_evidence") for i in range(4)], schema)
+    got = {(r.topic_id, r.pmid): (r.section, r.display) for r in ranking.effective_placement(rows, ["topic_id"], [F.col("pmid")], 2).collect()}
+    assert [got["new", str(i)] for i in range(5)] == [("key_evidence", "full")] * 2 + [("additional_selected_evidence", "collapsed")] * 2 + [("audit_only", "full")]
+    assert all(got["old", str(i)] == ("key_evidence", "full") for i in range(4))
+    ranked = ranking.evidence_rank(rows.filter("relevance_class is not null"), ["topic_id"]).withColumn("why", ranking.ranking_audit())
+    by_struct = [r.pmid for r in ranked.orderBy("topic_id", "why").collect()]
+    assert by_struct == [r.pmid for r in ranked.orderBy("topic_id", "rank").collect()] and ranked.select("why.*").columns == list(ranking.COMPONENTS)
