@@ -46,3 +46,9 @@ class Stage:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table, so that neither its plan nor its work is repeated."""
     return Stage(df.sparkSession).keep(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over tasks, for work that costs far more than its rows' bytes: scans are cut by bytes, so small rows make few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))

@@ -18,7 +18,7 @@ from sievelake.operators.integrity import with_integrity
 from sievelake.operators.records import first_wins, repeated_keys
 from sievelake.operators.relevance import Target, with_relevance
 from sievelake.operators.study import with_study
-from sievelake.plans.stage import Stage
+from sievelake.plans.stage import Stage, spread
 
 KEY = ["topic_id"]
 DECISIONS = ("included_direct", "included_class_level", "included_contextual", "excluded_irrelevant", "excluded_integrity", "excluded_report_limit")
@@ -85,7 +85,7 @@ def triage(articles: DataFrame, target: Target, fetched_at: str, topic: str, *,
     stage, counters = Stage(articles.sparkSession, "triage"), counters or Counters()
     every = candidates(stage, articles, target, counters)
     ok = (F.col("relevance.relevance_class") != "irrelevant") & F.col("integrity.report_eligible")
-    extracted = stage.keep(with_extraction(every.filter(ok)), "extracted")
+    extracted = stage.keep(with_extraction(spread(every.filter(ok))), "extracted")
     studied = stage.keep(with_study(extracted), "studied")
     stage.drop("extracted")
     judged = with_evidence(studied, fetched_at, topic).select(
