@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievelake.operators.regulatory import strict_day
-from sievelake.operators.trees import canonical, quoted
+from sievelake.operators.trees import canonical, is_list, quoted
 
 STATES = ("present", "null", "absent")
 ENTRY = ("path", "raw_value", "state")
@@ -56,7 +56,7 @@ def member(value: Column, name: str) -> Column:
 
 def exploded(records: DataFrame, keys: Sequence[str], value: Column, *more: Column) -> DataFrame:
     """``keys``, ``more``, pos and value of each element of a list."""
-    rows = records.select(*keys, *more, F.when(canonical(value).startswith("["), value).alias("list"))
+    rows = records.select(*keys, *more, F.when(is_list(value), value).alias("list"))
     return rows.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("list").outer())).drop("list", "key")
 
 
@@ -82,22 +82,42 @@ def has_members(value: Column, names: Sequence[str]) -> Column:
     return F.coalesce(F.array_sort(found) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
 
 
-def field_faults(c: Container, name: str) -> Column:
-    """The faults of one field of a child, as an array of codes."""
-    child, original, place = F.col("child"), F.col("original"), F.col("place")
-    entry = member(child, f"source_fields.{name}")
-    state, raw = text(member(entry, "state")), F.coalesce(canonical(member(entry, "raw_value")), F.lit("null"))
-    value, found = F.coalesce(canonical(member(child, name)), F.lit("null")), canonical(member(original, name))
+def with_reading(both: DataFrame, c: Container) -> DataFrame:
+    """Pairs with what the tests of every field look at, each read once; children and raw children themselves go, so that they aren't shuffled again."""
+    child, original = F.col("child"), F.col("original")
+    kept = [x for x in both.columns if x not in ("child", "original")]
+    first = [F.col("original").isNotNull().alias("has_raw"), (~has_members(child, (*c.fields, "source_fields"))).alias("odd_child"), (~has_members(member(child, "source_fields"), c.fields)).alias("odd_sources")]
+    for i, name in enumerate(c.fields):
+        own, theirs = member(child, name), canonical(member(original, name))
+        first += [member(child, f"source_fields.{name}").alias(f"entry_{i}"), canonical(own).alias(f"value_{i}"), text(own).alias(f"word_{i}"), theirs.alias(f"found_{i}")]
+    rows = both.select(*kept, *first)
+    second = []
+    for i in range(len(c.fields)):
+        entry = F.col(f"entry_{i}")
+        raw = member(entry, "raw_value")
+        second += [F.col(f"{x}_{i}") for x in ("value", "word", "found")]
+        second += [
+            (~has_members(entry, ENTRY)).alias(f"odd_{i}"), text(member(entry, "state")).alias(f"state_{i}"), text(member(entry, "path")).alias(f"path_{i}"),
+            canonical(raw).alias(f"raw_{i}"), F.try_variant_get(raw, "$", "string").alias(f"text_{i}"),
+        ]
+    return rows.select(*kept, "has_raw", "odd_child", "odd_sources", *second)
+
+
+def field_faults(c: Container, i: int) -> Column:
+    """The faults of one field of a child, as an array of codes; columns are those of ``with_reading``."""
+    name, place = c.fields[i], F.col("place")
+    state, as_text, found = F.col(f"state_{i}"), F.col(f"text_{i}"), F.col(f"found_{i}")
+    raw, value = (F.coalesce(f"{x}_{i}", F.lit("null")) for x in ("raw", "value"))
     path = F.concat(place, F.lit(f".{c.name}["), F.col("index").cast("string"), F.lit(f"].{name}"))
     known = F.coalesce(state.isin(*STATES), F.lit(False))
     tests = [
-        (~has_members(entry, ENTRY), "bad_shape"),
-        (F.col("index").isNotNull() & ~path.eqNullSafe(text(member(entry, "path"))), "bad_path"),
+        (F.col(f"odd_{i}"), "bad_shape"),
+        (F.col("index").isNotNull() & ~path.eqNullSafe(F.col(f"path_{i}")), "bad_path"),
         (~known | ((state == "present") == (raw == "null")), "bad_state"),
-        (original.isNotNull() & ~(state.eqNullSafe(F.when(found.isNull(), "absent").when(found == "null", "null").otherwise("present")) & raw.eqNullSafe(F.coalesce(found, F.lit("null")))), "raw_differs"),
+        (F.col("has_raw") & ~(state.eqNullSafe(F.when(found.isNull(), "absent").when(found == "null", "null").otherwise("present")) & raw.eqNullSafe(F.coalesce(found, F.lit("null")))), "raw_differs"),
     ]
     if name not in c.lists:
-        is_text, as_text = raw.startswith('"'), F.try_variant_get(member(entry, "raw_value"), "$", "string")
+        is_text = raw.startswith('"')
         if name in c.required:
             right = (state == "present") & is_text & (F.trim(as_text) != "") & (value == raw)
         else:
@@ -105,30 +125,30 @@ def field_faults(c: Container, name: str) -> Column:
             right = F.when(state == "present", is_text & (value == F.coalesce(mapped, F.lit("null"))) & (mapped.isNotNull() | (raw == '""'))).otherwise(value == "null")
         tests.append((~F.coalesce(right, F.lit(False)), "value_differs"))
     if name in c.words:
-        tests.append((~F.coalesce(text(member(child, name)).isin(*c.words[name]), F.lit(False)) & (value != "null"), "bad_value"))
+        tests.append((~F.coalesce(F.col(f"word_{i}").isin(*c.words[name]), F.lit(False)) & (value != "null"), "bad_value"))
     return F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in tests]))
 
 
 def reconcile(records: DataFrame, keys: Sequence[str], c: Container, *, doc: str = "doc", raw: str = "raw", place: str = "place") -> DataFrame:
     """``keys``, at, index, field (``''``: the child as a whole) and code of everything that is wrong with the children of one list."""
-    both = paired(records, keys, c, doc=doc, raw=raw, place=place)
-    child, there = F.col("child"), F.col("at").isNotNull()
+    both = with_reading(paired(records, keys, c, doc=doc, raw=raw, place=place), c)
+    there, key = F.col("at").isNotNull(), F.col(f"word_{c.fields.index(c.key)}")
     twice = lambda value: there & value.isNotNull() & (F.sum(there.cast("int")).over(Window.partitionBy(*keys, value)) > 1)
     as_whole = [
-        (there & ~has_members(child, (*c.fields, "source_fields")), "bad_shape"),
-        (there & ~has_members(member(child, "source_fields"), c.fields), "bad_shape"),
+        (there & F.col("odd_child"), "bad_shape"),
+        (there & F.col("odd_sources"), "bad_shape"),
         (there & F.col("index").isNull(), "bad_path"),
-        (there & F.col("index").isNotNull() & F.col("original").isNull(), "no_raw"),
+        (there & F.col("index").isNotNull() & ~F.col("has_raw"), "no_raw"),
         (~there, "no_child"),
         (twice(F.col("index")), "repeated_index"),
-        (twice(text(member(child, c.key))), "repeated_key"),
+        (twice(key), "repeated_key"),
     ]
     one = lambda name, codes: F.transform(codes, lambda code: F.struct(F.lit(name).alias("field"), code.alias("code")))
     whole = one("", F.array_distinct(F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in as_whole]))))
-    each = reduce(F.concat, [F.when(there, one(f, field_faults(c, f))).otherwise(F.expr("cast(array() as array<struct<field:string,code:string>>)")) for f in c.fields])
+    each = reduce(F.concat, [F.when(there, one(f, field_faults(c, i))).otherwise(F.expr("cast(array() as array<struct<field:string,code:string>>)")) for i, f in enumerate(c.fields)])
     rows = both.select(*keys, "at", "index", F.concat(whole, each).alias("found")).select(*keys, "at", "index", F.inline("found"))
-    listed = canonical(member(F.col(doc), c.name))
-    broken = records.filter(listed.isNotNull() & (listed != "null") & ~listed.startswith("["))
+    listed = member(F.col(doc), c.name)
+    broken = records.filter(~is_list(listed) & (canonical(listed) != "null"))
     return rows.union(broken.select(*keys, F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(c.name), F.lit("bad_shape")))
 
 

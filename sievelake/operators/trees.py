@@ -31,6 +31,11 @@ def canonical(value: Column) -> Column:
     return F.to_json(value)
 
 
+def is_list(value: Column) -> Column:
+    """Whether a variant is a list, without writing out what it holds."""
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
+
+
 def quoted(text: Column) -> Column:
     """A string as JSON."""
     inside = F.to_json(F.array(text))
@@ -52,7 +57,7 @@ def shape_of(value: Column) -> tuple[Column, Column]:
     items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(canonical(x), F.lit("null")))
     objects, scalars = F.forall(items, lambda x: x.startswith("{")), F.forall(items, lambda x: ~x.startswith("{") & ~x.startswith("["))
     listed = F.when(objects & (F.size(items) > 0), F.to_json(F.array_sort(items))).when(scalars, F.concat(F.lit("["), F.array_join(F.array_sort(items), ","), F.lit("]")))
-    return F.when(sign == "[", listed).when(sign != "{", text), F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.when(sign == "[", listed).when(sign != "{", text), F.when(sign == "{", F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
 
 
 def leaf_table(docs: DataFrame, keys: Sequence[str], value: str, *, skip: Sequence[str] = AUDIT_ONLY, path: str = "path", leaf: str = "value", stage: Stage | None = None) -> DataFrame:
