@@ -13,6 +13,7 @@ have no changes. Numbers are compared by value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,29 @@ def text_of(value: Column) -> Column:
     return F.coalesce(canonical(value), F.lit(NULL))
 
 
+#: Members whose text is compared, and a name for each.
+TOLD = ["title", RANK, *[f"{block}.{f}" for block, _, names in FIELDS.values() for f in names], *[f"{block}.needs_review" for block in REVIEWED.values()]]
+
+
+@dataclass(frozen=True)
+class Side:
+    """An article's document, and what is read of it again and again: states of blocks and texts of members, as one struct."""
+
+    doc: Column
+    read: Column
+
+    @staticmethod
+    def reading(doc: Column) -> Column:
+        states = [state(doc, block).alias("state " + block.replace(".", " ")) for block in BLOCKS]
+        return F.struct(*states, *[text_of(part(doc, path)).alias(path.replace(".", " ")) for path in TOLD])
+
+    def state(self, block: str) -> Column:
+        return self.read["state " + block.replace(".", " ")]
+
+    def text(self, path: str) -> Column:
+        return self.read[path.replace(".", " ")]
+
+
 def state(doc: Column, block: str) -> Column:
     value = canonical(part(doc, block))
     return F.when(value.isNull(), "absent").when(value == NULL, "null").when(F.lit(block == RANK) | value.startswith("{"), "present").otherwise("invalid")
@@ -90,45 +114,45 @@ def membership_changes(b: Column, t: Column) -> list[Column]:
     return [F.when(b.isNull(), added), F.when(t.isNull(), removed)]
 
 
-def block_changes(b: Column, t: Column) -> list[Column]:
+def block_changes(b: Side, t: Side) -> list[Column]:
     """Blocks whose state changed; one below another whose state changed is left out."""
     out = []
     for block, parent in BLOCKS.items():
-        was, now = state(b, block), state(t, block)
+        was, now = b.state(block), t.state(block)
         differs = was != now
         if parent:
-            differs = differs & (state(b, parent) == state(t, parent))
+            differs = differs & (b.state(parent) == t.state(parent))
         kind = F.when((was != "present") & (now == "present"), "block_became_comparable").when((was == "present") & (now != "present"), "block_became_not_comparable").otherwise("block_state_changed")
         detail = F.concat(F.lit('{"baseline_state":"'), was, F.lit(f'","block":"{block}","target_state":"'), now, F.lit('"}'))
-        out.append(F.when(differs, change("comparability", kind, path=block, had=was != "absent", was=text_of(part(b, block)), has=now != "absent", now=text_of(part(t, block)), detail=detail)))
+        out.append(F.when(differs, change("comparability", kind, path=block, had=was != "absent", was=text_of(part(b.doc, block)), has=now != "absent", now=text_of(part(t.doc, block)), detail=detail)))
     return out
 
 
-def field_changes(b: Column, t: Column) -> list[Column]:
+def field_changes(b: Side, t: Side) -> list[Column]:
     """One record for each group of fields of which some differ."""
     out = []
     for group, (block, kind, fields) in FIELDS.items():
-        old, new = ({f: text_of(part(doc, f"{block}.{f}")) for f in fields} for doc in (b, t))
+        old, new = ({f: side.text(f"{block}.{f}") for f in fields} for side in (b, t))
         differs = {f: old[f] != new[f] for f in fields}
         some = F.exists(F.array(*differs.values()), lambda x: x)
         if group == "placement":
             kind = F.when((new["section"] == '"key_evidence"') & (old["section"] != '"key_evidence"'), "became_key_evidence").otherwise(kind)
         found = change(group.split("_")[0], kind, was=members(old, differs), now=members(new, differs), detail=F.concat(F.lit('{"differing":'), names_json(differs), F.lit("}")))
-        out.append(F.when((state(b, block) == "present") & (state(t, block) == "present") & some, found))
+        out.append(F.when((b.state(block) == "present") & (t.state(block) == "present") & some, found))
     return out
 
 
-def review_change(b: Column, t: Column) -> Column:
+def review_change(b: Side, t: Side) -> Column:
     """Whether a review is needed, over all sources, or what any source says of it."""
-    old, new = ({name: text_of(part(doc, f"{block}.needs_review")) for name, block in REVIEWED.items()} for doc in (b, t))
+    old, new = ({name: side.text(f"{block}.needs_review") for name, block in REVIEWED.items()} for side in (b, t))
     any_of = lambda values: F.exists(F.array(*values.values()), lambda v: v == "true").cast("string")
     some = F.exists(F.array(*[old[n] != new[n] for n in REVIEWED]), lambda x: x)
     each = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":['), old[n], F.lit(","), new[n], F.lit("]")) for n in REVIEWED])
     return F.when(some, change("review", "review_required_changed", was=any_of(old), now=any_of(new), detail=F.concat(F.lit('{"sources":{'), each, F.lit("}}"))))
 
 
-def rank_change(b: Column, t: Column, moved: Column) -> Column:
-    old, new = text_of(part(b, RANK)), text_of(part(t, RANK))
+def rank_change(b: Side, t: Side, moved: Column) -> Column:
+    old, new = b.text(RANK), t.text(RANK)
     return F.when((old != new) & (old != NULL) & (new != NULL), change("ranking", "rank_changed", was=old, now=new, detail=F.concat(F.lit('{"candidate_set_changed":'), moved.cast("string"), F.lit("}"))))
 
 
@@ -153,19 +177,22 @@ def change_order() -> list[Column]:
 def compare_articles(baseline: DataFrame, target: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """All changes between two tables of articles (key, doc); ``scope`` adds rows that are about the snapshots as wholes."""
     stage = Stage(baseline.sparkSession, "compare")
-    side = lambda df, name: unique(df.filter("key <> ''"), ["key"]).select("key", F.col("doc").alias(name))
+    side = lambda df, name: unique(df.filter("key <> ''"), ["key"]).select("key", F.col("doc").alias(name), Side.reading(F.col("doc")).alias(f"{name}_read"))
     both = stage.keep(side(baseline, "b").join(side(target, "t"), "key", "full_outer"), "both")
     b, t = F.col("b"), F.col("t")
+    sides = Side(b, F.col("b_read")), Side(t, F.col("t_read"))
     moved = both.agg(F.coalesce(F.max(b.isNull() | t.isNull()), F.lit(False)).alias("moved"))  # one row
     met = b.isNotNull() & t.isNotNull()
-    pairs = [*block_changes(b, t), *field_changes(b, t), review_change(b, t), rank_change(b, t, F.col("moved"))]
+    pairs = [*block_changes(*sides), *field_changes(*sides), review_change(*sides), rank_change(*sides, F.col("moved"))]
     found = F.array_compact(F.array(*membership_changes(b, t), *[F.when(met, x) for x in pairs]))
     changes = both.join(F.broadcast(moved), how="cross").select("key", F.inline(found)).select(*COLUMNS)
 
-    comparable = both.filter((state(b, EXTRACTION) == "present") & (state(t, EXTRACTION) == "present"))
-    sides = [leaf_table(comparable.select("key", part(x, EXTRACTION).alias("doc")), ["key"], "doc", stage=stage) for x in (b, t)]
+    comparable = both.filter((sides[0].state(EXTRACTION) == "present") & (sides[1].state(EXTRACTION) == "present"))
+    docs = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), part(x, EXTRACTION).alias("doc")) for name, x in (("b", b), ("t", t))]))
+    opened = leaf_table(comparable.select("key", docs.alias("d")).select("key", "d.side", "d.doc"), ["key", "side"], "doc", stage=stage)
+    leaves_of = [opened.filter(F.col("side") == name).drop("side") for name in ("b", "t")]
     path, was, now = F.col("path"), F.col("baseline"), F.col("target")
-    leaves = leaf_differences(*sides, ["key"]).select(
+    leaves = leaf_differences(*leaves_of, ["key"]).select(
         F.lit("extraction").alias("category"), leaf_change(path, was, now).alias("change_type"), "key", path.alias("field_path"),
         was.isNotNull().alias("in_baseline"), F.coalesce(was, F.lit(NULL)).alias("baseline"), now.isNotNull().alias("in_target"), F.coalesce(now, F.lit(NULL)).alias("target"), F.lit("{}").alias("detail"),
     )

@@ -14,6 +14,7 @@ from sievelake.operators.compare import article_states, compare_articles, multis
 from sievelake.operators.reconcile import Container, reconcile
 from sievelake.operators.trees import leaf_table
 from sievelake.plans.catalog import query, t
+from sievelake.plans.stage import spread
 
 
 def obj(**members: Column | None) -> Column:
@@ -65,7 +66,7 @@ def nested_leaves(spark, d):
 
 def _orders_as_articles(spark, d: str, target: bool) -> DataFrame:
     """Every order as an article; the target differs from the baseline by rules in the order's number."""
-    o, k = t(spark, d, "orders").filter("o_orderkey % 10 <> 1" if target else "o_orderkey % 10 <> 0"), F.col("o_orderkey")
+    o, k = spread(t(spark, d, "orders").filter("o_orderkey % 10 <> 1" if target else "o_orderkey % 10 <> 0").select("o_orderkey", "o_orderpriority", "o_orderstatus")), F.col("o_orderkey")
     when = lambda n, then, other: F.when(k % n == 0, then).otherwise(other) if target else F.lit(other) if isinstance(other, str) else other  # noqa: E731  the baseline has what is otherwise
     text = lambda n, then, other: when(n, F.lit(f'"{then}"'), f'"{other}"')
     relevance = obj(relevance_class=text(7, "contextual", "direct"), decision=word("include"), relevance_score=num(k % 100), needs_review=when(9, F.lit("true"), "false"))

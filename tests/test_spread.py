@@ -18,3 +18,7 @@ def test_children_leave_before_the_windows(spark):
     assert not [f.name for f in rows.schema if f.dataType.typeName() == "variant"]
     found = R.reconcile(nested._lines_with_sources(spark, DATA), ["k"], nested._LINE)
     assert sum("Window" in line for line in plan(found).splitlines()) >= 2
+
+
+def test_orders_are_spread_before_documents_are_made(spark):
+    assert "Repartition" in plan(nested._orders_as_articles(spark, DATA, False)) and "Repartition" in plan(nested._orders_as_articles(spark, DATA, True))
