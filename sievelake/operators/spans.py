@@ -13,10 +13,14 @@ repeat a key are told apart by nothing, so keys must be unique (``guards.unique`
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from sievelake.operators.trees import fresh
@@ -59,6 +63,31 @@ def word_spans(places: DataFrame, tokens: DataFrame, keys: Sequence[str], *, fir
     return places.withColumn(last, (F.col(first) + words - 1).cast("int")).join(begins, [*keys, first]).join(ends, [*keys, last]).drop(last)
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def token_edges(text: pd.Series) -> pd.Series:
+    """Start and stop of every token of a text, one after the other: running sums in a row, which no built-in gives."""
+    return text.map(lambda t: [] if t is None else [edge for m in re.finditer(TOKEN, t) for edge in m.span()])
+
+
+def spans_in_texts(places: DataFrame, texts: DataFrame, keys: Sequence[str], text: str, *, first: str = "first", words: Column) -> DataFrame:
+    """As ``word_spans``, from the texts themselves: their edges stay in the row, so no token is shuffled; texts without places are left out."""
+    rest, size, held, edges = [c for c in places.columns if c not in keys], *(fresh(places, n) for n in ("size", "held", "edges"))
+    grouped = places.withColumn(size, words).groupBy(*keys).agg(F.collect_list(F.struct(*rest, size)).alias(held))
+    rows = texts.select(*keys, text).join(grouped, list(keys)).select(*keys, held, token_edges(F.col(text)).alias(edges))
+    span = lambda c: F.struct(*[c[n].alias(n) for n in rest], F.get(edges, 2 * c[first]).alias("start"), F.get(edges, 2 * (c[first] + c[size]) - 1).alias("stop"))
+    return rows.select(*keys, F.inline(F.transform(held, span))).filter("start is not null and stop is not null")
+
+
+def edges_at(spans: DataFrame, texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """``keys``, start and stop of token edges at which spans begin or end (one of both a row): as much of a token table as ``span_faults`` looks at."""
+    sign = lambda at: (at >= 0) & F.substring(text, at + 1, 1).rlike("^[A-Za-z0-9]$")
+    both = spans.select(*keys, "start", "stop").join(texts.select(*keys, text), list(keys))
+    s0, s1, none = F.col("start"), F.col("stop"), F.lit(None).cast("int")
+    begins, ends = sign(s0) & ~sign(s0 - 1), sign(s1 - 1) & ~sign(s1)
+    found = F.array_compact(F.array(F.when(begins, F.struct(s0.alias("start"), none.alias("stop"))), F.when(ends, F.struct(none.alias("start"), s1.alias("stop")))))
+    return both.select(*keys, F.inline(found)).distinct()
+
+
 def first_match(text: Column, pattern: str) -> Column:
     """{start, stop, span} of the first place where a pattern holds, or null."""
     at = F.regexp_instr(text, F.lit(pattern))
@@ -84,8 +113,9 @@ def span_faults(spans: DataFrame, sections: DataFrame, tokens: DataFrame, keys:
     every = [*keys, *span_keys]
     s = spans.select(*every, F.col("start").alias("s0"), F.col("stop").alias("s1"), "span")
     lines = sections.select(*keys, F.col("start").alias("l0"), F.col("stop").alias("l1"), F.col("text").alias("line"))
-    inside = points_within(s, lines, keys, at="s0", start="l0", stop="l1").filter("s1 <= l1")
-    inside = inside.select(*every, "s0", "s1", F.substring("line", F.col("s0") - F.col("l0") + 1, F.col("s1") - F.col("s0")).alias("there"))
+    # a line goes to every bucket that it reaches, so its text stays behind and is joined to the spans found in it
+    inside = points_within(s.drop("span"), lines.drop("line"), keys, at="s0", start="l0", stop="l1").filter("s1 <= l1")
+    inside = inside.join(lines.drop("l1"), [*keys, "l0"]).select(*every, "s0", "s1", F.substring("line", F.col("s0") - F.col("l0") + 1, F.col("s1") - F.col("s0")).alias("there"))
     begins = tokens.select(*keys, F.col("start").alias("s0"), F.lit(True).alias("begins"))
     ends = tokens.select(*keys, F.col("stop").alias("s1"), F.lit(True).alias("ends"))
     rows = s.join(inside, [*every, "s0", "s1"], "left").join(begins, [*keys, "s0"], "left").join(ends, [*keys, "s1"], "left")

@@ -22,3 +22,30 @@ def test_children_leave_before_the_windows(spark):
 
 def test_orders_are_spread_before_documents_are_made(spark):
     assert "Repartition" in plan(nested._orders_as_articles(spark, DATA, False)) and "Repartition" in plan(nested._orders_as_articles(spark, DATA, True))
+
+
+def test_spans_from_texts_are_those_of_the_token_table(spark):
+    from sievelake.operators import spans as S
+
+    docs = spark.createDataFrame([(1, "Ab, ß-cd  12é3\nx"), (2, None), (3, "")], "doc_id long, text string")
+    places = spark.createDataFrame([(1, "a", 0, 2), (1, "b", 2, 3), (1, "c", 4, 1), (1, "d", 4, 2), (2, "e", 0, 1)], "doc_id long, name string, first int, n int")
+    tokens = S.token_table(docs, ["doc_id"], "text")
+    want = sorted(tuple(r) for r in S.word_spans(places, tokens, ["doc_id"], words=F.col("n")).select("name", "start", "stop").collect())
+    got = S.spans_in_texts(places, docs, ["doc_id"], "text", words=F.col("n"))
+    assert sorted(tuple(r) for r in got.select("name", "start", "stop").collect()) == want and [w[0] for w in want] == ["a", "b", "c"]
+    spans = got.select("doc_id", "name", "start", "stop")
+    spans = spans.union(spans.selectExpr("doc_id", "name || '+'", "start + 1", "stop + 1"))
+    known = {(r.start, None) for r in tokens.collect()} | {(None, r.stop) for r in tokens.collect()}
+    asked = {(r.start, None) for r in spans.collect()} | {(None, r.stop) for r in spans.collect()}
+    assert {(r.start, r.stop) for r in S.edges_at(spans, docs, ["doc_id"], "text").collect()} == known & asked
+
+
+def test_a_line_is_not_copied_to_its_buckets(spark):
+    from sievelake.operators import spans as S
+
+    docs = spark.createDataFrame([(1, "ab " * 5)], "doc_id long, text string")
+    spans = docs.selectExpr("doc_id", "'n' as name", "0 as start", "2 as stop", "'ab' as span")
+    found = S.span_faults(spans, S.line_table(docs, ["doc_id"], "text"), S.edges_at(spans, docs, ["doc_id"], "text"), ["doc_id"], ["name"])
+    told = plan(found).splitlines()
+    spread = next(x for x in told if "Generate explode(sequence" in x)
+    assert "line" not in spread and found.count() == 0
