@@ -48,7 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return Stage(df.sparkSession).keep(df)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt evenly over tasks, for work that costs far more than its rows' bytes: scans are cut by bytes, so small rows make few tasks."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt evenly over tasks, or by keys, for work that costs far more than its rows' bytes: scans are cut by bytes, so small rows make few tasks."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes, but where the session has settings of its own: Python holds a batch several times over."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "256"), ("spark.sql.execution.arrow.maxBytesPerBatch", f"{4 << 20}")):
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, most)
