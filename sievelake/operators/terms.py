@@ -11,6 +11,7 @@ from sievelake import rules
 from sievelake.functions.numbers import round_half_even
 from sievelake.functions.text import lookup, recency_score, space_form, tokens
 from sievelake.operators.ranking import total_rank
+from sievelake.plans.stage import spread
 
 
 def document_frequency(occurrences: DataFrame, term: str, doc: str, order: Column, source: str | None = None, stop: Iterable[str] = ()) -> DataFrame:
@@ -61,7 +62,8 @@ def candidate_terms(articles: DataFrame) -> DataFrame:
     title, abstract = (space_form(F.coalesce(c, F.lit(""))) for c in ("title", "abstract"))
     # an article's terms are looked for in its texts before they are spread, so that texts don't travel with terms
     told = F.transform(told, lambda t: F.struct(t["term"].alias("term"), t["source"].alias("source"), t["kind"].alias("kind"), t["i"].alias("i"), title.contains(t["term"]).alias("in_title"), abstract.contains(t["term"]).alias("in_abstract")))
-    rows = articles.filter("pmid is not null").select("pmid", "rank", "evidence_level", "published", F.inline(told))
+    # dealt by article first: then an article's terms meet where they are made, and no task gathers those of a whole file
+    rows = spread(articles.filter("pmid is not null"), "pmid").select("pmid", "rank", "evidence_level", "published", F.inline(told))
     first = F.struct("rank", "kind", "i", "pmid").alias("at")
     return rows.groupBy("term", "pmid").agg(F.min(F.struct("rank", "kind", "i", "pmid")).alias("at"), F.min_by("source", first).alias("source"), *[F.max(c).alias(c) for c in ("in_title", "in_abstract", "published")], F.min_by("evidence_level", first).alias("evidence_level"))
 

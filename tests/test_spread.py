@@ -49,3 +49,18 @@ def test_a_line_is_not_copied_to_its_buckets(spark):
     told = plan(found).splitlines()
     spread = next(x for x in told if "Generate explode(sequence" in x)
     assert "line" not in spread and found.count() == 0
+
+
+def test_articles_are_dealt_by_id_before_terms(spark):
+    from sievelake.plans import registry
+
+    found = plan(registry.queries()["article_topic_profile"](spark, DATA))
+    assert "RepartitionByExpression [pmid" in found
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from sievelake.plans import registry
+
+    registry.queries()["text_normalize_whole"](spark, DATA)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(4 << 20)
