@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievelake.operators import compare as C
 from sievelake.operators.guards import adds_up, counted, no_orphans, require, unique
 from sievelake.operators.trees import leaf_table
+from sievelake.plans.stage import Stage
 
 
 def text(value):
@@ -50,6 +51,21 @@ def test_leaves_keep_clashing_names_and_empty_tables(spark):
     assert leaf_table(docs.filter("false"), ["key"], "doc").count() == 0
 
 
+def test_levels_are_opened_in_few_passes_and_skipped_names_may_be_any(spark):
+    deep = {"x": 1}
+    for i in range(11):
+        deep = {"a": deep, "l": [[i], {"pmid": 1}]} if i % 2 else [[deep], {}, i]
+    stage = Stage(spark, "test")
+    got = Counter(tuple(r) for r in leaf_table(variants(spark, [("1", deep), ("2", TREES[0])]), ["key"], "doc", stage=stage).collect())
+    assert got == Counter((k, p, v) for k, x in (("1", deep), ("2", TREES[0])) for p, v in leaves(x))
+    assert stage.n <= 5  # of 17 levels; one table a level before
+    odd = {"a`b": 1, "c'd": {"e\"f.g": 2}, "h": {"e\"f.g": 1, "i": {}}, "": [{"a`b": 1}]}
+    got = leaf_table(variants(spark, [("1", odd)]), ["key"], "doc", skip=["a`b", "e\"f.g", "a`b"]).collect()
+    assert sorted((r.path, r.value) for r in got) == [("", '[' + text('{"a`b":1}') + "]"), ("c'd", "{}"), ("h.i", "{}")]
+    got = leaf_table(variants(spark, [("1", {"pmid": {}, "x": {"pmid": 1}})]), ["key"], "doc", skip=[]).collect()
+    assert sorted((r.path, r.value) for r in got) == [("pmid", "{}"), ("x.pmid", "1")]
+
+
 def article(**more):
     base = {
         "title": "T", "clinical_relevance": {"relevance_class": "direct", "decision": "include", "relevance_score": 5, "needs_review": False},
