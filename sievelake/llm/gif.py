@@ -14,6 +14,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,35 +41,39 @@ def widths(since_clear: np.ndarray, least: int) -> np.ndarray:
     return np.clip(np.frexp(size.astype(np.float64))[1], least, 12)
 
 
+@cache
+def plan(least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the first 4,096 codes after a clear code, and where each begins (one more: the end)."""
+    bits = widths(np.arange(4096), least)
+    return bits, np.concatenate(([0], np.cumsum(bits)))
+
+
 def lzw_encode(data: bytes) -> bytes:
     """8-bit samples as one LZW code stream, with a clear code whenever the table is full."""
-    codes = [256]
-    put, table, new = codes.append, {}, 258
-    get = table.get
+    codes = [256 << 8]  # codes stand in the upper bits, where the next sample is added
+    put, table, new = codes.append, {}, 258 << 8
     if data:
-        have = data[0]
-        for sample in memoryview(data)[1:]:
-            key = have << 8 | sample
-            code = get(key)
-            if code is None:
+        have = data[0] << 8
+        for sample in data[1:]:
+            key = have | sample
+            if key in table:
+                have = table[key]
+            else:
                 put(have)
                 table[key] = new
-                new += 1
-                if new == 4096:
-                    put(256)
+                new += 256
+                if new == 4096 << 8:
+                    put(256 << 8)
                     table.clear()
-                    new = 258
-                have = sample
-            else:
-                have = code
+                    new = 258 << 8
+                have = sample << 8
         put(have)
-    put(257)
-    value = np.array(codes, dtype=np.int64)
-    at = np.arange(len(value))
-    clear = np.maximum.accumulate(np.where(value == 256, at, -1))
-    before = np.concatenate(([-1], clear[:-1]))
-    bits = widths(at - before - 1, 9)
-    bits[0] = 9
+    put(257 << 8)
+    value = np.array(codes, dtype=np.int64) >> 8
+    clear = np.flatnonzero(value == 256)
+    # codes by their number since the clear code before them; the first clear code has none before it
+    since = np.concatenate(([0], *[np.arange(n) for n in np.diff(np.append(clear, len(value) - 1))]))
+    bits = plan(9)[0][since]
     offset = np.concatenate(([0], np.cumsum(bits)))
     shifted, byte = value << (offset[:-1] & 7), offset[:-1] >> 3
     n = int(offset[-1] + 7) >> 3
@@ -78,6 +83,41 @@ def lzw_encode(data: bytes) -> bytes:
     return out[:n].astype(np.uint8).tobytes()
 
 
+def resolved(array: np.ndarray) -> np.ndarray:
+    """Where chains of places end; ``array`` holds for each the next, or itself at the end."""
+    while True:
+        further = array[array]
+        if np.array_equal(further, array):
+            return array
+        array = further
+
+
+def samples_of(codes: np.ndarray, clear: int, most: int) -> bytes:
+    """``most`` samples, or all, of the codes between two clear codes. Entry k of the table is what code k drew and one sample more, so each code
+    but the roots is a copy from what was drawn before, and all copies are followed at once."""
+    at = np.arange(len(codes), dtype=np.int32)
+    entry = codes - (clear + 2)
+    if (entry >= at).any():
+        raise GifError("code out of range")
+    root = entry < 0
+    # lengths: steps from a code over entries to its root
+    length, to = np.where(root, 0, 1), np.where(root, at, entry)
+    while True:
+        more = length[to]
+        if not more.any():
+            break
+        length, to = length + more, to[to]
+    length += 1
+    start = np.concatenate(([0], np.cumsum(length)))
+    n = min(int(np.searchsorted(start, most)), len(codes))
+    start, length, root, entry = start[: n + 1], length[:n], root[:n], entry[:n]
+    back = np.where(root, 0, start[:-1] - start[:-1][np.where(root, 0, entry)])
+    source = np.arange(start[-1], dtype=np.int32) - np.repeat(back, length).astype(np.int32)
+    drawn = np.zeros(start[-1], dtype=np.uint8)
+    drawn[start[:-1][root]] = codes[:n][root]
+    return drawn[resolved(source)].tobytes()
+
+
 def lzw_decode(stream: bytes, root_bits: int, wanted: int) -> bytes:
     """The samples of a code stream. Codes are unpacked a table's length at a time, as their widths follow from their number."""
     if not 1 <= root_bits <= 8:
@@ -88,8 +128,13 @@ def lzw_decode(stream: bytes, root_bits: int, wanted: int) -> bytes:
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, before, out = list(roots), None, []
     while got < wanted:
-        bits = widths(np.arange(seen, seen + 4096), root_bits + 1)
-        offset = at + np.concatenate(([0], np.cumsum(bits)))
+        if seen:
+            bits = widths(np.arange(seen, seen + 4096), root_bits + 1)
+            offset = at + np.concatenate(([0], np.cumsum(bits)))
+        else:
+            bits, offset = plan(root_bits + 1)
+            most = (total - at) // (root_bits + 1)
+            bits, offset = bits[:most], at + offset[: most + 1]
         n = int(np.searchsorted(offset, total, "right")) - 1
         if n <= 0:
             raise GifError("code stream ends early")
@@ -98,8 +143,12 @@ def lzw_decode(stream: bytes, root_bits: int, wanted: int) -> bytes:
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (offset[:-1] & 7)) & ((1 << bits) - 1)
         special = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(special[0]) if len(special) else n
+        one_by_one = before is not None or stop == n  # a table that is kept when it is full, or a stream without an end
+        if not one_by_one:
+            out.append(samples_of(codes[:stop], clear, wanted - got))
+            got += len(out[-1])
         size, add = len(table), table.append
-        for code in codes[:stop].tolist():
+        for code in codes[:stop].tolist() if one_by_one else ():
             if code < size:
                 run = table[code]
             elif code == size and before is not None:
@@ -113,7 +162,9 @@ def lzw_decode(stream: bytes, root_bits: int, wanted: int) -> bytes:
             got += len(run)
             before = run
         if stop < n:
-            at, seen, table, before = int(offset[stop + 1]), 0, list(roots), None
+            at, seen, before = int(offset[stop + 1]), 0, None
+            if len(table) > len(roots):
+                table = list(roots)
             if codes[stop] == end:
                 break
         else:

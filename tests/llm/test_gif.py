@@ -107,3 +107,27 @@ def test_canvas_bound_and_empty_table(spark):
     media = spark.createDataFrame([(1, huge), (2, None)], "doc_id long, media binary")
     assert [r.error for r in gif.read_gifs(media, keep=("doc_id",)).orderBy("doc_id").collect()] == ["canvas too large", "signature"]
     assert gif_digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_codes_between_clears_are_copies_followed_at_once():
+    rng = np.random.default_rng(7)
+    for data in (b"a" * 70_000, bytes(rng.integers(0, 3, 50_000, dtype=np.uint8)), bytes(rng.integers(0, 256, 9_000, dtype=np.uint8)), b"ab" * 9, b"x"):
+        codes, table, have = [], {bytes([i]): i for i in range(256)}, b""
+        for i in range(len(data)):  # a plain encoder of one table's codes
+            if have + data[i : i + 1] in table:
+                have += data[i : i + 1]
+                continue
+            codes.append(table[have])
+            if len(table) == 3838 + 256:
+                have = b""
+                break
+            table[have + data[i : i + 1]] = len(table) + 2
+            have = data[i : i + 1]
+        if have:
+            codes.append(table[have])
+        drawn = gif.samples_of(np.array(codes), 256, len(data))
+        assert drawn == data[: len(drawn)] and len(drawn) > 0
+        assert gif.samples_of(np.array(codes), 256, 5)[:5] == data[:5]
+    for wrong in ([258], [65, 259], [65, 258, 260]):
+        with pytest.raises(gif.GifError, match="out of range"):
+            gif.samples_of(np.array(wrong), 256, 9)
