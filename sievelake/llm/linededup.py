@@ -14,7 +14,8 @@ inside a line still shares its inner pieces. Blank ones aside, a piece is normal
    ``gram`` equal units or more count as repeated.
 4. A piece goes with any of its units that is repeated; the earliest place stays.
 
-A hot passage's join has one row on one side and is split by AQE on the other; both sides are written tables.
+A hot passage's join has one row on one side and is split by AQE on the other; both sides are written tables. Where one side has
+one narrow row a fingerprint, that side is hashed, so the positions on the other aren't sorted.
 
 Defined results: null and empty texts have no lines; rows without an id rank last; rows that repeat both id and
 text count as one place and are treated alike; an empty table gives no rows; documents with nothing deleted keep
@@ -36,12 +37,12 @@ GRAM, WINDOW, UNIT_WORDS = 3, 3, 12
 
 def units_of(cut_text: Column, unit_words: int) -> Column:
     """The units of a text's normal pieces: {h, key, piece}: hash, what orders it, number of its piece."""
-    unit = lambda h, key, j, i: F.struct(h.alias("h"), key.alias("key"), i.alias("piece"))
-    one = lambda t, i: F.array(unit(F.xxhash64(t), F.md5(t.cast("binary")), 0, i))
-    more = lambda t, n, i: let(F.struct(F.xxhash64(t).alias("h"), F.md5(t.cast("binary")).alias("m")), lambda x: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / unit_words).cast("int")), lambda j: unit(F.when(j == 0, x["h"]).otherwise(F.xxhash64(x["h"], j)), F.concat(x["m"], F.when(j == 0, "").otherwise(j.cast("string"))), j, i)))
-    # so many words need at least as many letters and blanks between them, so most pieces need no count
-    short = lambda t: F.char_length(t) <= 2 * unit_words
-    cut = lambda t, i: F.when(t == "", none).when(short(t), one(t, i)).otherwise(let(word_count(t), lambda n: F.when(n <= unit_words, one(t, i)).otherwise(more(t, n, i))))
+    unit = lambda h, key, i: F.struct(h.alias("h"), key.alias("key"), i.alias("piece"))
+    one = lambda t, i: F.array(unit(F.xxhash64(t), F.md5(t.cast("binary")), i))
+    more = lambda t, i: let(F.struct(F.xxhash64(t).alias("h"), F.md5(t.cast("binary")).alias("m")), lambda x: F.transform(F.sequence(F.lit(0), F.floor((word_count(t) - 1) / unit_words).cast("int")), lambda j: unit(F.when(j == 0, x["h"]).otherwise(F.xxhash64(x["h"], j)), F.concat(x["m"], F.when(j == 0, "").otherwise(j.cast("string"))), i)))
+    # so many words need at least as many letters and blanks between them, and most other pieces end before so many blanks: both need no count
+    short = lambda t: (F.octet_length(t) <= 2 * unit_words) | (F.substring_index(t, " ", unit_words) == t)
+    cut = lambda t, i: F.when(t == "", none).when(short(t), one(t, i)).otherwise(more(t, i))
     none = F.expr("cast(array() as array<struct<h:bigint,key:string,piece:int>>)")
     return F.flatten(F.transform(cut_text, cut))
 
@@ -49,19 +50,20 @@ def units_of(cut_text: Column, unit_words: int) -> Column:
 def selected(units: Column, gram: int, window: int) -> Column:
     """The grams that some window selects: {print, pos}. Fewer grams than a window are one window."""
     n = F.size(units) - (gram - 1)
-    far = F.least(F.lit(window - 1), n - 1)
-    keys = F.transform(F.slice(units, gram // 2 + 1, n), lambda u: u["key"])
-
-    def least_of(k, i):
-        best = i
-        for j in range(1, window):  # beyond the end there is a null, which is never less
-            best = F.when(F.get(k, i + j) < F.get(k, best), i + j).otherwise(best)
-        return best
-
-    chosen = let(keys, lambda k: F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1 - far), lambda i: least_of(k, i))))
-    name = lambda i: F.xxhash64(*[F.get(units, i + k)["h"] for k in range(gram)])
+    keys = F.slice(units, gram // 2 + 1, n)["key"]
+
+    def is_least(k, i):
+        """Of so many grams around i as make a window: those before it are greater, those after it not less."""
+        before = lambda m: reduce(lambda a, b: a & b, [F.get(k, i - j) > F.get(k, i) for j in range(1, m + 1)])
+        steps = [(F.get(k, i + j) < F.get(k, i), before(window - j)) for j in range(1, window)]
+        return reduce(lambda done, step: done.when(*step), steps, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(True))
+
+    # behind the last key stands one that is less than all; before the first there are nulls, which are never greater
+    chosen = let(F.concat(keys, F.array(F.lit(""))), lambda k: F.filter(F.sequence(F.lit(0), n - 1), lambda i: is_least(k, i)))
+    chosen = F.when(n < window, let(keys, lambda k: F.array((F.array_position(k, F.array_min(k)) - 1).cast("int")))).otherwise(chosen)
+    name = lambda hs, i: F.xxhash64(*[F.get(hs, i + k) for k in range(gram)])
     none = F.expr("cast(array() as array<struct<print:bigint,pos:int>>)")
-    return F.when(n > 0, F.transform(chosen, lambda i: F.struct(name(i).alias("print"), i.alias("pos")))).otherwise(none)
+    return F.when(n > 0, let(units["h"], lambda hs: F.transform(chosen, lambda i: F.struct(name(hs, i).alias("print"), i.alias("pos"))))).otherwise(none)
 
 
 def repeated_lines(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,15 +77,15 @@ def _repeated(docs: DataFrame, gram: int, window: int, unit_words: int, id_col:
     # no filter on the units: it would be pushed down and cut every text a second time
     docs = keyed(docs, id_col, text_col).select(*KEY, first_id().alias("doc_id"), let(normal_pieces(F.col("text")), lambda p: F.struct(F.size(p).alias("n"), units_of(p, unit_words).alias("units"))).alias("u"))
     docs = docs.select(*KEY, "doc_id", F.col("u.n").alias("n"), F.col("u.units").alias("units"))
-    told = docs.select(*KEY, "doc_id", "n", F.transform("units", lambda u: u["h"]).alias("hs"), F.transform("units", lambda u: u["piece"]).alias("ps"), selected(F.col("units"), gram, window).alias("prints"))
+    told = docs.select(*KEY, "doc_id", "n", F.col("units.h").alias("hs"), F.col("units.piece").alias("ps"), selected(F.col("units"), gram, window).alias("prints"))
     told = ws.keep(told, "units")
     several = ws.keep(told.select(F.explode("prints.print").alias("print")).groupBy("print").count().filter("count > 1").select("print"), "several")
-    shared = ws.keep(told.select(*KEY, "doc_id", F.inline("prints")).join(several, "print"), "shared")
+    shared = ws.keep(told.select(*KEY, "doc_id", F.inline("prints")).join(several.hint("shuffle_hash"), "print"), "shared")
     ws.drop("several")
     first = ws.keep(shared.groupBy("print").agg(F.min(F.struct("doc_id", *KEY, "pos")).alias("first")), "first")
 
     before = F.lag("pos").over(Window.partitionBy(*KEY, "print").orderBy("pos"))
-    placed = shared.select("print", *KEY, "pos", before.alias("before")).join(first, "print")
+    placed = shared.select("print", *KEY, "pos", before.alias("before")).join(first.hint("shuffle_hash"), "print")
     same = F.col("before").isNotNull()
     pairs = placed.select(*KEY, F.when(same, F.col("k1")).otherwise(F.col("first.k1")).alias("p1"), F.when(same, F.col("k2")).otherwise(F.col("first.k2")).alias("p2"), (F.col("pos") - F.coalesce("before", "first.pos")).alias("off"))
     pairs = pairs.filter((F.col("k1") != F.col("p1")) | (F.col("k2") != F.col("p2")) | (F.col("off") != 0))
@@ -92,10 +94,12 @@ def _repeated(docs: DataFrame, gram: int, window: int, unit_words: int, id_col:
 
     theirs = told.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("hs").alias("theirs")).join(pairs.select("p1", "p2").distinct(), ["p1", "p2"], "left_semi")
     both = pairs.join(ws.keep(theirs.dropDuplicates(["p1", "p2"]), "theirs"), ["p1", "p2"]).join(told.select(*KEY, "hs", "ps"), KEY)
-    equal = lambda off: F.transform("hs", lambda h, i: (i >= off) & F.coalesce(h == F.get("theirs", i - off), F.lit(False)))
-    run = lambda e, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(e, i + k), F.lit(False)) for k in range(gram)])
-    starts = lambda e: F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: run(e, i))
-    hits = F.array_distinct(F.flatten(F.transform("offs", lambda off: let(equal(off), starts))))
+    # the places where gram units of both texts are equal, all of them inside both
+    equal = lambda a, b, off, i: reduce(lambda x, y: x & y, [F.get(a, i + k) == F.get(b, i - off + k) for k in range(gram)])
+    none = F.expr("cast(array() as array<int>)")
+    starts = lambda a, b, off, low, last: F.when(last >= low, F.filter(F.sequence(low, last), lambda i: equal(a, b, off, i))).otherwise(none)
+    along = lambda a, b, off: starts(a, b, off, F.greatest(F.lit(0), off), F.least(F.size(a), F.size(b) + off) - gram)
+    hits = let(F.col("hs"), lambda a: let(F.col("theirs"), lambda b: F.array_distinct(F.flatten(F.transform("offs", lambda off: along(a, b, off))))))
     gone = both.select(*KEY, "ps", hits.alias("hits")).filter(F.size("hits") > 0)
     gone = gone.select(*KEY, F.array_distinct(F.flatten(F.transform("hits", lambda i: F.slice("ps", i + 1, gram)))).alias("gone"))
     gone = ws.keep(gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")

@@ -4,9 +4,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sievelake.llm import registry
-from sievelake.llm.linededup import drop_repeated_lines, winnow_lines
+from sievelake.llm.common import normal_pieces
+from sievelake.llm.linededup import drop_repeated_lines, selected, winnow_lines
 from sievelake.llm.substring import repeated_units
 
 
@@ -117,3 +119,28 @@ def test_edges(spark):
 def test_names_that_clash(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", 1, 2, 3), (2, "a\nb\nc", 4, 5, 6), (3, "q", 7, 8, 9)], "doc_id long, text string, __gone int, __k1 int, `gone.x` int")
     assert [tuple(r) for r in drop_repeated_lines(docs).orderBy("doc_id").collect()] == [(1, "a\nb\nc", 1, 2, 3), (3, "q", 7, 8, 9)]
+
+
+def test_normal_pieces_against_plain_python(spark):
+    rng = random.Random(7)
+    texts = ["", " ", "\n", ". ", " .", "a. ", " a", "a ", "a \nb", "a\n b", "A. \nB", "a.  b", "a.\tb", "! ? x", "., x", "a\n\nb\n", "\x01a. b", "a;\x01 b", "\u0130: \u00c4, \u00a0. x", "a.\rb", "1.5, 2"]
+    texts += ["".join(rng.choice(["a", "B", " ", "\n", ". ", ", ", ":", "\t"][: 8 if i % 3 == 0 else 7]) for _ in range(rng.randrange(30))) for i in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", normal_pieces(F.col("text")).alias("p")).collect()
+    for r in got:
+        assert r.p == [re.sub(r"[ \t\n\x0b\f\r]+", " ", x.lower()).strip(" ") for x in re.split(r"(?<=\n)|(?<=[.!?;:,])(?= )", texts[r.i])], repr(texts[r.i])
+
+
+@pytest.mark.parametrize(("gram", "window"), [(3, 3), (1, 1), (2, 4), (3, 2)])
+def test_selected_against_plain_python(spark, gram, window):
+    rng = random.Random(window)
+    rows = [(i, [(rng.randrange(5), rng.choice("abcd"), 0) for _ in range(rng.randrange(12))]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "i int, units array<struct<h:bigint,key:string,piece:int>>")
+    for r in docs.select("i", selected(F.col("units"), gram, window).alias("prints")).collect():
+        keys = [u[1] for u in rows[r.i][1]][gram // 2 :][: max(0, len(rows[r.i][1]) - gram + 1)]
+        w = min(window, len(keys))
+        assert [p.pos for p in r.prints] == sorted({min(range(a, a + w), key=lambda p: (keys[p], p)) for a in range(len(keys) - w + 1) if w})
+
+
+def test_plain_texts_take_no_step_a_piece(spark):
+    plan = spark.createDataFrame([(1, "a. b")], "i int, text string").select(normal_pieces(F.col("text")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("transform(") == 1  # of texts with other white space
