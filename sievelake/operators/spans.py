@@ -3,6 +3,8 @@
 ``token_table`` gives every token of a text with its place; ``word_spans`` turns places of words into offsets; ``points_within`` joins points with the
 intervals that hold them; ``span_faults`` checks spans against sections and tokens. Offsets count code points from 0, the end exclusive.
 
+Where spans of a text stand in its row, ``spans_at`` and ``faults_in_text`` find their offsets and faults there, and the text isn't exchanged.
+
 An interval join would compare every point of a key with every interval of it. Here places are cut in buckets of ``width``; an interval goes
 to the buckets that it reaches, a point to its own, and the rest is an equi-join on (key, bucket), which a long text can't make
 quadratic unless its intervals overlap.
@@ -14,7 +16,7 @@ repeat a key are told apart by nothing, so keys must be unique (``guards.unique`
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
-from sievelake.operators.trees import fresh
+from sievelake.operators.trees import fresh, once
 
 #: A token is a run of ASCII letters and digits; all else stands between tokens.
 TOKEN = "[A-Za-z0-9]+"
@@ -78,6 +80,32 @@ def spans_in_texts(places: DataFrame, texts: DataFrame, keys: Sequence[str], tex
     return rows.select(*keys, F.inline(F.transform(held, span))).filter("start is not null and stop is not null")
 
 
+def spans_at(edges: Column, found: Column, size: Callable[[Column], Column]) -> Column:
+    """{phrase, start, stop} of phrases found in a text (phrase, first), from its ``edges`` and the number of tokens that ``size`` makes of a phrase."""
+    span = lambda c: F.struct(c["phrase"].alias("phrase"), F.get(edges, 2 * c["first"]).alias("start"), F.get(edges, 2 * (c["first"] + size(c["phrase"])) - 1).alias("stop"))
+    return F.filter(F.transform(found, span), lambda s: s["start"].isNotNull() & s["stop"].isNotNull())
+
+
+def faults_in_text(text: Column, span: Column) -> Column:
+    """The codes of ``span_faults`` for one span {start, stop, span} of a text whose sections are its lines; the text is cut once, one sign wider on both sides."""
+    s0, s1 = span["start"], span["stop"]
+    n = s1 - s0
+    around = F.when(s0 > 0, F.substring(text, s0, n + 2)).otherwise(F.concat(F.lit(" "), F.substring(text, F.lit(1), n + 1)))
+    sign = lambda at: (at >= 0) & F.substring(text, at + 1, F.lit(1)).rlike("^[A-Za-z0-9]$")
+    plain = (s0 >= 0) & (n >= 0)
+
+    def codes(c: Column) -> Column:
+        length, own = F.char_length(c), F.substring(c, F.lit(2), n)
+        begins = F.when(plain, c.rlike("^[^A-Za-z0-9][A-Za-z0-9]")).otherwise(sign(s0) & ~sign(s0 - 1))
+        ends = F.when(plain, F.substring(c, n + 1, F.lit(2)).rlike("^[A-Za-z0-9](?![A-Za-z0-9])")).otherwise(sign(s1 - 1) & ~sign(s1))
+        within = F.when(n > 0, (s0 >= 0) & (length > n) & (F.instr(F.substring(c, F.lit(2), n - 1), "\n") == 0)).otherwise((s0 >= 0) & (s0 < F.char_length(text)))
+        there = F.when(within, F.when(n > 0, own).otherwise(""))
+        tests = [(n <= 0, "empty"), (~within & (n > 0), "outside"), (there != span["span"], "text_differs"), (~(begins & ends), "off_token")]
+        return F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in tests]))
+
+    return once(around, codes)
+
+
 def edges_at(spans: DataFrame, texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """``keys``, start and stop of token edges at which spans begin or end (one of both a row): as much of a token table as ``span_faults`` looks at."""
     sign = lambda at: (at >= 0) & F.substring(text, at + 1, 1).rlike("^[A-Za-z0-9]$")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sievelake import rules
 from sievelake.functions.text import type_form
 from sievelake.operators import terms
-from sievelake.operators.phrases import phrase_matches, signal_rows, signal_scores
-from sievelake.operators.spans import edges_at, line_table, span_faults, spans_in_texts, words_form
+from sievelake.operators.phrases import phrase_matches, signal_rows, signal_scores, texts_with_phrases
+from sievelake.operators.spans import faults_in_text, spans_at, token_edges, words_form
+from sievelake.operators.trees import once
 from sievelake.plans.catalog import query, t
 
 _AT = "list_filter(range(len(words)), lambda i: array_to_string(words[i + 1 : i + len(string_split(label, ' '))], ' ') = label)"
@@ -120,16 +121,19 @@ s as (select m.doc_id, item_id, label, x.start, y.stop from m join k x on x.doc_
 
 
 def _spans(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    found = phrase_matches(docs.select("doc_id", words_form(F.col("text")).alias("words")), ["doc_id"], "words", _phrases(spark, d).distinct(), ["item_id"], "label")
-    return docs, spans_in_texts(found.select("doc_id", "item_id", "phrase", "first"), docs, ["doc_id"], "text", words=F.size(F.split("phrase", " "))).drop("first")
+    """Texts that hold phrases, with the spans {phrase, start, stop} of each in its row; and the items that have a phrase."""
+    docs, items = t(spark, d, "documents").select("doc_id", "text"), _phrases(spark, d).distinct().withColumnRenamed("label", "phrase")
+    found = texts_with_phrases(docs, ["doc_id"], "text", items.select("phrase"), form=words_form)
+    rows = found.withColumn("edges", token_edges("text"))
+    return rows.select("doc_id", "text", spans_at(F.col("edges"), F.col("found"), lambda p: F.size(F.split(p, " "))).alias("spans")), items
 
 
 @query(f"with {_SPANS} select doc_id, item_id, label as phrase, cast(start as integer) as start, cast(stop as integer) as stop, substr(text, start + 1, stop - start) as span from s join documents using (doc_id)")
 def phrase_spans(spark, d):
     """Where benchmark phrases first stand in whole documents, in code points of the text as it is."""
-    docs, spans = _spans(spark, d)
-    return spans.join(docs, "doc_id").select("doc_id", "item_id", "phrase", "start", "stop", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("span"))
+    rows, items = _spans(spark, d)
+    span = lambda s: F.struct(*[s[c].alias(c) for c in ("phrase", "start", "stop")], F.substring("text", s["start"] + 1, s["stop"] - s["start"]).alias("span"))
+    return rows.select("doc_id", F.inline(F.transform("spans", span))).join(items, "phrase").select("doc_id", "item_id", "phrase", "start", "stop", "span")
 
 
 @query(
@@ -141,7 +145,8 @@ union all select f.doc_id, item_id, phrase, 'off_token' from f left join k a on
 )
 def span_invariants(spark, d):
     """Spans against lines and tokens: what crosses a line, and a shift by one that is planted in every seventh document, is found; all else holds."""
-    docs, spans = _spans(spark, d)
+    rows, items = _spans(spark, d)
     shift = (F.col("doc_id") % 7 == 0).cast("int")
-    spans = spans.join(docs, "doc_id").select("doc_id", "item_id", "phrase", (F.col("start") + shift).alias("start"), (F.col("stop") + shift).alias("stop"), F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("span"))
-    return span_faults(spans, line_table(docs, ["doc_id"], "text"), edges_at(spans, docs, ["doc_id"], "text"), ["doc_id"], ["item_id", "phrase"])
+    moved = lambda s: F.struct((s["start"] + shift).alias("start"), (s["stop"] + shift).alias("stop"), F.substring("text", s["start"] + 1, s["stop"] - s["start"]).alias("span"))
+    told = lambda s: F.transform(once(moved(s), lambda m: faults_in_text(F.col("text"), m)), lambda code: F.struct(s["phrase"].alias("phrase"), code.alias("code")))
+    return rows.select("doc_id", F.inline(F.flatten(F.transform("spans", told)))).join(items, "phrase").select("doc_id", "item_id", "phrase", "code")

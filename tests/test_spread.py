@@ -51,6 +51,35 @@ def test_a_line_is_not_copied_to_its_buckets(spark):
     assert "line" not in spread and found.count() == 0
 
 
+def test_texts_of_spans_are_exchanged_once(spark):
+    from sievelake.plans import registry
+
+    for name in ("span_invariants", "phrase_spans"):
+        told = plan(registry.queries()[name](spark, DATA))
+        assert sum("Relation [doc_id" in line for line in told.splitlines()) == 1 and "Window" not in told
+
+
+def test_faults_in_a_text_are_those_of_sections_and_tokens(spark):
+    from sievelake.operators import spans as S
+
+    texts = {1: "Ab, c1\nd \u00c9 ef--g\n\n h", 2: "x", 3: "\n\nlo\U0001f600ng fin\n", 4: "a\nb"}
+    docs = spark.createDataFrame(list(texts.items()), "k int, pos string")
+    rows = [(k, i, a, b, w) for k, t in texts.items() for i, (a, b, w) in enumerate((a, b, w) for a in range(-1, len(t) + 2) for b in range(a - 2, min(a + 6, len(t) + 3)) for w in {t[max(a, 0) : max(b, 0)], "zz"})]
+    spans = spark.createDataFrame(rows, "k int, n int, start int, stop int, span string").filter("start >= 0 and stop >= 0")
+    want = S.span_faults(spans, S.line_table(docs, ["k"], "pos"), S.token_table(docs, ["k"], "pos"), ["k"], ["n"])
+    got = spans.join(docs, "k").select("k", "n", F.explode(S.faults_in_text(F.col("pos"), F.struct("start", "stop", "span"))).alias("code"))
+    assert sorted(map(tuple, got.collect())) == sorted(set(map(tuple, want.collect())))
+
+
+def test_copies_of_a_text_count_for_themselves(spark):
+    from sievelake.operators.phrases import phrase_matches
+
+    docs = spark.createDataFrame([(1, "a b a b c")] * 2 + [(1, "b c"), (2, None), (2, "")], "k int, text string")
+    phrases = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "b a b c"), (4, "c a"), (5, None)], "n int, label string")
+    got = sorted(tuple(r) for r in phrase_matches(docs, ["k"], "text", phrases, ["n"], "label").select("n", "first", "times").collect())
+    assert got == sorted([(1, 0, 2), (2, 4, 1), (3, 1, 1)] * 2 + [(2, 1, 1)])
+
+
 def test_articles_are_dealt_by_id_before_terms(spark):
     from sievelake.plans import registry
 
