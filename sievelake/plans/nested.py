@@ -141,7 +141,8 @@ def _lines_with_sources(spark, d: str) -> DataFrame:
     """Orders with their lines as children and as raw children; faults are planted by rules in the number of the line's place and order."""
     k, i = F.col("l_orderkey"), F.col("i")
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = t(spark, d, "lineitem").withColumn("i", F.row_number().over(place) - 1)
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+    rows = spread(lines, "l_orderkey").withColumn("i", F.row_number().over(place) - 1)
     code, ship = F.concat(F.lit("c"), num(i)), F.date_format("l_shipdate", "yyyyMMdd")
     flag = F.when((k + i) % 13 == 0, "X").otherwise(F.col("l_returnflag"))
     at = F.concat(F.lit("results["), num(k), F.lit("].lines["), num(i), F.lit("]."))

@@ -20,6 +20,25 @@ def test_children_leave_before_the_windows(spark):
     assert sum("Window" in line for line in plan(found).splitlines()) >= 2
 
 
+def test_children_meet_where_their_records_are(spark):
+    from sievelake.plans import registry
+
+    found = registry.queries()["reconciled_children"](spark, DATA)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    rows = R.own_faults(R.sides(nested._lines_with_sources(spark, DATA), ["k"], nested._LINE, doc="doc", raw="raw", place="place"), ["k"], nested._LINE)
+    assert "variant" not in rows.schema.simpleString() and rows.filter("name is null").select(F.max(F.length(F.to_json("has")))).first()[0] < 80
+
+
+def test_long_raw_values_meet_by_digest(spark):
+    import json
+
+    c, long = R.Container("parts", ("name",), "name"), "x" * 500
+    doc = lambda raw: json.dumps({"parts": [{"name": raw, "source_fields": {"name": {"state": "present", "path": "r.parts[0].name", "raw_value": raw}}}]})
+    cases = [(0, doc(long), long), (1, doc(long), long + "y"), (2, doc("#"), "#"), (3, doc("a"), "b")]
+    records = spark.createDataFrame([(k, d, json.dumps({"parts": [{"name": raw}]})) for k, d, raw in cases], "k int, d string, r string").select("k", F.parse_json("d").alias("doc"), F.parse_json("r").alias("raw"), F.lit("r").alias("place"))
+    assert sorted((r.k, r.code) for r in R.reconcile(records, ["k"], c).collect()) == [(1, "raw_differs"), (3, "raw_differs")]
+
+
 def test_orders_are_spread_before_documents_are_made(spark):
     assert "Repartition" in plan(nested._orders_as_articles(spark, DATA, False)) and "Repartition" in plan(nested._orders_as_articles(spark, DATA, True))
 
