@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sievelake import rules
 from sievelake.operators.guards import require, unique
 from sievelake.operators.snapshots import occurrences
-from sievelake.operators.trees import canonical, leaf_change, leaf_differences, leaf_table, provenance_path, quoted
+from sievelake.operators.trees import canonical, leaf_change, leaf_differences, leaf_table, once, plain, provenance_path, quoted
 from sievelake.plans.stage import Stage
 
 # Blocks of an article, their compared fields, the parent whose state comes first, and policy versions.
@@ -58,7 +58,7 @@ def part(doc: Column, path: str) -> Column:
 
 
 def text_of(value: Column) -> Column:
-    return F.coalesce(canonical(value), F.lit(NULL))
+    return F.coalesce(plain(value), F.lit(NULL))
 
 
 #: Members whose text is compared, and a name for each.
@@ -74,8 +74,25 @@ class Side:
 
     @staticmethod
     def reading(doc: Column) -> Column:
-        states = [state(doc, block).alias("state " + block.replace(".", " ")) for block in BLOCKS]
-        return F.struct(*states, *[text_of(part(doc, path)).alias(path.replace(".", " ")) for path in TOLD])
+        """States and texts by one cast of the document and one of each block, not by a path each."""
+        wanted = {block: [path.removeprefix(f"{block}.") for path in TOLD if path.startswith(f"{block}.")] for block in BLOCKS if block != RANK}
+        below = {block: block.removeprefix(f"{parent}.") for block, parent in BLOCKS.items() if parent}
+        for block, name in below.items():
+            wanted[BLOCKS[block]].append(name)
+        opened = lambda v, names: F.try_variant_get(v, "$", "struct<" + ", ".join(f"`{n}`: variant" for n in names) + ">")
+        state = lambda v, is_there: F.when(v.isNull(), "absent").when(F.is_variant_null(v), NULL).when(is_there, "present").otherwise("invalid")
+
+        def told(top: Column, upper: Column, lower: Column) -> Column:
+            value = {block: upper[parent][below[block]] if parent else top[block] for block, parent in BLOCKS.items()}
+            held = {block: (lower if parent else upper)[block] for block, parent in BLOCKS.items() if block != RANK}
+            states = [state(value[block], F.lit(True) if block == RANK else held[block].isNotNull()).alias("state " + block.replace(".", " ")) for block in BLOCKS]
+            at = lambda path: held[path.rpartition(".")[0]][path.rpartition(".")[2]] if "." in path else top[path]
+            return F.struct(*states, *[text_of(at(path)).alias(path.replace(".", " ")) for path in TOLD])
+
+        uppers = [block for block, parent in BLOCKS.items() if not parent and block != RANK]
+        of_lower = lambda upper: F.struct(*[opened(upper[BLOCKS[block]][name], wanted[block]).alias(block) for block, name in below.items()])
+        of_upper = lambda top: F.struct(*[opened(top[block], wanted[block]).alias(block) for block in uppers])
+        return once(opened(doc, ["title", RANK, *uppers]), lambda top: once(of_upper(top), lambda upper: once(of_lower(upper), lambda lower: told(top, upper, lower))))
 
     def state(self, block: str) -> Column:
         return self.read["state " + block.replace(".", " ")]
@@ -84,11 +101,6 @@ class Side:
         return self.read[path.replace(".", " ")]
 
 
-def state(doc: Column, block: str) -> Column:
-    value = canonical(part(doc, block))
-    return F.when(value.isNull(), "absent").when(value == NULL, "null").when(F.lit(block == RANK) | value.startswith("{"), "present").otherwise("invalid")
-
-
 def change(category: str, kind: Column | str, *, was: Column, now: Column, path: str = "", had: Column | None = None, has: Column | None = None, detail: Column | None = None) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     had, has = (F.lit(True) if x is None else x for x in (had, has))
@@ -223,15 +235,16 @@ def unmatched(articles: DataFrame, snapshot: str) -> DataFrame:
 
 def article_states(articles: DataFrame) -> DataFrame:
     """(key, digest) of what a comparison looks at in each article, and of nothing else."""
-    doc = F.col("doc")
+    side = Side(F.col("doc"), F.col("read"))
     stage = Stage(articles.sparkSession, "states")
-    articles = stage.keep(articles.filter("key <> ''").withColumn("row", F.monotonically_increasing_id()), "articles")
-    fields = [text_of(part(doc, f"{block}.{f}")) for block, _, names in FIELDS.values() for f in names]
-    reviews = [text_of(part(doc, f"{block}.needs_review")) for block in REVIEWED.values()]
-    told = F.concat_ws("\x1f", "key", text_of(part(doc, "title")), *[state(doc, block) for block in BLOCKS], *fields, *reviews, text_of(part(doc, RANK)))
-    extraction = articles.filter(state(doc, EXTRACTION) == "present").select("row", part(doc, EXTRACTION).alias("doc"))
-    leaves = leaf_table(extraction, ["row"], "doc", stage=stage).groupBy("row").agg(F.array_sort(F.collect_list(F.concat_ws("\x1f", "path", "value"))).alias("leaves"))
-    rows = articles.select("row", "key", told.alias("told")).join(leaves, "row", "left")
+    read = articles.filter("key <> ''").select("key", "doc", Side.reading(F.col("doc")).alias("read"))
+    fields = [side.text(f"{block}.{f}") for block, _, names in FIELDS.values() for f in names]
+    reviews = [side.text(f"{block}.needs_review") for block in REVIEWED.values()]
+    told = F.concat_ws("\x1f", "key", side.text("title"), *[side.state(block) for block in BLOCKS], *fields, *reviews, side.text(RANK))
+    # documents are read once, and of them only what leaves are made of is written
+    rows = stage.keep(read.select(F.monotonically_increasing_id().alias("row"), "key", told.alias("told"), F.when(side.state(EXTRACTION) == "present", part(side.doc, EXTRACTION)).alias("doc")), "articles")
+    leaves = leaf_table(rows.filter("doc is not null").select("row", "doc"), ["row"], "doc", stage=stage).groupBy("row").agg(F.array_sort(F.collect_list(F.concat_ws("\x1f", "path", "value"))).alias("leaves"))
+    rows = rows.select("row", "key", "told").join(leaves, "row", "left")
     return rows.select("key", F.sha2(F.concat_ws("\x1e", "told", "leaves").cast("binary"), 256).alias("digest"))
 
 

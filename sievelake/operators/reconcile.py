@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievelake.operators.regulatory import strict_day
-from sievelake.operators.trees import canonical, is_list, once
+from sievelake.operators.trees import SIMPLE, canonical, is_list, once
 
 STATES = ("present", "null", "absent")
 ENTRY = ("path", "raw_value", "state")
@@ -89,10 +89,6 @@ def has_members(value: Column, names: Sequence[str]) -> Column:
     return F.coalesce(F.array_sort(found) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
 
 
-#: What JSON writes as it stands.
-SIMPLE = r"^[ !#-\[\]-~]*$"
-
-
 def regular(value: Column, shape: dict) -> Column:
     """A variant as a struct, if it is an object of just these members, all of them strings that JSON writes as they stand (nested: shapes of their own); else null."""
     told = lambda x: "OBJECT<" + ", ".join(f"{n}: {told(x[n]) if x[n] else 'STRING'}" for n in sorted(x)) + ">"

@@ -33,6 +33,17 @@ def canonical(value: Column) -> Column:
     return F.to_json(value)
 
 
+#: What JSON writes as it stands.
+SIMPLE = r"^[ !#-\[\]-~]*$"
+
+
+def plain(value: Column) -> Column:
+    """As ``canonical``, faster for what most members are: whole numbers, booleans, and strings that JSON writes as they stand need no JSON writer."""
+    text = F.try_variant_get(value, "$", "string")
+    as_string = once(text, lambda s: F.when(s.rlike(SIMPLE), F.concat(F.lit('"'), s, F.lit('"'))).otherwise(canonical(value)))
+    return once(F.schema_of_variant(value), lambda kind: F.when(kind == "STRING", as_string).when(kind.isin("BIGINT", "BOOLEAN"), text).otherwise(canonical(value)))
+
+
 def is_list(value: Column) -> Column:
     """Whether a variant is a list, without writing out what it holds."""
     return F.try_variant_get(value, "$", "array<variant>").isNotNull()
@@ -58,7 +69,7 @@ def as_text(value: Column, skip: Sequence[str] = ()) -> Column:
     What is opened isn't written out, as the engine makes a JSON writer for every name and string in it, nor asked for members by path, as one
     that isn't there costs an exception: one cast to a struct tells objects and their members to skip.
     """
-    texts = lambda i: F.transform(i, lambda x: F.coalesce(canonical(x), F.lit("null")))
+    texts = lambda i: F.transform(i, lambda x: F.coalesce(plain(x), F.lit("null")))
     scalars = lambda i: F.concat(F.lit("["), F.array_join(F.array_sort(i), ","), F.lit("]"))
     kinds = lambda i: F.when(F.forall(i, lambda x: ~x.startswith("{")), scalars(i)).when(F.forall(i, lambda x: x.startswith("{")), F.to_json(F.array_sort(i)))
     listed = lambda i: F.when(~F.exists(i, is_list), once(texts(i), kinds))
@@ -68,7 +79,7 @@ def as_text(value: Column, skip: Sequence[str] = ()) -> Column:
     none_open = F.forall(members, lambda m: m.isin(*names))
     held = lambda s: reduce(lambda a, b: a | b, [s.getField(n).isNotNull() for n in names])
     # an object with none of the names goes on, or is empty, which shows when it is opened
-    as_object = lambda s: F.when(s.isNull(), canonical(value)).when(held(s) & none_open if skip else F.lit(False), "{}")
+    as_object = lambda s: F.when(s.isNull(), plain(value)).when(held(s) & none_open if skip else F.lit(False), "{}")
     return once(F.try_variant_get(value, "$", "array<variant>"), lambda i: F.when(i.isNotNull(), listed(i)).otherwise(once(some, as_object)))
 
 

@@ -63,9 +63,10 @@ def nested_leaves(spark, d):
 # ---- snapshots of orders as articles
 
 
-def _orders_as_articles(spark, d: str, target: bool) -> DataFrame:
-    """Every order as an article; the target differs from the baseline by rules in the order's number."""
-    o, k = spread(t(spark, d, "orders").filter("o_orderkey % 10 <> 1" if target else "o_orderkey % 10 <> 0").select("o_orderkey", "o_orderpriority", "o_orderstatus")), F.col("o_orderkey")
+def _orders_as_articles(spark, d: str, target: bool, turned: bool = False) -> DataFrame:
+    """Every order as an article; the target differs from the baseline by rules in the order's number. ``turned``: in falling order of keys, with a multiset's items turned round."""
+    o, k = t(spark, d, "orders").filter("o_orderkey % 10 <> 1" if target else "o_orderkey % 10 <> 0").select("o_orderkey", "o_orderpriority", "o_orderstatus"), F.col("o_orderkey")
+    o = o.orderBy(num(k).desc()) if turned else spread(o)  # before documents are made, so that none is sorted
     when = lambda n, then, other: F.when(k % n == 0, then).otherwise(other) if target else F.lit(other) if isinstance(other, str) else other  # noqa: E731  the baseline has what is otherwise
     text = lambda n, then, other: when(n, F.lit(f'"{then}"'), f'"{other}"')
     relevance = obj(relevance_class=text(7, "contextual", "direct"), decision=word("include"), relevance_score=num(k % 100), needs_review=when(9, F.lit("true"), "false"))
@@ -75,7 +76,7 @@ def _orders_as_articles(spark, d: str, target: bool) -> DataFrame:
     unclear = k % 5 == (3 if target else 2)
     outcome = obj(value=F.when(k % 5 == (3 if target else 2), '"unclear"').otherwise(num(k % 50)), provenance=obj(page=num(k % 4 + when(23, F.lit(1), F.lit(0)))))
     only_here = {"added": F.when(k % 29 == 0, "1")} if target else {"gone": F.when(k % 31 == 0, "[]")}
-    sizes, fetched = ("[1,3,2]", "later") if target else ("[3,2,1]", "now")
+    sizes, fetched = ("[1,3,2]", "later") if target else ("[1,2,3]" if turned else "[3,2,1]", "now")
     extraction = obj(outcome=outcome, codes=F.lit('["b",["x"],{"k":1}]'), sizes=F.lit(sizes), fetched_at=word(fetched), **only_here)
     rank = num(k % 1000 + F.when(k % 37 == 0, 1).otherwise(0)) if target else num(k % 1000)
     section = F.when(k % 41 == 0, '"key_evidence"').when(k % 43 == 0, '"audit_only"').otherwise('"signals"') if target else word("signals")
@@ -127,7 +128,7 @@ def snapshot_changes(spark, d):
 def snapshot_identity(spark, d):
     """A snapshot's digest is that of its articles in any order and partitioning, with lists that are multisets turned round."""
     rows = _orders_as_articles(spark, d, False)
-    turned = rows.select("key", F.parse_json(F.replace(F.to_json("doc"), F.lit("[3,2,1]"), F.lit("[1,2,3]"))).alias("doc")).orderBy(F.col("key").desc())
+    turned = _orders_as_articles(spark, d, False, turned=True)
     ids = multiset_digest(article_states(rows)).toDF("a").join(multiset_digest(article_states(turned)).toDF("b"), how="cross")  # one row by one row
     return rows.agg(F.count("*").alias("articles")).join(ids, how="cross").select("articles", (F.col("a") == F.col("b")).alias("same"))
 
