@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sievelake import rules
 from sievelake.operators.guards import require, unique
 from sievelake.operators.snapshots import occurrences
-from sievelake.operators.trees import canonical, leaf_change, leaf_differences, leaf_table, once, plain, provenance_path, quoted
+from sievelake.operators.trees import canonical, leaf_change, leaf_differences, leaf_table, once, provenance_path, quoted
 from sievelake.plans.stage import Stage
 
 # Blocks of an article, their compared fields, the parent whose state comes first, and policy versions.
@@ -58,7 +58,7 @@ def part(doc: Column, path: str) -> Column:
 
 
 def text_of(value: Column) -> Column:
-    return F.coalesce(plain(value), F.lit(NULL))
+    return F.coalesce(canonical(value), F.lit(NULL))
 
 
 #: Members whose text is compared, and a name for each.
